@@ -1,0 +1,65 @@
+"""The driver's three functions, and every query against its SQL on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as driver
+from checks.data import TABLES
+from checks.gate import rows_of
+from tidemark.__main__ import main
+
+FOLDER = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    return connection
+
+
+def test_every_sql_has_a_query():
+    assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+@needs_data
+def test_entry(spark):
+    assert driver.entry(spark).count() == 3
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(driver.queries()))
+def test_query_equals_sql(spark, db, name):
+    df = driver.queries()[name](spark, FOLDER)
+    found = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    sql = driver.oracle_sql().get(name)
+    if sql is None:
+        assert found
+        return
+    result = db.execute(sql)
+    columns = [d[0] for d in result.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert found == rows_of(columns, result.fetchall())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    data = tmp_path / "people.csv"
+    data.write_text("id,name\n1,Ann\n2,Bob\n")
+    main(["register", "-d", str(data), "-s", "cli_demo", "-t", "people"], spark)
+    assert "cli_demo.people" in capsys.readouterr().out
+    folder = str(tmp_path / "work")
+    main(["init-names", folder], spark)
+    main(["run-names", f"{folder}/full_name_input", f"{folder}/ip_sum_output"], spark)
+    assert "10 rows written" in capsys.readouterr().out
+    spark.createDataFrame([(1, "Ann Lee")], "id BIGINT, full_name STRING").write.parquet(f"{folder}/legacy")
+    main(["migrate", f"{folder}/legacy", folder], spark)
+    assert "1 rows migrated" in capsys.readouterr().out
+    main(["demo", f"{folder}/demo"], spark)
+    out = capsys.readouterr().out
+    assert "Growth Phase" in out and "Development Branch" in out
+    main(["inventory", "--schema", "cli_demo"], spark)
+    assert "Tables in spark_catalog.cli_demo" in capsys.readouterr().out
