@@ -48,7 +48,7 @@ commits AS (
   SELECT seq, TIMESTAMP '2024-01-01 00:00:00' + seq * INTERVAL 1 HOUR AS committed_at,
          CASE WHEN seq <= 3 THEN 'append' ELSE 'overwrite' END AS operation,
          CASE seq WHEN 1 THEN 0 WHEN 2 THEN n_early WHEN 3 THEN n - n_early WHEN 4 THEN n_platinum
-                  WHEN 5 THEN n_gold WHEN 6 THEN n_silver ELSE n_platinum + n_gold END AS added,
+                  WHEN 5 THEN n_gold WHEN 6 THEN n_silver ELSE n_platinum + n_gold END AS touched,
          CASE seq WHEN 1 THEN 0 WHEN 2 THEN n_early ELSE n END AS total
   FROM counts, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS seq))"""
 
@@ -253,8 +253,8 @@ ORACLE: dict[str, str] = {
         SELECT CAST(seq AS BIGINT) AS snapshot_id, committed_at, operation,
                CASE seq WHEN 1 THEN 'Initial Data' WHEN 7 THEN 'Latest Data'
                         ELSE 'Historical Point' END AS snapshot_type,
-               CAST(added AS BIGINT) AS added_records,
-               CAST(CASE WHEN seq > 3 THEN added ELSE 0 END AS BIGINT) AS replaced_records,
+               CAST(CASE WHEN seq <= 3 THEN touched ELSE 0 END AS BIGINT) AS added_records,
+               CAST(CASE WHEN seq > 3 THEN touched ELSE 0 END AS BIGINT) AS changed_records,
                CAST(total AS BIGINT) AS total_records
         FROM commits""",
     "table_history": f"""
@@ -286,7 +286,9 @@ ORACLE: dict[str, str] = {
         FROM commits""",
     "ops_histogram": f"""
         WITH {COMMITS}
-        SELECT operation, count(*) AS operation_count, CAST(sum(added) AS BIGINT) AS records_written
+        SELECT operation, count(*) AS operation_count, 
+               CAST(sum(CASE WHEN seq <= 3 THEN touched ELSE 0 END) AS BIGINT) AS records_added,
+               CAST(sum(CASE WHEN seq > 3 THEN touched ELSE 0 END) AS BIGINT) AS records_changed
         FROM commits GROUP BY operation""",
     "readiness": """
         SELECT count(*) AS customers, count(*) > 0 AS has_customers, TRUE AS has_history,

@@ -328,7 +328,7 @@ def snapshot_history(spark, sf):
 @query
 def snapshot_timeline(spark, sf):
     timeline = reports.snapshot_timeline(data.customer_story(spark, sf))
-    keys = ("added-records", "replaced-records", "total-records")
+    keys = ("added-records", "changed-records", "total-records")
     counts = {k.replace("-", "_"): F.try_element_at("summary", F.lit(k)) for k in keys}
     return timeline.withColumns(
         {k: F.coalesce(c, F.lit("0")).cast("long") for k, c in counts.items()}

@@ -133,7 +133,10 @@ def test_snapshot_reports(customers):
     assert rows(reports.latest_commit(customers)) == [
         (7, datetime(2024, 1, 1, 7), "overwrite", 5)
     ]
-    assert rows(reports.operations(customers)) == [("overwrite", 4, 8), ("append", 3, 5)]
+    assert rows(reports.operations(customers)) == [
+        ("overwrite", 4, 0, 8),
+        ("append", 3, 5, 0),
+    ]
 
 
 def test_overview(customers):

@@ -13,6 +13,11 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
+def folders(df):
+    """The log folders a DataFrame would read."""
+    return {path.split("/log/")[1].rsplit("/", 1)[0] for path in df.inputFiles()}
+
+
 def ids(df):
     return sorted(row.id for row in df.select("id").collect())
 
@@ -276,12 +281,12 @@ def test_replaced_commits_are_not_read(spark, table):
     table.update("id < 10", {"v": "0"})
     table.update("id = 15", {"v": "0"})
     plan = table.read_plan(table.head())
-    assert (plan.intact, plan.partial, plan.replacing) == ([4, 5], [3], [5])
+    assert (plan.intact, plan.partial, plan.replacing) == ([(4, ""), (5, "")], [(3, "")], [5])
     assert plan.replacements == 1
-    assert "commit_seq=2" not in plan_of(table.current())
+    assert folders(table.current()) == {"commit_seq=3", "commit_seq=4", "commit_seq=5"}
 
 
-def test_many_replacements_are_sort_merged(spark, table, monkeypatch):
+def test_forced_merges_beyond_the_limit_are_sort_merged(spark, table, monkeypatch):
     table.append(numbers(spark, 0, 100))
     table.update("id % 3 = 0", {"v": "-1"})
     table.update("id % 6 = 0", {"v": "-2"})
@@ -295,6 +300,29 @@ def test_many_replacements_are_sort_merged(spark, table, monkeypatch):
     assert sorted(map(tuple, table.totals_by_snapshot("v").collect())) == totals
 
 
+def test_large_updates_rewrite_what_they_touch(spark, table, monkeypatch):
+    table.append(numbers(spark, 0, 10))
+    table.append(numbers(spark, 10, 20))
+    monkeypatch.setattr(versioned, "BROADCAST_ROWS", 2)
+    table.update("id IN (1, 11)", {"v": "-1"})
+    assert table.read_plan(4).partial == [(2, ""), (3, "")]
+    table.update("id = 12", {"v": "-2"})
+    plan = table.read_plan(5)
+    assert (plan.partial, plan.replacements) == ([(2, "")], 1)
+    table.update("id < 5", {"v": "v - 100"})
+    assert table.read_plan(6).partial == []
+    read = plan_of(table.current())
+    assert "Join" not in read and "Exchange" not in read
+    wanted = {i: i * 10 for i in range(20)} | {1: -1, 11: -1, 12: -2}
+    wanted |= {i: wanted[i] - 100 for i in range(5)}
+    assert {r.id: r.v for r in table.current().collect()} == wanted
+    changed = table.snapshots().orderBy("snapshot_id").select("summary").collect()
+    assert [int(r.summary["changed-records"]) for r in changed] == [0, 0, 0, 2, 1, 5]
+    assert table.record_count() == 20
+    last = table.totals_by_snapshot("v").orderBy("snapshot_id").collect()[-1]
+    assert (last.row_count, last.total) == (20, sum(wanted.values()))
+
+
 # -- partitions and files ------------------------------------------------------------------
 
 
@@ -317,6 +345,23 @@ def test_partition_by_day(by_day):
     assert found == {"2024-05-01": 23, "2024-05-02": 25}
 
 
+def test_rewrites_stay_within_partitions(spark, by_day):
+    by_day.update("id < 3", {"id": "id + 100"}, mode="copy")
+    plan = by_day.read_plan(2)
+    assert plan.intact == [(1, "ts_day=2024-05-02"), (2, "ts_day=2024-05-01")]
+    assert folders(by_day.current()) == {"commit_seq=1/ts_day=2024-05-02", "commit_seq=2/ts_day=2024-05-01"}
+    assert ids(by_day.current()) == [*range(3, 48), 100, 101, 102]
+    by_day.update("id = 47", {"ts": "NULL"}, mode="merge")
+    by_day.update("id = 100", {"ts": "ts + INTERVAL 1 DAY"}, mode="copy")
+    found = {str(r.ts_day): r.record_count for r in by_day.partitions().collect()}
+    assert found == {"2024-05-01": 23, "2024-05-02": 24, "None": 1}
+    by_day.update("ts IS NULL", {"id": "-1"}, mode="copy")
+    assert ids(by_day.current())[0] == -1 and by_day.current().count() == 48
+    sizes = by_day.totals_by_snapshot("id").orderBy("snapshot_id").collect()
+    assert [r.row_count for r in sizes] == [48] * 5
+    assert sizes[-1].total == by_day.current().agg(F.sum("id")).first()[0]
+
+
 def test_range_read_prunes_partitions(by_day):
     rows = by_day.between("ts", "2024-05-02 01:00:00", "2024-05-02 03:00:00")
     assert ids(rows) == [25, 26, 27]
@@ -357,9 +402,10 @@ def test_views_for_sql(spark, products):
 # -- against a model -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_commits_equal_a_model(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed, limit", [(1, 500_000), (2, 3)])
+def test_random_commits_equal_a_model(spark, tmp_path, monkeypatch, seed, limit):
     """Random appends and updates on three branches, each snapshot compared with plain dicts."""
+    monkeypatch.setattr(versioned, "BROADCAST_ROWS", limit)
     rng = random.Random(seed)
     table = VersionedTable.create(spark, str(tmp_path / "r"), "id BIGINT, v BIGINT")
     heads, states, next_id = {"main": {}}, {1: {}}, 0
@@ -389,3 +435,42 @@ def test_random_commits_equal_a_model(spark, tmp_path, seed):
         for row in table.totals_by_snapshot("v", ref).collect():
             known = states[row.snapshot_id]
             assert (row.row_count, row.total) == (len(known), sum(known.values()))
+
+
+# -- skew ----------------------------------------------------------------------------------
+
+
+def test_hot_partition_is_written_by_several_tasks(spark, tmp_path):
+    """Two thirds of all rows on one day: its rows are split, the small days are merged."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32kb")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16kb")
+    try:
+        day = F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 20).cast("int")
+        rows = spark.range(0, 30_000, 1, 8).select(
+            "id", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("d"), F.sha2(F.col("id").cast("string"), 256).alias("x")
+        )
+        table = VersionedTable.create(spark, str(tmp_path / "hot"), rows=rows, partition_by=[days("d")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    per_day = {}
+    for row in table.files().collect():
+        per_day.setdefault(row.file_path.split("d_day=")[1][:10], []).append(row.record_count)
+    assert len(per_day["2024-01-01"]) > 4
+    assert max(per_day["2024-01-01"]) < 15_000
+    assert table.record_count() == 30_000
+
+
+def test_hot_id_spreads_over_the_sort(spark, tmp_path):
+    from tidemark.plans.reports import _by_id
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("id"))
+        table = VersionedTable.create(spark, str(tmp_path / "hot"), rows=rows)
+        placed = _by_id(table.current(with_row_id=True)).groupBy(F.spark_partition_id()).count()
+        sizes = [row["count"] for row in placed.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 9_000 and len(sizes) == 4
+    assert max(sizes) < 3_500

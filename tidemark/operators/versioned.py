@@ -2,9 +2,9 @@
 
 A table is a folder with two data sets:
 
-``log/commit_seq=N``  the rows commit N added: the user's columns, the row's identity
-                      (``_row_commit``, ``_row_num``) and, for a changed row, the commit whose
-                      version it replaces (``_replaces``).
+``log/commit_seq=N``  the rows commit N wrote: the user's columns, the row's identity
+                      (``_row_commit``, ``_row_num``) and, for a row that takes another version's
+                      place, where that version lies (``_replaces``, ``_replaces_part``).
 ``meta``              one small row per event: a commit, a new or dropped reference, a new column.
 
 A commit writes its log rows first and its event last, so a failed write stays invisible and is
@@ -12,25 +12,26 @@ overwritten by the next attempt. Commits form a chain through ``parent_id``; a b
 a name for one commit, and a branch read only follows the chain behind its head. One writer per
 table is assumed; two writers that race are detected by their equal event numbers.
 
-Only events are ever brought to the driver. Each commit's summary says how many rows of which
-earlier commits it replaced, so a read knows, before touching data, which commits are intact
-(plain scan), which are fully replaced (not read at all) and which need an anti-join against
-the replacements. Table rows are never shuffled unless a commit is partly replaced and its
-replacements are too many to broadcast.
+Only events are ever brought to the driver. Each says how many rows its commit wrote to which
+partition and how many it replaced where. So a read knows, before touching data, which folders
+are intact (plain scan), which are fully replaced (not even listed) and which are partly replaced
+(scan and anti-join). An update that would leave more replaced rows than can safely be broadcast
+rewrites the folders it touches instead, so that reads never shuffle table rows, whatever the
+table's size.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, DateType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from .partitioning import Transform
 
@@ -38,27 +39,52 @@ MAIN = "main"
 COMMIT = "commit_seq"
 ROW_ID = ["_row_commit", "_row_num"]
 REPLACES = "_replaces"
+REPLACES_PART = "_replaces_part"
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name for NULL
 
 # Replacement keys are three longs; half a million of them take well under 100 MB in a hash
-# table. The exact count is known from the commit summaries before the join is planned.
+# table. Their exact number is known from the events before a join is planned.
 BROADCAST_ROWS = 500_000
 
 META_SCHEMA = (
     "event BIGINT, kind STRING, ref STRING, snapshot_id BIGINT, parent_id BIGINT, "
-    "committed_at TIMESTAMP, operation STRING, table_schema STRING, summary MAP<STRING,STRING>"
+    "committed_at TIMESTAMP, operation STRING, table_schema STRING, "
+    "summary MAP<STRING,STRING>, written MAP<STRING,BIGINT>, replaced MAP<STRING,BIGINT>"
 )
 
+# A folder of the log: the commit, and the partition below it ("" in an unpartitioned table).
+Unit = tuple[int, str]
+
+
+_HIDDEN = {
+    ROW_ID[0]: LongType(),
+    ROW_ID[1]: LongType(),
+    REPLACES: LongType(),
+    REPLACES_PART: StringType(),
+    COMMIT: LongType(),
+}
+
 
 class UnknownVersion(ValueError):
     """No snapshot, reference or point in time matches the request."""
 
 
+@dataclass
+class _Commit:
+    parent: int | None
+    micros: int
+    schema: StructType
+    total: int
+    written: dict[Unit, int]
+    replaced: dict[Unit, int]
+
+
 @dataclass
 class _State:
-    """The table's events, folded. Size: number of commits and references, never data."""
+    """The table's events, folded. Size: commits, their partitions and references, never data."""
 
     events: int = 0
-    commits: dict[int, dict] = field(default_factory=dict)
+    commits: dict[int, _Commit] = field(default_factory=dict)
     refs: dict[str, tuple[str, int]] = field(default_factory=dict)
     schema: StructType = field(default_factory=StructType)
     partition_by: list[Transform] = field(default_factory=list)
@@ -69,33 +95,47 @@ class _State:
         ids: list[int] = []
         while snapshot_id is not None:
             ids.append(snapshot_id)
-            snapshot_id = self.commits[snapshot_id]["parent"]
+            snapshot_id = self.commits[snapshot_id].parent
         return ids[::-1]
 
-    def added(self, snapshot_id: int) -> int:
-        return int(self.commits[snapshot_id]["summary"]["added-records"])
-
-    def total(self, snapshot_id: int) -> int:
-        return int(self.commits[snapshot_id]["summary"]["total-records"])
-
-    def replaced(self, snapshot_id: int) -> dict[int, int]:
-        """Rows this commit replaced, by the commit that had written them."""
-        summary = self.commits[snapshot_id]["summary"]
-        return {
-            int(key.split(".")[1]): int(value)
-            for key, value in summary.items()
-            if key.startswith("replaced.")
-        }
+    def plan(self, snapshot_id: int, pending: Mapping[Unit, int] | None = None) -> "ReadPlan":
+        """How to read a snapshot, or what reading it after one more update would take."""
+        chain = [self.commits[seq] for seq in self.chain(snapshot_id)]
+        written = {unit: n for commit in chain for unit, n in commit.written.items()}
+        changes = {seq: self.commits[seq].replaced for seq in self.chain(snapshot_id)}
+        if pending:
+            changes[max(self.commits) + 1] = pending
+        gone: Counter[Unit] = Counter()
+        for change in changes.values():
+            gone.update(change)
+        partial = {unit for unit, n in written.items() if 0 < gone[unit] < n}
+        replacing = [seq for seq, change in changes.items() if partial & change.keys()]
+        commits = {seq for seq, _ in partial}
+        return ReadPlan(
+            intact=sorted(unit for unit, n in written.items() if n and not gone[unit]),
+            partial=sorted(partial),
+            replacing=replacing,
+            replacements=sum(
+                n for seq in replacing for unit, n in changes[seq].items() if unit[0] in commits
+            ),
+        )
 
 
 @dataclass(frozen=True)
 class ReadPlan:
-    """Which commits a snapshot read touches, and how."""
+    """Which folders a snapshot read touches, and how."""
 
-    intact: list[int]  # scanned as they are
-    partial: list[int]  # scanned, minus replaced rows
+    intact: list[Unit]  # scanned as they are
+    partial: list[Unit]  # scanned, minus replaced rows
     replacing: list[int]  # commits that hold the replacements
-    replacements: int  # exact number of replaced rows in ``partial``
+    replacements: int  # exact number of keys in the anti-join
+
+    def only(self, units: set[Unit]) -> "ReadPlan":
+        return replace(
+            self,
+            intact=[u for u in self.intact if u in units],
+            partial=[u for u in self.partial if u in units],
+        )
 
 
 class VersionedTable:
@@ -139,7 +179,7 @@ class VersionedTable:
             schema = rows.schema
         if isinstance(schema, str):
             schema = StructType.fromDDL(schema)
-        taken = {*ROW_ID, REPLACES, COMMIT, *(t.name for t in partition_by)}
+        taken = {*_HIDDEN, *(t.name for t in partition_by)}
         if clash := taken & set(schema.names):
             raise ValueError(f"reserved column names: {sorted(clash)}")
         table = cls.__new__(cls)
@@ -147,7 +187,8 @@ class VersionedTable:
         table._state = _State(
             schema=schema, partition_by=list(partition_by), compression=compression
         )
-        added = 0 if rows is None else table._write_new(rows, 1, None)
+        written = {} if rows is None else table._write_new(rows, 1, None)
+        added = sum(written.values())
         table._record(
             "commit",
             MAIN,
@@ -156,10 +197,12 @@ class VersionedTable:
             operation="append",
             summary={
                 "added-records": added,
+                "changed-records": 0,
                 "total-records": added,
                 "partition-by": ";".join(map(str, partition_by)),
                 "compression": compression,
             },
+            written=written,
         )
         return table
 
@@ -178,12 +221,14 @@ class VersionedTable:
             if row.table_schema:
                 state.schema = _schema_of(row.table_schema)
             if row.kind == "commit":
-                state.commits[row.snapshot_id] = {
-                    "parent": row.parent_id,
-                    "micros": row.micros,
-                    "schema": state.schema,
-                    "summary": row.summary,
-                }
+                state.commits[row.snapshot_id] = _Commit(
+                    parent=row.parent_id,
+                    micros=row.micros,
+                    schema=state.schema,
+                    total=int(row.summary["total-records"]),
+                    written={(row.snapshot_id, part): n for part, n in row.written.items()},
+                    replaced={_unit(key): n for key, n in row.replaced.items()},
+                )
                 if row.snapshot_id == 1:
                     spec = row.summary["partition-by"]
                     state.partition_by = [Transform.parse(t) for t in spec.split(";") if t]
@@ -210,11 +255,11 @@ class VersionedTable:
         return sorted(self._state.commits)
 
     def first_id(self) -> int:
-        return min(self._state.commits, key=lambda i: (self._state.commits[i]["micros"], i))
+        return min(self._state.commits, key=lambda i: (self._state.commits[i].micros, i))
 
     def committed_at(self, snapshot_id: int) -> Column:
         """The time of a commit, as a constant."""
-        return F.timestamp_micros(F.lit(self._state.commits[snapshot_id]["micros"]))
+        return F.timestamp_micros(F.lit(self._state.commits[snapshot_id].micros))
 
     def head(self, ref: str = MAIN) -> int:
         if ref not in self._state.refs:
@@ -226,7 +271,7 @@ class VersionedTable:
 
     def record_count(self, version: int | str = MAIN) -> int:
         """Rows in a snapshot, from its summary: no data is read."""
-        return self._state.total(version if isinstance(version, int) else self.head(version))
+        return self._state.commits[version if isinstance(version, int) else self.head(version)].total
 
     def is_empty(self, ref: str = MAIN) -> bool:
         return self.record_count(ref) == 0
@@ -248,8 +293,8 @@ class VersionedTable:
         """
         self.refresh()
         seq = self._next_id()
-        added = self._write_new(df, seq, rebalance)
-        return self._commit(seq, ref, committed_at, "append", added, {})
+        written = self._write_new(df, seq, rebalance)
+        return self._commit(seq, ref, committed_at, "append", written, {}, 0)
 
     def append_if_empty(self, df: DataFrame, ref: str = MAIN, **options) -> bool:
         """Seed a table once: append only while the branch has no rows."""
@@ -264,36 +309,58 @@ class VersionedTable:
         assign: Mapping[str, Column | str],
         ref: str = MAIN,
         committed_at: str | datetime | None = None,
+        mode: str = "auto",
     ) -> int:
         """Change the matching rows in one commit; every expression sees the old row.
 
-        Only new versions of the matching rows are written. They pass through a rebalance, so a
-        selective update of a huge table does not leave one tiny file per scan task.
+        ``merge`` writes new versions of the matching rows only, and reads drop the old ones with
+        an anti-join. ``copy`` rewrites every folder that holds a match, without a shuffle, and
+        reads stay plain scans. ``auto`` counts the matches first, from the columns the condition
+        needs, and merges as long as all replaced rows together can be broadcast.
         """
+        if mode not in ("auto", "merge", "copy"):
+            raise ValueError(f"unknown mode: {mode}")
         self.refresh()
         if unknown := set(assign) - set(self.schema.names):
             raise ValueError(f"columns not in the table: {sorted(unknown)}")
+        where = F.expr(where) if isinstance(where, str) else where
         types = {c.name: c.dataType for c in self.schema}
-        exprs = {
+        changed = {
             name: (F.expr(value) if isinstance(value, str) else value).cast(types[name])
             for name, value in assign.items()
         }
-        seq = self._next_id()
-        changed = (
-            self._rows(self.head(ref))
-            .filter(where)
-            .withColumns(exprs)
-            .select(
-                *(F.col(f"`{n}`") for n in self.schema.names),
-                *ROW_ID,
-                F.col(COMMIT).alias(REPLACES),
-            )
+        seq, head, plan = self._next_id(), self.head(ref), self._state.plan(self.head(ref))
+        counts = (
+            self._read(plan).filter(where).groupBy(COMMIT, self._part().alias("part")).count()
         )
-        self._write(self._rebalanced(changed), seq)
-        replaced = {
-            row[REPLACES]: row["count"] for row in self._scan([seq]).groupBy(REPLACES).count().collect()
-        }
-        return self._commit(seq, ref, committed_at, "overwrite", sum(replaced.values()), replaced)
+        matches = {(row[COMMIT], row["part"]): row["count"] for row in counts.collect()}
+        if mode == "auto":
+            small = self._state.plan(head, matches).replacements <= BROADCAST_ROWS
+            mode = "merge" if small else "copy"
+        if not matches:
+            return self._commit(seq, ref, committed_at, "overwrite", {}, {}, 0)
+        if mode == "merge":
+            rows = self._read(plan).filter(where)
+        else:
+            rows = self._read(plan.only(set(matches)))
+            hit = F.coalesce(where, F.lit(False))
+            changed = {n: F.when(hit, e).otherwise(F.col(f"`{n}`")) for n, e in changed.items()}
+        rows = rows.withColumns(
+            {**changed, REPLACES: F.col(COMMIT), REPLACES_PART: self._part()}
+        ).select(*(f"`{n}`" for n in self.schema.names), *ROW_ID, REPLACES, REPLACES_PART)
+        self._write(self._rebalanced(rows) if mode == "merge" else rows, seq)
+        written: Counter[str] = Counter()
+        replaced: Counter[Unit] = Counter()
+        for row in (
+            self._scan([(seq, "")])
+            .groupBy(REPLACES, REPLACES_PART, self._part().alias("part"))
+            .count()
+            .collect()
+        ):
+            written[row["part"]] += row["count"]
+            replaced[row[REPLACES], row[REPLACES_PART]] += row["count"]
+        count = sum(matches.values())
+        return self._commit(seq, ref, committed_at, "overwrite", written, replaced, count)
 
     def add_column(self, name: str, data_type: str, if_not_exists: bool = False) -> bool:
         """Add a column. This makes no snapshot: earlier snapshots keep their own columns."""
@@ -302,7 +369,7 @@ class VersionedTable:
             if if_not_exists:
                 return False
             raise ValueError(f"column exists: {name}")
-        if name in {*ROW_ID, REPLACES, COMMIT, *(t.name for t in self.partition_by)}:
+        if name in {*_HIDDEN, *(t.name for t in self.partition_by)}:
             raise ValueError(f"reserved column name: {name}")
         self._state.schema = StructType(
             [*self.schema.fields, *StructType.fromDDL(f"`{name}` {data_type}").fields]
@@ -359,7 +426,7 @@ class VersionedTable:
         else:
             snapshot_id = self.head(ref or MAIN)
             reconcile = reconcile or self._state.refs[ref or MAIN][0] == "BRANCH"
-        schema = self.schema if reconcile else self._state.commits[snapshot_id]["schema"]
+        schema = self.schema if reconcile else self._state.commits[snapshot_id].schema
         columns = [F.col(f"`{name}`") for name in schema.names]
         if with_row_id:
             columns += [F.col(name) for name in ROW_ID]
@@ -369,7 +436,7 @@ class VersionedTable:
         """The newest snapshot on ``ref`` committed at or before ``timestamp``."""
         micros = self.spark.range(1).select(F.unix_micros(_timestamp(timestamp))).first()[0]
         for snapshot_id in reversed(self.lineage(ref)):
-            if self._state.commits[snapshot_id]["micros"] <= micros:
+            if self._state.commits[snapshot_id].micros <= micros:
                 return snapshot_id
         raise UnknownVersion(f"{ref!r} has no snapshot at or before {timestamp}")
 
@@ -383,7 +450,7 @@ class VersionedTable:
     ) -> DataFrame:
         """Rows with ``low <= column <= high``, reading only the partitions in that range."""
         snapshot_id = self.head(ref) if version is None else version
-        schema = self.schema if version is None else self._state.commits[version]["schema"]
+        schema = self.schema if version is None else self._state.commits[version].schema
         kind = schema[column].dataType
         bounds = [F.lit(str(bound)).cast(kind) for bound in (low, high)]
         rows = self._rows(snapshot_id).filter(F.col(column).between(*bounds))
@@ -393,56 +460,67 @@ class VersionedTable:
         return rows.select(*(F.col(f"`{name}`") for name in schema.names))
 
     def read_plan(self, snapshot_id: int) -> ReadPlan:
-        """Sort a snapshot's commits into intact, partly replaced and fully replaced ones."""
-        chain = self._state.chain(snapshot_id)
-        gone: Counter[int] = Counter()
-        for seq in chain:
-            gone.update(self._state.replaced(seq))
-        partial = [s for s in chain if 0 < gone[s] < self._state.added(s)]
-        return ReadPlan(
-            intact=[s for s in chain if self._state.added(s) and not gone[s]],
-            partial=partial,
-            replacing=[s for s in chain if set(partial) & set(self._state.replaced(s))],
-            replacements=sum(gone[s] for s in partial),
-        )
+        """Sort a snapshot's folders into intact, partly replaced and (left out) fully replaced."""
+        return self._state.plan(snapshot_id)
 
     def totals_by_snapshot(self, column: str, ref: str = MAIN) -> DataFrame:
         """Row count and sum of ``column`` at every snapshot of ``ref``, in one pass.
 
         A version counts from its own commit on and stops counting at the commit that replaced
-        it. Both sides are reduced to one row per commit before the running sum.
+        it. The table is reduced to one row per folder. A folder that one commit replaced as a
+        whole ends there without a join; only single replaced rows are looked up by identity.
         """
         chain = self.lineage(ref)
-        written = [s for s in chain if self._state.added(s)]
-        replacing = [s for s in chain if self._state.replaced(s)]
-        old = sorted({k for s in replacing for k in self._state.replaced(s)})
+        commits = [self._state.commits[seq] for seq in chain]
+        written = {unit: n for commit in commits for unit, n in commit.written.items() if n}
+        ended_at = {
+            unit: seq
+            for seq, commit in zip(chain, commits)
+            for unit, n in commit.replaced.items()
+            if n == written[unit]
+        }
+        ended = self.spark.createDataFrame(
+            [(*unit, seq) for unit, seq in ended_at.items()],
+            f"{COMMIT} BIGINT, part STRING, snapshot_id BIGINT",
+        )
+        totals = [F.count("*").alias("n"), F.sum(column).alias("x")]
+        begin = F.struct(F.col(COMMIT).alias("snapshot_id"), "n", "x")
+        end = F.struct("snapshot_id", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))
         changes = (
-            self._scan(written)
-            .groupBy(F.col(COMMIT).alias("snapshot_id"))
-            .agg(F.count("*").alias("n"), F.sum(column).alias("x"))
+            self._scan(sorted(written))
+            .groupBy(COMMIT, self._part().alias("part"))
+            .agg(*totals)
+            .join(ended, [COMMIT, "part"], "left")
+            .select(F.explode(F.array(begin, end)).alias("change"))
+            .select("change.*")
+            .filter("snapshot_id IS NOT NULL")
         )
-        if replacing:
-            keys = self._scan(replacing).select(
-                *ROW_ID, F.col(REPLACES).alias("old_commit"), F.col(COMMIT).alias("snapshot_id")
+        single = {
+            unit: seq
+            for seq, commit in zip(chain, commits)
+            for unit in commit.replaced
+            if unit not in ended_at
+        }
+        if single:
+            replacing = [
+                seq for seq, c in zip(chain, commits) if c.replaced.keys() & single.keys()
+            ]
+            old = (F.col(REPLACES).alias("old"), F.col(REPLACES_PART).alias("part"))
+            keys = self._scan([(seq, "") for seq in replacing]).select(
+                *ROW_ID, *old, F.col(COMMIT).alias("snapshot_id")
             )
-            keys = self._sized(keys, sum(self._state.added(s) for s in replacing))
-            ended = (
-                self._scan(old)
-                .withColumnRenamed(COMMIT, "old_commit")
-                .join(keys, [*ROW_ID, "old_commit"])
-                .groupBy("snapshot_id")
-                .agg((-F.count("*")).alias("n"), (-F.sum(column)).alias("x"))
+            keys = self._sized(
+                keys, sum(n for s in replacing for n in self._state.commits[s].replaced.values())
             )
-            changes = changes.unionByName(ended)
-        zero = self.snapshots().filter(F.col("snapshot_id").isin(chain)).select(
-            "snapshot_id",
-            F.lit(0).cast("long").alias("n"),
-            F.lit(0).cast(changes.schema["x"].dataType).alias("x"),
-        )
+            versions = self._scan(sorted(single)).withColumn("part", self._part())
+            versions = versions.withColumnRenamed(COMMIT, "old")
+            found = versions.join(keys, [*ROW_ID, "old", "part"]).groupBy("snapshot_id")
+            changes = changes.unionByName(found.agg(*totals).select(end.alias("change")).select("change.*"))
+        zero = self.snapshots().filter(F.col("snapshot_id").isin(chain))
+        changes = changes.unionByName(zero.select("snapshot_id", F.lit(0).alias("n"), F.lit(0).alias("x")))
         so_far = Window.orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
         return (
-            changes.unionByName(zero)
-            .groupBy("snapshot_id")
+            changes.groupBy("snapshot_id")
             .agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
             .select(
                 "snapshot_id",
@@ -487,7 +565,7 @@ class VersionedTable:
         """The data files a read of ``ref`` touches."""
         plan = self.read_plan(self.head(ref))
         return (
-            self._scan(plan.intact + plan.partial)
+            self._scan(sorted(plan.intact + plan.partial))
             .select(F.col("_metadata.file_path"), F.col("_metadata.file_size"))
             .groupBy("file_path")
             .agg(
@@ -526,28 +604,47 @@ class VersionedTable:
         return max(self._state.commits) + 1
 
     def _log_schema(self) -> StructType:
-        hidden = [StructField(name, LongType()) for name in (*ROW_ID, REPLACES, COMMIT)]
+        hidden = [StructField(name, kind) for name, kind in _HIDDEN.items()]
         parts = [StructField(t.name, DateType()) for t in self.partition_by]
         fields = [StructField(c.name, c.dataType) for c in self.schema]
         return StructType(fields + hidden + parts)
 
-    def _scan(self, ids: Sequence[int]) -> DataFrame:
-        """Log rows of the given commits. Other commits' folders are not even listed."""
-        if not ids:
+    def _part(self) -> Column:
+        """The partition a row lies in, as its folder's name."""
+        names = [t.name for t in self.partition_by]
+        values = [F.coalesce(F.col(n).cast("string"), F.lit(NULL_PARTITION)) for n in names]
+        return F.concat_ws("/", *(F.concat(F.lit(f"{n}="), v) for n, v in zip(names, values)))
+
+    def _scan(self, units: Sequence[Unit]) -> DataFrame:
+        """Rows of the given folders; other folders are not even listed. Where all partitions
+        of a commit are wanted, its own folder stands for them."""
+        if not units:
             return self.spark.createDataFrame([], self._log_schema())
+        wanted: dict[int, set[str]] = {}
+        for seq, part in units:
+            wanted.setdefault(seq, set()).add(part)
+        paths = []
+        for seq, parts in wanted.items():
+            commit = self._state.commits.get(seq)
+            whole = "" in parts or (commit and len(parts) == len(commit.written))
+            folder = f"{self.path}/log/{COMMIT}={seq}"
+            paths += [folder] if whole else [f"{folder}/{part}" for part in sorted(parts)]
         return (
             self.spark.read.schema(self._log_schema())
             .option("basePath", f"{self.path}/log")
-            .parquet(*(f"{self.path}/log/{COMMIT}={i}" for i in ids))
+            .parquet(*paths)
         )
 
     def _rows(self, snapshot_id: int) -> DataFrame:
-        plan = self.read_plan(snapshot_id)
+        return self._read(self._state.plan(snapshot_id))
+
+    def _read(self, plan: ReadPlan) -> DataFrame:
         parts = [self._scan(plan.intact)] if plan.intact or not plan.partial else []
         if plan.partial:
+            commits = sorted({seq for seq, _ in plan.partial})
             gone = (
-                self._scan(plan.replacing)
-                .filter(F.col(REPLACES).isin(plan.partial))
+                self._scan([(seq, "") for seq in plan.replacing])
+                .filter(F.col(REPLACES).isin(commits))
                 .select(*ROW_ID, F.col(REPLACES).alias(COMMIT))
             )
             gone = self._sized(gone, plan.replacements)
@@ -568,8 +665,9 @@ class VersionedTable:
         names = [t.name for t in self.partition_by]
         return derived.hint("rebalance", *names).drop(*names)
 
-    def _write_new(self, df: DataFrame, seq: int, rebalance: bool | None) -> int:
-        """Write rows under new identities; returns their number, counted in what was written."""
+    def _write_new(self, df: DataFrame, seq: int, rebalance: bool | None) -> dict[str, int]:
+        """Write rows under new identities; returns the rows per partition, counted in what was
+        written."""
         if extra := set(df.columns) - set(self.schema.names):
             raise ValueError(f"columns not in the table: {sorted(extra)}")
         rows = df.select(
@@ -587,9 +685,11 @@ class VersionedTable:
             F.lit(seq).cast("long").alias(ROW_ID[0]),
             F.monotonically_increasing_id().alias(ROW_ID[1]),
             F.lit(None).cast("long").alias(REPLACES),
+            F.lit(None).cast("string").alias(REPLACES_PART),
         )
         self._write(rows, seq)
-        return self._scan([seq]).count()
+        counts = self._scan([(seq, "")]).groupBy(self._part().alias("part")).count()
+        return {row["part"]: row["count"] for row in counts.collect()}
 
     def _write(self, rows: DataFrame, seq: int) -> None:
         transforms = self.partition_by
@@ -609,19 +709,14 @@ class VersionedTable:
         ref: str,
         committed_at: str | datetime | None,
         operation: str,
-        added: int,
-        replaced: Mapping[int, int],
+        written: Mapping[str, int],
+        replaced: Mapping[Unit, int],
+        changed: int,
     ) -> int:
         if self._state.refs.get(ref, ("", 0))[0] == "TAG":
             raise ValueError(f"{ref!r} is a tag; tags do not move")
         parent = self.head(ref)
-        gone = sum(replaced.values())
-        summary = {
-            "added-records": added,
-            "replaced-records": gone,
-            "total-records": self._state.total(parent) + added - gone,
-            **{f"replaced.{k}": n for k, n in sorted(replaced.items())},
-        }
+        added = sum(written.values()) - sum(replaced.values())
         self._record(
             "commit",
             ref,
@@ -629,7 +724,13 @@ class VersionedTable:
             parent_id=parent,
             committed_at=committed_at,
             operation=operation,
-            summary=summary,
+            summary={
+                "added-records": added,
+                "changed-records": changed,
+                "total-records": self._state.commits[parent].total + added,
+            },
+            written=written,
+            replaced={f"{old}/{part}": n for (old, part), n in replaced.items()},
         )
         return seq
 
@@ -659,9 +760,10 @@ class VersionedTable:
         committed_at: str | datetime | None = None,
         operation: str | None = None,
         summary: Mapping[str, object] | None = None,
+        written: Mapping[str, int] | None = None,
+        replaced: Mapping[str, int] | None = None,
     ) -> None:
         """Write one event as one small file, then read the events back."""
-        pairs = [F.lit(str(x)) for item in (summary or {}).items() for x in item]
         schema = self.schema.json() if kind in ("commit", "schema") else None
         event = self.spark.range(1, numPartitions=1).select(
             F.lit(self._state.events + 1).cast("long").alias("event"),
@@ -672,12 +774,25 @@ class VersionedTable:
             _timestamp(committed_at).alias("committed_at"),
             F.lit(operation).cast("string").alias("operation"),
             F.lit(schema).cast("string").alias("table_schema"),
-            F.create_map(*pairs).cast("map<string,string>").alias("summary"),
+            _map(summary, "string").alias("summary"),
+            _map(written, "bigint").alias("written"),
+            _map(replaced, "bigint").alias("replaced"),
         )
         event.write.mode("append").parquet(f"{self.path}/meta")
         self.refresh()
 
 
+def _map(entries: Mapping[str, object] | None, kind: str) -> Column:
+    keys, values = list(entries or {}), [str(v) for v in (entries or {}).values()]
+    text = F.map_from_arrays(F.lit(keys).cast("array<string>"), F.lit(values).cast("array<string>"))
+    return text.cast(f"map<string,{kind}>")
+
+
+def _unit(key: str) -> Unit:
+    seq, part = key.split("/", 1)
+    return int(seq), part
+
+
 def _timestamp(value: str | datetime | None) -> Column:
     """A point in time; text and naive datetimes are taken in the session's time zone."""
     if value is None:

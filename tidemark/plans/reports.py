@@ -360,7 +360,8 @@ def operations(table: VersionedTable) -> DataFrame:
         .groupBy("operation")
         .agg(
             F.count("*").alias("operation_count"),
-            F.sum(_summary("added-records")).alias("records_written"),
+            F.sum(_summary("added-records")).alias("records_added"),
+            F.sum(_summary("changed-records")).alias("records_changed"),
         )
         .orderBy(F.desc("operation_count"))
     )
