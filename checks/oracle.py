@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .data import DEV_TYPE, FIRST_SEGMENTS, RUN_TS, TABLES
+from .data import FIRST_SEGMENTS, RUN_TS, TABLES
 
 SPACE = r"\t\n\x0B\f\r "  # what white space means in the patterns of the Spark side
 WIDE = "DECIMAL(38,2)"
@@ -114,7 +114,8 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT event_id, event_type, value + 1, CAST(ts AS DATE) FROM events
         WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' AND event_type <> 'error'""",
-    "partition_days": f"""
+    "partition_days": f"SELECT * REPLACE ({_moved} AS ts) FROM events",
+    "time_range": f"""
         SELECT * FROM (SELECT * REPLACE ({_moved} AS ts) FROM events)
         WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'""",
     "partition_months": """
@@ -302,28 +303,36 @@ ORACLE: dict[str, str] = {
                'Production Data' AS description
         FROM final""",
     "main_count": "SELECT count(*) AS product_count FROM part",
-    "branch_count": f"""
-        SELECT count(*) + count(*) FILTER (p_type = '{DEV_TYPE}') AS product_count FROM part""",
-    "branch_compare": f"""
+    "branch_count": """
+        SELECT 2 * count(*) AS product_count FROM part""",
+    "branch_compare": """
         SELECT 'main' AS branch_name, count(*) AS product_count, 'Production Branch' AS description
         FROM part
         UNION ALL
-        SELECT 'dev', count(*) + count(*) FILTER (p_type = '{DEV_TYPE}'),
+        SELECT 'dev', 2 * count(*),
                'Development Branch (Spark-created)'
         FROM part""",
     "branch_lookup": f"""
         SELECT -1 - p_partkey AS id, p_name AS name, p_type AS category,
                CAST(p_retailprice AS {WIDE}) AS price
-        FROM part WHERE p_partkey = 0 AND p_type = '{DEV_TYPE}'""",
+        FROM part WHERE p_partkey = 0""",
     "tag_totals": f"""
         SELECT count(*) AS products, CAST(sum(CAST(p_retailprice AS DECIMAL(10,2))) AS {WIDE}) AS total_price
         FROM part""",
-    "refs_list": f"""
+    "refs_list": """
         SELECT 'dev' AS branch_or_tag_name, 'BRANCH' AS type, CAST(3 AS BIGINT) AS snapshot_id,
-               count(*) + count(*) FILTER (p_type = '{DEV_TYPE}') AS record_count FROM part
+               2 * count(*) AS record_count FROM part
         UNION ALL SELECT 'main', 'BRANCH', 2, count(*) FROM part
         UNION ALL SELECT 'v1_0_0', 'TAG', 2, count(*) FROM part""",
-    # business summaries
+    # files and business summaries
+    "file_summary": """
+        SELECT 'PARQUET' AS file_format, count(*) AS total_records, TRUE AS has_files,
+               TRUE AS has_size
+        FROM customer""",
+    "evolution_summary": """
+        SELECT 3 AS total_snapshots, 2 AS branches, count(*) > 0 AS has_files,
+               count(*) > 0 AS has_bytes
+        FROM part""",
     "count_by_tier": f"""
         WITH {CUSTOMERS}
         SELECT customer_tier, count(*) AS count FROM final GROUP BY customer_tier""",

@@ -23,7 +23,7 @@ class Transform:
         return day if self.unit == "day" else F.trunc(day, "MONTH")
 
     def derived(self) -> Column:
-        return self.apply(F.col(self.column)).alias(self.name)
+        return self.apply(F.col(f"`{self.column}`")).alias(self.name)
 
     def __str__(self) -> str:
         return f"{self.unit}s({self.column})"

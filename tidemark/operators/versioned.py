@@ -348,7 +348,10 @@ class VersionedTable:
         rows = rows.withColumns(
             {**changed, REPLACES: F.col(COMMIT), REPLACES_PART: self._part()}
         ).select(*(f"`{n}`" for n in self.schema.names), *ROW_ID, REPLACES, REPLACES_PART)
-        self._write(self._rebalanced(rows) if mode == "merge" else rows, seq)
+        # Matches lie scattered over the table, and moved rows over partitions; a rewrite in place
+        # keeps the layout it reads.
+        moves = any(t.column in assign for t in self.partition_by)
+        self._write(self._rebalanced(rows) if mode == "merge" or moves else rows, seq)
         written: Counter[str] = Counter()
         replaced: Counter[Unit] = Counter()
         for row in (
@@ -479,6 +482,7 @@ class VersionedTable:
             for unit, n in commit.replaced.items()
             if n == written[unit]
         }
+        # One row per replaced folder, known from the events: small enough to send everywhere.
         ended = self.spark.createDataFrame(
             [(*unit, seq) for unit, seq in ended_at.items()],
             f"{COMMIT} BIGINT, part STRING, snapshot_id BIGINT",
@@ -490,7 +494,7 @@ class VersionedTable:
             self._scan(sorted(written))
             .groupBy(COMMIT, self._part().alias("part"))
             .agg(*totals)
-            .join(ended, [COMMIT, "part"], "left")
+            .join(F.broadcast(ended), [COMMIT, "part"], "left")
             .select(F.explode(F.array(begin, end)).alias("change"))
             .select("change.*")
             .filter("snapshot_id IS NOT NULL")

@@ -425,28 +425,32 @@ def grand_totals(df: DataFrame) -> DataFrame:
 def inventory(listing: DataFrame, catalog: str) -> DataFrame:
     """Catalogs, schemas of one catalog, and tables of each of its schemas, as counted lists.
 
-    ``listing`` has one or more rows (catalog, schema, table) per table. Names are reduced to
-    sets before the shuffle, so a list is as long as the number of different names.
+    ``listing`` has one or more rows (catalog, schema, table) per table. It is read once and
+    reduced to different names before each shuffle, however often one of them occurs.
     """
-    names = F.array_sort(F.collect_set("item"))
-    listed = [F.size(names).cast("long").alias("count"), F.array_join(names, ", ").alias("available_items")]
-    here = listing.filter((F.col("catalog") == catalog) & (F.col("schema") != SERVICE_SCHEMA))
-    catalogs = (
-        listing.filter(~F.col("catalog").isin(*SERVICE_CATALOGS))
-        .select(F.lit("Available Catalogs").alias("resource_type"), F.col("catalog").alias("item"))
-    )
-    schemas = here.select(
-        F.lit(f"Schemas in {catalog}").alias("resource_type"), F.col("schema").alias("item")
-    )
-    tables = here.filter(F.col("table").isNotNull()).select(
-        F.concat(F.lit(f"Tables in {catalog}."), "schema").alias("resource_type"),
-        F.col("table").alias("item"),
-    )
+    column = {name: F.col(f"`{name}`") for name in ("catalog", "schema", "table")}
+    here = (column["catalog"] == catalog) & (column["schema"] != SERVICE_SCHEMA)
+    entries = [
+        (~column["catalog"].isin(*SERVICE_CATALOGS), F.lit("Available Catalogs"), "catalog"),
+        (here, F.lit(f"Schemas in {catalog}"), "schema"),
+        (here, F.concat(F.lit(f"Tables in {catalog}."), column["schema"]), "table"),
+    ]
+    lines = [
+        F.when(shown, F.struct(kind.alias("resource_type"), column[name].alias("item")))
+        for shown, kind, name in entries
+    ]
+    names = F.array_sort(F.collect_set("line.item"))
     kind = F.col("resource_type")
     rank = F.when(kind.like("Available Catalogs%"), 1).when(kind.like("Schemas in%"), 2).otherwise(3)
     return (
-        _union([catalogs, schemas, tables])
-        .groupBy("resource_type")
-        .agg(*listed)
+        listing.select("catalog", "schema", "table")
+        .distinct()
+        .select(F.explode(F.array(*lines)).alias("line"))
+        .filter("line.item IS NOT NULL")
+        .groupBy("line.resource_type")
+        .agg(
+            F.size(names).cast("long").alias("count"),
+            F.array_join(names, ", ").alias("available_items"),
+        )
         .orderBy(rank, "resource_type")
     )
