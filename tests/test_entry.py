@@ -63,3 +63,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Growth Phase" in out and "Development Branch" in out
     main(["inventory", "--schema", "cli_demo"], spark)
     assert "Tables in spark_catalog.cli_demo" in capsys.readouterr().out
+
+
+@needs_data
+@pytest.mark.parametrize("limit", [0, 20])
+def test_story_told_by_rewriting_equals_sql(spark, db, monkeypatch, limit):
+    """The same snapshots, whether updates merge or rewrite the folders they touch."""
+    from checks import data
+    from tidemark.operators import versioned
+
+    monkeypatch.setattr(versioned, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(data, "_built", {})
+    names = ["totals_all_snapshots", "totals_as_of", "rows_at_timestamp", "assign_tiers"]
+    for name in [*names, "apply_promo", "ops_histogram", "file_summary", "table_partitions"]:
+        test_query_equals_sql(spark, db, name)
