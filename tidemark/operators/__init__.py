@@ -1,4 +1,4 @@
 from .partitioning import Transform, days, months
-from .versioned import MAIN, ReadPlan, UnknownVersion, VersionedTable
+from .versioned import MAIN, ROW_ID, ReadPlan, UnknownVersion, VersionedTable
 
-__all__ = ["MAIN", "ReadPlan", "Transform", "UnknownVersion", "VersionedTable", "days", "months"]
+__all__ = ["MAIN", "ROW_ID", "ReadPlan", "Transform", "UnknownVersion", "VersionedTable", "days", "months"]

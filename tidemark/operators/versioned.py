@@ -2,9 +2,9 @@
 
 A table is a folder with two data sets:
 
-``log/commit_seq=N``  the rows commit N wrote: the user's columns, the row's identity
-                      (``_row_commit``, ``_row_num``) and, for a row that takes another version's
-                      place, where that version lies (``_replaces``, ``_replaces_part``).
+``log/commit_seq=N``  the rows commit N wrote: the user's columns, the row's identity (``_row_id``)
+                      and, for a row that takes another version's place, where that version lies
+                      (``_replaces``, ``_replaces_part``).
 ``meta``              one small row per event: a commit, a new or dropped reference, a new column.
 
 A commit writes its log rows first and its event last, so a failed write stays invisible and is
@@ -37,12 +37,12 @@ from .partitioning import Transform
 
 MAIN = "main"
 COMMIT = "commit_seq"
-ROW_ID = ["_row_commit", "_row_num"]
+ROW_ID = "_row_id"
 REPLACES = "_replaces"
 REPLACES_PART = "_replaces_part"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name for NULL
 
-# Replacement keys are three longs; half a million of them take well under 100 MB in a hash
+# Replacement keys are pairs of longs; half a million of them take well under 100 MB in a hash
 # table. Their exact number is known from the events before a join is planned.
 BROADCAST_ROWS = 500_000
 
@@ -57,8 +57,7 @@ Unit = tuple[int, str]
 
 
 _HIDDEN = {
-    ROW_ID[0]: LongType(),
-    ROW_ID[1]: LongType(),
+    ROW_ID: LongType(),
     REPLACES: LongType(),
     REPLACES_PART: StringType(),
     COMMIT: LongType(),
@@ -89,6 +88,7 @@ class _State:
     schema: StructType = field(default_factory=StructType)
     partition_by: list[Transform] = field(default_factory=list)
     compression: str = ""
+    next_row_id: int = 0
 
     def chain(self, snapshot_id: int | None) -> list[int]:
         """The commits a snapshot is made of, oldest first."""
@@ -199,6 +199,7 @@ class VersionedTable:
                 "added-records": added,
                 "changed-records": 0,
                 "total-records": added,
+                "next-row-id": table._state.next_row_id,
                 "partition-by": ";".join(map(str, partition_by)),
                 "compression": compression,
             },
@@ -229,6 +230,7 @@ class VersionedTable:
                     written={(row.snapshot_id, part): n for part, n in row.written.items()},
                     replaced={_unit(key): n for key, n in row.replaced.items()},
                 )
+                state.next_row_id = max(state.next_row_id, int(row.summary["next-row-id"]))
                 if row.snapshot_id == 1:
                     spec = row.summary["partition-by"]
                     state.partition_by = [Transform.parse(t) for t in spec.split(";") if t]
@@ -347,7 +349,7 @@ class VersionedTable:
             changed = {n: F.when(hit, e).otherwise(F.col(f"`{n}`")) for n, e in changed.items()}
         rows = rows.withColumns(
             {**changed, REPLACES: F.col(COMMIT), REPLACES_PART: self._part()}
-        ).select(*(f"`{n}`" for n in self.schema.names), *ROW_ID, REPLACES, REPLACES_PART)
+        ).select(*(f"`{n}`" for n in self.schema.names), ROW_ID, REPLACES, REPLACES_PART)
         # Matches lie scattered over the table, and moved rows over partitions; a rewrite in place
         # keeps the layout it reads.
         moves = any(t.column in assign for t in self.partition_by)
@@ -432,7 +434,7 @@ class VersionedTable:
         schema = self.schema if reconcile else self._state.commits[snapshot_id].schema
         columns = [F.col(f"`{name}`") for name in schema.names]
         if with_row_id:
-            columns += [F.col(name) for name in ROW_ID]
+            columns.append(F.col(ROW_ID))
         return self._rows(snapshot_id).select(*columns)
 
     def snapshot_at(self, timestamp: str | datetime, ref: str = MAIN) -> int:
@@ -470,56 +472,64 @@ class VersionedTable:
         """Row count and sum of ``column`` at every snapshot of ``ref``, in one pass.
 
         A version counts from its own commit on and stops counting at the commit that replaced
-        it. The table is reduced to one row per folder. A folder that one commit replaced as a
-        whole ends there without a join; only single replaced rows are looked up by identity.
+        it. The table is reduced to one row per folder: a fully replaced folder ends at the commit
+        that replaced the last of its rows. Only rows that were replaced earlier or singly are
+        looked up, by identity, to be taken off when they ended.
         """
         chain = self.lineage(ref)
-        commits = [self._state.commits[seq] for seq in chain]
-        written = {unit: n for commit in commits for unit, n in commit.written.items() if n}
-        ended_at = {
-            unit: seq
-            for seq, commit in zip(chain, commits)
+        commits = {seq: self._state.commits[seq] for seq in chain}
+        written = {unit: n for c in commits.values() for unit, n in c.written.items() if n}
+        gone: Counter[Unit] = Counter()
+        last: dict[Unit, int] = {}
+        for seq, commit in commits.items():
+            gone.update(commit.replaced)
+            last.update(dict.fromkeys(commit.replaced, seq))
+        ended_at = {unit: seq for unit, seq in last.items() if gone[unit] == written[unit]}
+        single = {
+            (seq, unit): n
+            for seq, commit in commits.items()
             for unit, n in commit.replaced.items()
-            if n == written[unit]
+            if ended_at.get(unit) != seq
         }
         # One row per replaced folder, known from the events: small enough to send everywhere.
-        ended = self.spark.createDataFrame(
-            [(*unit, seq) for unit, seq in ended_at.items()],
-            f"{COMMIT} BIGINT, part STRING, snapshot_id BIGINT",
+        ended = F.broadcast(
+            self.spark.createDataFrame(
+                [(*unit, seq) for unit, seq in ended_at.items()],
+                f"{COMMIT} BIGINT, part STRING, ended BIGINT",
+            )
         )
-        totals = [F.count("*").alias("n"), F.sum(column).alias("x")]
-        begin = F.struct(F.col(COMMIT).alias("snapshot_id"), "n", "x")
-        end = F.struct("snapshot_id", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))
-        changes = (
-            self._scan(sorted(written))
-            .groupBy(COMMIT, self._part().alias("part"))
-            .agg(*totals)
-            .join(F.broadcast(ended), [COMMIT, "part"], "left")
-            .select(F.explode(F.array(begin, end)).alias("change"))
-            .select("change.*")
-            .filter("snapshot_id IS NOT NULL")
+
+        def change(at: str, sign: int) -> Column:
+            n, x = (F.col(c) * sign for c in ("n", "x"))
+            return F.struct(F.col(at).alias("snapshot_id"), n.alias("n"), x.alias("x"))
+
+        def changes_of(totals: DataFrame, start: str, sign: int) -> DataFrame:
+            """Each total counts with ``sign`` from ``start`` on, and no more once ``ended``."""
+            both = F.array(change(start, sign), change("ended", -sign))
+            return totals.select(F.explode(both).alias("change")).select("change.*")
+
+        sums = [F.count("*").alias("n"), F.sum(column).alias("x")]
+        folders = (
+            self._scan(sorted(written)).groupBy(COMMIT, self._part().alias("part")).agg(*sums)
         )
-        single = {
-            unit: seq
-            for seq, commit in zip(chain, commits)
-            for unit in commit.replaced
-            if unit not in ended_at
-        }
+        changes = changes_of(folders.join(ended, [COMMIT, "part"], "left"), COMMIT, 1)
         if single:
-            replacing = [
-                seq for seq, c in zip(chain, commits) if c.replaced.keys() & single.keys()
-            ]
-            old = (F.col(REPLACES).alias("old"), F.col(REPLACES_PART).alias("part"))
-            keys = self._scan([(seq, "") for seq in replacing]).select(
-                *ROW_ID, *old, F.col(COMMIT).alias("snapshot_id")
+            replaced = F.col(REPLACES).alias("old"), F.col(REPLACES_PART).alias("part")
+            keys = (
+                self._scan([(seq, "") for seq in sorted({seq for seq, _ in single})])
+                .select(ROW_ID, *replaced, F.col(COMMIT).alias("snapshot_id"))
+                .join(ended.withColumnRenamed(COMMIT, "old"), ["old", "part"], "left")
+                .filter("ended IS NULL OR ended != snapshot_id")
+                .select(ROW_ID, F.col("old").alias(COMMIT), "snapshot_id", "ended")
             )
-            keys = self._sized(
-                keys, sum(n for s in replacing for n in self._state.commits[s].replaced.values())
+            found = (
+                self._scan(sorted({unit for _, unit in single}))
+                .join(self._sized(keys, sum(single.values())), [ROW_ID, COMMIT])
+                .groupBy("snapshot_id", "ended")
+                .agg(*sums)
             )
-            versions = self._scan(sorted(single)).withColumn("part", self._part())
-            versions = versions.withColumnRenamed(COMMIT, "old")
-            found = versions.join(keys, [*ROW_ID, "old", "part"]).groupBy("snapshot_id")
-            changes = changes.unionByName(found.agg(*totals).select(end.alias("change")).select("change.*"))
+            changes = changes.unionByName(changes_of(found, "snapshot_id", -1))
+        changes = changes.filter("snapshot_id IS NOT NULL")
         zero = self.snapshots().filter(F.col("snapshot_id").isin(chain))
         changes = changes.unionByName(zero.select("snapshot_id", F.lit(0).alias("n"), F.lit(0).alias("x")))
         so_far = Window.orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -649,11 +659,14 @@ class VersionedTable:
             gone = (
                 self._scan([(seq, "") for seq in plan.replacing])
                 .filter(F.col(REPLACES).isin(commits))
-                .select(*ROW_ID, F.col(REPLACES).alias(COMMIT))
+                .select(F.col(ROW_ID).alias("gone_id"), F.col(REPLACES).alias("gone_commit"))
             )
             gone = self._sized(gone, plan.replacements)
-            parts.append(self._scan(plan.partial).join(gone, [*ROW_ID, COMMIT], "left_anti"))
-        names = [*self.schema.names, *ROW_ID, COMMIT, *(t.name for t in self.partition_by)]
+            # Along one chain a version is gone once any version as new as it was replaced. Put
+            # this way the join has a single long as its key, the cheapest kind there is.
+            older = (F.col(ROW_ID) == F.col("gone_id")) & (F.col(COMMIT) <= F.col("gone_commit"))
+            parts.append(self._scan(plan.partial).join(gone, older, "left_anti"))
+        names = [*self.schema.names, ROW_ID, COMMIT, *(t.name for t in self.partition_by)]
         return reduce(DataFrame.unionByName, (p.select(*(f"`{n}`" for n in names)) for p in parts))
 
     def _sized(self, keys: DataFrame, rows: int) -> DataFrame:
@@ -664,7 +677,7 @@ class VersionedTable:
         """Well-sized output: adaptive execution splits hot partitions and merges small ones."""
         if not self.partition_by:
             # Row identities are unique, so hashing them spreads changed rows evenly.
-            return rows.hint("rebalance", *(n for n in ROW_ID if n in rows.columns))
+            return rows.hint("rebalance", *({ROW_ID} & set(rows.columns)))
         derived = rows.withColumns({t.name: t.derived() for t in self.partition_by})
         names = [t.name for t in self.partition_by]
         return derived.hint("rebalance", *names).drop(*names)
@@ -684,16 +697,18 @@ class VersionedTable:
         )
         if bool(self.partition_by) if rebalance is None else rebalance:
             rows = self._rebalanced(rows)
+        identity = F.monotonically_increasing_id() + F.lit(self._state.next_row_id)
         rows = rows.select(
             "*",
-            F.lit(seq).cast("long").alias(ROW_ID[0]),
-            F.monotonically_increasing_id().alias(ROW_ID[1]),
+            identity.alias(ROW_ID),
             F.lit(None).cast("long").alias(REPLACES),
             F.lit(None).cast("string").alias(REPLACES_PART),
         )
         self._write(rows, seq)
-        counts = self._scan([(seq, "")]).groupBy(self._part().alias("part")).count()
-        return {row["part"]: row["count"] for row in counts.collect()}
+        per_part = self._scan([(seq, "")]).groupBy(self._part().alias("part"))
+        counts = per_part.agg(F.count("*").alias("n"), F.max(ROW_ID).alias("top")).collect()
+        self._state.next_row_id = max([self._state.next_row_id, *(r.top + 1 for r in counts)])
+        return {row["part"]: row["n"] for row in counts}
 
     def _write(self, rows: DataFrame, seq: int) -> None:
         transforms = self.partition_by
@@ -732,6 +747,7 @@ class VersionedTable:
                 "added-records": added,
                 "changed-records": changed,
                 "total-records": self._state.commits[parent].total + added,
+                "next-row-id": self._state.next_row_id,
             },
             written=written,
             replaced={f"{old}/{part}": n for (old, part), n in replaced.items()},

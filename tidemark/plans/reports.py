@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import MAIN, VersionedTable
+from ..operators import MAIN, ROW_ID, VersionedTable
 
 MEASURE = "total_spent"
 TIER = "customer_tier"
@@ -53,7 +53,7 @@ def _summary(key: str) -> Column:
 def _by_id(rows: DataFrame) -> DataFrame:
     """Sorted by id. The hidden row identity breaks ties, so that one id that fills a third of
     the table still spreads over many range partitions."""
-    return rows.orderBy("id", "_row_commit", "_row_num").drop("_row_commit", "_row_num")
+    return rows.orderBy("id", ROW_ID).drop(ROW_ID)
 
 
 # -- state of the table at one point -------------------------------------------------------
@@ -86,8 +86,7 @@ def first_snapshot_rows(table: VersionedTable) -> DataFrame:
         "country",
         MEASURE,
         F.lit(FIRST_CONTEXT).alias("time_context"),
-        "_row_commit",
-        "_row_num",
+        ROW_ID,
     )
     return _by_id(rows)
 
