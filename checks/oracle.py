@@ -108,6 +108,7 @@ ORACLE: dict[str, str] = {
     # sinks and DDL
     "register_table": "SELECT * FROM orders",
     "append_twice": f"{_names('p_partkey', 'p_name', 'part')} UNION ALL {_names('p_partkey', 'p_name', 'part')}",
+    "append_plain": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
     "overwrite_partitions": """
         SELECT event_id, event_type, value, CAST(ts AS DATE) AS day FROM events
         WHERE ts < TIMESTAMP '2024-01-16 00:00:00'

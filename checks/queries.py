@@ -12,8 +12,11 @@ from tidemark import VersionedTable, days
 from tidemark.functions import array_from_text
 from tidemark.plans import pipelines, reports
 from tidemark.sources import (
+    append_table,
     conform,
+    create_table,
     describe,
+    drop_table,
     load_file,
     overwrite_partitions,
     preview,
@@ -169,6 +172,18 @@ def append_twice(spark, sf):
     return target.current()
 
 
+@query
+def append_plain(spark, sf):
+    """The same for a plain catalog table: two inserts of the whole of customer."""
+    table = f"{data.database(spark, sf)}.customer_twice"
+    customer = data.read(spark, sf, "customer")
+    drop_table(spark, table)
+    create_table(spark, table, customer.schema.toDDL(), "gzip")
+    for _ in range(2):
+        append_table(customer, table)
+    return spark.table(table)
+
+
 @query
 def overwrite_partitions_by_day(spark, sf):
     path = data.fresh_dir(spark, sf, "overwritten")

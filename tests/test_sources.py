@@ -8,8 +8,10 @@ from pyspark.sql.types import StructType
 
 from tidemark.sources import files
 from tidemark.sources import (
+    append_table,
     conform,
     create_database,
+    create_table,
     describe,
     detect_format,
     drop_table,
@@ -223,6 +225,19 @@ def test_registration_with_location(spark, tmp_path):
     assert (tmp_path / "wh" / "t").is_dir()
 
 
+def test_catalog_table_is_created_once_and_appended(spark, tmp_path):
+    create_database(spark, "demo_a", str(tmp_path / "wh"))
+    for _ in range(2):
+        create_table(spark, "demo_a.t", "id BIGINT, name STRING", "gzip")
+    rows = spark.createDataFrame([("x", 1)], "name STRING, id BIGINT")
+    for _ in range(2):
+        append_table(rows, "demo_a.t")
+    assert [tuple(r) for r in spark.table("demo_a.t").collect()] == [(1, "x")] * 2
+    assert all(p.name.endswith(".gz.parquet") for p in (tmp_path / "wh" / "t").glob("part-*"))
+    with pytest.raises(ValueError):
+        append_table(rows.drop("name"), "demo_a.t")
+
+
 def test_listing(spark, tmp_path):
     create_database(spark, "demo_list")
     create_database(spark, "demo_list")

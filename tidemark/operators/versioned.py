@@ -2,8 +2,9 @@
 
 A table is a folder with two data sets:
 
-``log/commit_seq=N``  the rows commit N wrote: the user's columns, the row's identity (``_row_id``)
-                      and, for a row that takes another version's place, where that version lies
+``log/commit_seq=N``  the rows commit N wrote: the user's columns, the row's identity (the commit
+                      that inserted it and its number there: ``_row_commit``, ``_row_num``) and,
+                      for a row that takes another version's place, where that version lies
                       (``_replaces``, ``_replaces_part``).
 ``meta``              one small row per event: a commit, a new or dropped reference, a new column.
 
@@ -37,12 +38,12 @@ from .partitioning import Transform
 
 MAIN = "main"
 COMMIT = "commit_seq"
-ROW_ID = "_row_id"
+ROW_ID = ("_row_commit", "_row_num")
 REPLACES = "_replaces"
 REPLACES_PART = "_replaces_part"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name for NULL
 
-# Replacement keys are pairs of longs; half a million of them take well under 100 MB in a hash
+# Replacement keys are three longs; half a million of them take well under 100 MB in a hash
 # table. Their exact number is known from the events before a join is planned.
 BROADCAST_ROWS = 500_000
 
@@ -57,7 +58,7 @@ Unit = tuple[int, str]
 
 
 _HIDDEN = {
-    ROW_ID: LongType(),
+    **dict.fromkeys(ROW_ID, LongType()),
     REPLACES: LongType(),
     REPLACES_PART: StringType(),
     COMMIT: LongType(),
@@ -88,7 +89,6 @@ class _State:
     schema: StructType = field(default_factory=StructType)
     partition_by: list[Transform] = field(default_factory=list)
     compression: str = ""
-    next_row_id: int = 0
 
     def chain(self, snapshot_id: int | None) -> list[int]:
         """The commits a snapshot is made of, oldest first."""
@@ -149,8 +149,7 @@ class VersionedTable:
     @classmethod
     def exists(cls, spark: SparkSession, path: str) -> bool:
         try:
-            spark.read.schema(META_SCHEMA).parquet(f"{path.rstrip('/')}/meta")
-            return True
+            return not spark.read.schema(META_SCHEMA).parquet(f"{path.rstrip('/')}/meta").isEmpty()
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return False
@@ -199,7 +198,6 @@ class VersionedTable:
                 "added-records": added,
                 "changed-records": 0,
                 "total-records": added,
-                "next-row-id": table._state.next_row_id,
                 "partition-by": ";".join(map(str, partition_by)),
                 "compression": compression,
             },
@@ -230,7 +228,6 @@ class VersionedTable:
                     written={(row.snapshot_id, part): n for part, n in row.written.items()},
                     replaced={_unit(key): n for key, n in row.replaced.items()},
                 )
-                state.next_row_id = max(state.next_row_id, int(row.summary["next-row-id"]))
                 if row.snapshot_id == 1:
                     spec = row.summary["partition-by"]
                     state.partition_by = [Transform.parse(t) for t in spec.split(";") if t]
@@ -293,7 +290,7 @@ class VersionedTable:
         splitting hot partitions and merging small ones. It is on for partitioned tables; turn
         it off when the rows all fall into a few partitions or arrive clustered.
         """
-        self.refresh()
+        self._writable(ref)
         seq = self._next_id()
         written = self._write_new(df, seq, rebalance)
         return self._commit(seq, ref, committed_at, "append", written, {}, 0)
@@ -322,7 +319,7 @@ class VersionedTable:
         """
         if mode not in ("auto", "merge", "copy"):
             raise ValueError(f"unknown mode: {mode}")
-        self.refresh()
+        self._writable(ref)
         if unknown := set(assign) - set(self.schema.names):
             raise ValueError(f"columns not in the table: {sorted(unknown)}")
         where = F.expr(where) if isinstance(where, str) else where
@@ -349,7 +346,7 @@ class VersionedTable:
             changed = {n: F.when(hit, e).otherwise(F.col(f"`{n}`")) for n, e in changed.items()}
         rows = rows.withColumns(
             {**changed, REPLACES: F.col(COMMIT), REPLACES_PART: self._part()}
-        ).select(*(f"`{n}`" for n in self.schema.names), ROW_ID, REPLACES, REPLACES_PART)
+        ).select(*(f"`{n}`" for n in self.schema.names), *ROW_ID, REPLACES, REPLACES_PART)
         # Matches lie scattered over the table, and moved rows over partitions; a rewrite in place
         # keeps the layout it reads.
         moves = any(t.column in assign for t in self.partition_by)
@@ -434,7 +431,7 @@ class VersionedTable:
         schema = self.schema if reconcile else self._state.commits[snapshot_id].schema
         columns = [F.col(f"`{name}`") for name in schema.names]
         if with_row_id:
-            columns.append(F.col(ROW_ID))
+            columns += map(F.col, ROW_ID)
         return self._rows(snapshot_id).select(*columns)
 
     def snapshot_at(self, timestamp: str | datetime, ref: str = MAIN) -> int:
@@ -517,14 +514,14 @@ class VersionedTable:
             replaced = F.col(REPLACES).alias("old"), F.col(REPLACES_PART).alias("part")
             keys = (
                 self._scan([(seq, "") for seq in sorted({seq for seq, _ in single})])
-                .select(ROW_ID, *replaced, F.col(COMMIT).alias("snapshot_id"))
+                .select(*ROW_ID, *replaced, F.col(COMMIT).alias("snapshot_id"))
                 .join(ended.withColumnRenamed(COMMIT, "old"), ["old", "part"], "left")
                 .filter("ended IS NULL OR ended != snapshot_id")
-                .select(ROW_ID, F.col("old").alias(COMMIT), "snapshot_id", "ended")
+                .select(*ROW_ID, F.col("old").alias(COMMIT), "snapshot_id", "ended")
             )
             found = (
                 self._scan(sorted({unit for _, unit in single}))
-                .join(self._sized(keys, sum(single.values())), [ROW_ID, COMMIT])
+                .join(self._sized(keys, sum(single.values())), [*ROW_ID, COMMIT])
                 .groupBy("snapshot_id", "ended")
                 .agg(*sums)
             )
@@ -614,6 +611,11 @@ class VersionedTable:
     def _meta(self) -> DataFrame:
         return self.spark.read.schema(META_SCHEMA).parquet(f"{self.path}/meta")
 
+    def _writable(self, ref: str) -> None:
+        self.refresh().head(ref)
+        if self._state.refs[ref][0] == "TAG":
+            raise ValueError(f"{ref!r} is a tag; tags do not move")
+
     def _next_id(self) -> int:
         return max(self._state.commits) + 1
 
@@ -659,14 +661,11 @@ class VersionedTable:
             gone = (
                 self._scan([(seq, "") for seq in plan.replacing])
                 .filter(F.col(REPLACES).isin(commits))
-                .select(F.col(ROW_ID).alias("gone_id"), F.col(REPLACES).alias("gone_commit"))
+                .select(*ROW_ID, F.col(REPLACES).alias(COMMIT))
             )
             gone = self._sized(gone, plan.replacements)
-            # Along one chain a version is gone once any version as new as it was replaced. Put
-            # this way the join has a single long as its key, the cheapest kind there is.
-            older = (F.col(ROW_ID) == F.col("gone_id")) & (F.col(COMMIT) <= F.col("gone_commit"))
-            parts.append(self._scan(plan.partial).join(gone, older, "left_anti"))
-        names = [*self.schema.names, ROW_ID, COMMIT, *(t.name for t in self.partition_by)]
+            parts.append(self._scan(plan.partial).join(gone, [*ROW_ID, COMMIT], "left_anti"))
+        names = [*self.schema.names, *ROW_ID, COMMIT, *(t.name for t in self.partition_by)]
         return reduce(DataFrame.unionByName, (p.select(*(f"`{n}`" for n in names)) for p in parts))
 
     def _sized(self, keys: DataFrame, rows: int) -> DataFrame:
@@ -677,7 +676,7 @@ class VersionedTable:
         """Well-sized output: adaptive execution splits hot partitions and merges small ones."""
         if not self.partition_by:
             # Row identities are unique, so hashing them spreads changed rows evenly.
-            return rows.hint("rebalance", *({ROW_ID} & set(rows.columns)))
+            return rows.hint("rebalance", *(n for n in ROW_ID if n in rows.columns))
         derived = rows.withColumns({t.name: t.derived() for t in self.partition_by})
         names = [t.name for t in self.partition_by]
         return derived.hint("rebalance", *names).drop(*names)
@@ -697,18 +696,16 @@ class VersionedTable:
         )
         if bool(self.partition_by) if rebalance is None else rebalance:
             rows = self._rebalanced(rows)
-        identity = F.monotonically_increasing_id() + F.lit(self._state.next_row_id)
         rows = rows.select(
             "*",
-            identity.alias(ROW_ID),
+            F.lit(seq).cast("long").alias(ROW_ID[0]),
+            F.monotonically_increasing_id().alias(ROW_ID[1]),
             F.lit(None).cast("long").alias(REPLACES),
             F.lit(None).cast("string").alias(REPLACES_PART),
         )
         self._write(rows, seq)
-        per_part = self._scan([(seq, "")]).groupBy(self._part().alias("part"))
-        counts = per_part.agg(F.count("*").alias("n"), F.max(ROW_ID).alias("top")).collect()
-        self._state.next_row_id = max([self._state.next_row_id, *(r.top + 1 for r in counts)])
-        return {row["part"]: row["n"] for row in counts}
+        counts = self._scan([(seq, "")]).groupBy(self._part().alias("part")).count()
+        return {row["part"]: row["count"] for row in counts.collect()}
 
     def _write(self, rows: DataFrame, seq: int) -> None:
         transforms = self.partition_by
@@ -732,8 +729,6 @@ class VersionedTable:
         replaced: Mapping[Unit, int],
         changed: int,
     ) -> int:
-        if self._state.refs.get(ref, ("", 0))[0] == "TAG":
-            raise ValueError(f"{ref!r} is a tag; tags do not move")
         parent = self.head(ref)
         added = sum(written.values()) - sum(replaced.values())
         self._record(
@@ -747,7 +742,6 @@ class VersionedTable:
                 "added-records": added,
                 "changed-records": changed,
                 "total-records": self._state.commits[parent].total + added,
-                "next-row-id": self._state.next_row_id,
             },
             written=written,
             replaced={f"{old}/{part}": n for (old, part), n in replaced.items()},

@@ -53,7 +53,7 @@ def _summary(key: str) -> Column:
 def _by_id(rows: DataFrame) -> DataFrame:
     """Sorted by id. The hidden row identity breaks ties, so that one id that fills a third of
     the table still spreads over many range partitions."""
-    return rows.orderBy("id", ROW_ID).drop(ROW_ID)
+    return rows.orderBy("id", *ROW_ID).drop(*ROW_ID)
 
 
 # -- state of the table at one point -------------------------------------------------------
@@ -86,7 +86,7 @@ def first_snapshot_rows(table: VersionedTable) -> DataFrame:
         "country",
         MEASURE,
         F.lit(FIRST_CONTEXT).alias("time_context"),
-        ROW_ID,
+        *ROW_ID,
     )
     return _by_id(rows)
 

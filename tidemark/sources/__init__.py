@@ -1,7 +1,9 @@
 from .conform import conform, schema_from
 from .files import detect_format, load_directory, load_file
 from .tables import (
+    append_table,
     create_database,
+    create_table,
     describe,
     drop_table,
     inventory_listing,
@@ -13,8 +15,10 @@ from .tables import (
 )
 
 __all__ = [
+    "append_table",
     "conform",
     "create_database",
+    "create_table",
     "describe",
     "detect_format",
     "drop_table",

@@ -21,6 +21,24 @@ def create_database(spark: SparkSession, name: str, location: str | None = None)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{place}")
 
 
+def create_table(
+    spark: SparkSession, table: str, schema: str, compression: str = "snappy"
+) -> None:
+    """An empty Parquet table of the catalog, unless it is there already."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet "
+        f"OPTIONS (compression = '{compression}')"
+    )
+
+
+def append_table(df: DataFrame, table: str) -> None:
+    """Add rows to a table of the catalog, by column name; the columns must be the table's."""
+    columns = df.sparkSession.table(table).columns
+    if set(columns) != set(df.columns):
+        raise ValueError(f"{table} has the columns {columns}, not {df.columns}")
+    df.select(*(f"`{name}`" for name in columns)).write.mode("append").insertInto(table)
+
+
 def drop_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
