@@ -187,6 +187,15 @@ def test_expressions_see_the_old_row(spark, table):
     assert sorted((r.id, r.v) for r in table.current().collect()) == [(10, 1), (20, 2)]
 
 
+def test_column_names_of_the_metadata_are_free(spark, tmp_path):
+    rows = spark.range(6).selectExpr("id AS snapshot_id", "id AS ended", "id AS n", "id AS part", "id AS old")
+    table = VersionedTable.create(spark, str(tmp_path / "n"), rows=rows)
+    table.update("part = 3", {"n": "100"})
+    table.update("old < 2", {"ended": "-1"}, mode="copy")
+    found = table.totals_by_snapshot("n").orderBy("snapshot_id").collect()
+    assert [tuple(r) for r in found] == [(1, 6, 15), (2, 6, 112), (3, 6, 112)]
+
+
 def test_update_without_matches_changes_nothing(spark, table):
     table.append(numbers(spark, 0, 3))
     table.update("id = 77", {"v": "0"})

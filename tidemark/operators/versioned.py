@@ -23,6 +23,7 @@ table's size.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -315,7 +316,8 @@ class VersionedTable:
         ``merge`` writes new versions of the matching rows only, and reads drop the old ones with
         an anti-join. ``copy`` rewrites every folder that holds a match, without a shuffle, and
         reads stay plain scans. ``auto`` counts the matches first, from the columns the condition
-        needs, and merges as long as all replaced rows together can be broadcast.
+        needs, and merges as long as these matches, and all replaced rows a read would then have
+        to drop, can be broadcast.
         """
         if mode not in ("auto", "merge", "copy"):
             raise ValueError(f"unknown mode: {mode}")
@@ -334,8 +336,9 @@ class VersionedTable:
         )
         matches = {(row[COMMIT], row["part"]): row["count"] for row in counts.collect()}
         if mode == "auto":
-            small = self._state.plan(head, matches).replacements <= BROADCAST_ROWS
-            mode = "merge" if small else "copy"
+            dropped = self._state.plan(head, matches).replacements
+            few = max(dropped, sum(matches.values())) <= BROADCAST_ROWS
+            mode = "merge" if few else "copy"
         if not matches:
             return self._commit(seq, ref, committed_at, "overwrite", {}, {}, 0)
         if mode == "merge":
@@ -505,9 +508,13 @@ class VersionedTable:
             both = F.array(change(start, sign), change("ended", -sign))
             return totals.select(F.explode(both).alias("change")).select("change.*")
 
-        sums = [F.count("*").alias("n"), F.sum(column).alias("x")]
+        value = F.col(column).alias("value")
+        sums = [F.count("*").alias("n"), F.sum("value").alias("x")]
         folders = (
-            self._scan(sorted(written)).groupBy(COMMIT, self._part().alias("part")).agg(*sums)
+            self._scan(sorted(written))
+            .select(COMMIT, self._part().alias("part"), value)
+            .groupBy(COMMIT, "part")
+            .agg(*sums)
         )
         changes = changes_of(folders.join(ended, [COMMIT, "part"], "left"), COMMIT, 1)
         if single:
@@ -521,6 +528,7 @@ class VersionedTable:
             )
             found = (
                 self._scan(sorted({unit for _, unit in single}))
+                .select(*ROW_ID, COMMIT, value)
                 .join(self._sized(keys, sum(single.values())), [*ROW_ID, COMMIT])
                 .groupBy("snapshot_id", "ended")
                 .agg(*sums)
@@ -815,6 +823,4 @@ def _timestamp(value: str | datetime | None) -> Column:
 
 
 def _schema_of(text: str) -> StructType:
-    import json
-
     return StructType.fromJson(json.loads(text))
