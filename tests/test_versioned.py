@@ -258,6 +258,28 @@ def test_leftovers_of_a_failed_write_are_not_seen(spark, table):
     assert ids(table.current()) == [0, 1, 7]
 
 
+def test_failing_commits_leave_the_table_as_it_was(spark, table):
+    table.append(numbers(spark, 0, 4))
+    broken = numbers(spark, 0, 50).withColumn("v", F.expr("IF(id = 40, raise_error('bad row'), v)"))
+    with pytest.raises(Exception, match="bad row"):
+        table.append(broken)
+    for mode in ("merge", "copy"):
+        with pytest.raises(Exception, match="bad row"):
+            table.update("id > 1", {"v": "IF(id = 3, raise_error('bad row'), 0)"}, mode=mode)
+    assert table.refresh().snapshot_ids == [1, 2]
+    assert sorted(r.v for r in table.current().collect()) == [0, 10, 20, 30]
+    assert table.append(numbers(spark, 4, 5)) == 3
+    assert ids(table.current()) == [0, 1, 2, 3, 4]
+
+
+def test_a_read_keeps_its_snapshot(spark, table):
+    table.append(numbers(spark, 0, 4))
+    before = table.current()
+    table.update("id = 1", {"v": "-1"}, mode="copy")
+    table.append(numbers(spark, 4, 9))
+    assert before.count() == 4 and before.filter("v < 0").isEmpty()
+
+
 def test_racing_writers_are_detected(spark, table):
     other = VersionedTable(spark, table.path)
     table.create_tag("a")
