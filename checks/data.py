@@ -164,6 +164,23 @@ def orders_by_month(spark: SparkSession, sf_dir: str) -> VersionedTable:
     )
 
 
+def lineitem_by_month(spark: SparkSession, sf_dir: str, mode: str) -> VersionedTable:
+    """lineitem by month of shipment; late returns lose their discount, in the given mode."""
+
+    def build() -> VersionedTable:
+        table = VersionedTable.create(
+            spark,
+            f"{work_dir(spark, sf_dir)}/lineitem_{mode}",
+            rows=read(spark, sf_dir, "lineitem"),
+            partition_by=[months("l_shipdate")],
+        )
+        late = "l_shipdate >= TIMESTAMP_NTZ '2000-06-15 00:00:00' AND l_returnflag = 'R'"
+        table.update(late, {"l_discount": "0", "l_linestatus": "'X'"}, mode=mode)
+        return table
+
+    return once(spark, sf_dir, f"lineitem_{mode}", build)
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("full_name")

@@ -205,6 +205,15 @@ ORACLE: dict[str, str] = {
         WITH {CUSTOMERS}
         SELECT id, total_orders, CAST(total_spent AS {WIDE}) AS total_spent, customer_tier
         FROM final""",
+    **dict.fromkeys(
+        ("update_merged", "update_rewritten"),
+        """
+        SELECT * EXCLUDE (late)
+               REPLACE (CASE WHEN late THEN 0 ELSE l_discount END AS l_discount,
+                        CASE WHEN late THEN 'X' ELSE l_linestatus END AS l_linestatus)
+        FROM (SELECT *, l_shipdate >= TIMESTAMP '2000-06-15 00:00:00' AND l_returnflag = 'R' AS late
+              FROM lineitem)""",
+    ),
     "schema_evolution_counts": f"""
         WITH {CUSTOMERS}
         SELECT 'Old Snapshot (no customer_tier)' AS data_source, CAST(0 AS BIGINT) AS customers,

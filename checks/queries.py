@@ -315,6 +315,16 @@ def apply_promo(spark, sf):
     return table.current().select("id", "total_orders", "total_spent", reports.TIER)
 
 
+@query
+def update_merged(spark, sf):
+    return data.lineitem_by_month(spark, sf, "merge").current()
+
+
+@query
+def update_rewritten(spark, sf):
+    return data.lineitem_by_month(spark, sf, "copy").current()
+
+
 @query
 def schema_evolution_counts(spark, sf):
     return reports.schema_evolution_counts(data.customer_story(spark, sf))
