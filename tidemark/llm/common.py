@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+_own_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a session in this one process may go without; it gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] == "local":
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="tidemark-llm-")
+        return _own_folders[app]
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return folder.rstrip("/")
