@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark import UnknownVersion, VersionedTable, days, months
-from tidemark.operators import versioned
 
 
 def plan_of(df):
@@ -317,30 +316,33 @@ def test_replaced_commits_are_not_read(spark, table):
     assert folders(table.current()) == {"commit_seq=3", "commit_seq=4", "commit_seq=5"}
 
 
-def test_forced_merges_beyond_the_limit_are_sort_merged(spark, table, monkeypatch):
-    table.append(numbers(spark, 0, 100))
-    table.update("id % 3 = 0", {"v": "-1"})
-    table.update("id % 6 = 0", {"v": "-2"})
-    small = sorted(map(tuple, table.current().collect()))
-    totals = sorted(map(tuple, table.totals_by_snapshot("v").collect()))
-    assert "BroadcastHashJoin" in plan_of(table.current())
-    monkeypatch.setattr(versioned, "BROADCAST_ROWS", 0)
-    plan = plan_of(table.current())
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
-    assert sorted(map(tuple, table.current().collect())) == small
-    assert sorted(map(tuple, table.totals_by_snapshot("v").collect())) == totals
+def test_one_row_updates_write_one_row_whatever_went_before(spark, table):
+    table.append(numbers(spark, 0, 1000))
+    table.update("id < 600", {"v": "-1"})
+    table.update("id = 700", {"v": "-2"})
+    assert spark.read.parquet(f"{table.path}/log/commit_seq=4").count() == 1
+    assert "broadcast" not in table.current()._jdf.queryExecution().logical().toString().lower()
+    assert table.current().agg(F.sum("v")).first()[0] == -600 - 2 + sum(i * 10 for i in range(600, 1000) if i != 700)
 
 
-def test_large_updates_rewrite_what_they_touch(spark, table, monkeypatch):
+def test_condition_is_evaluated_once(spark, table):
+    table.append(numbers(spark, 0, 2000))
+    seq = table.update("rand() < 0.5", {"v": "-1"})
+    told = table.snapshots().where(f"snapshot_id = {seq}").first().summary["changed-records"]
+    assert int(told) == table.current().where("v = -1").count()
+    with pytest.raises(ValueError, match="deterministic"):
+        table.update("rand() < 0.5", {"v": "-2"}, mode="copy")
+
+
+def test_updates_that_rewrite_what_they_touch(spark, table):
     table.append(numbers(spark, 0, 10))
     table.append(numbers(spark, 10, 20))
-    monkeypatch.setattr(versioned, "BROADCAST_ROWS", 2)
     table.update("id IN (1, 11)", {"v": "-1"})
     assert table.read_plan(4).partial == [(2, ""), (3, "")]
-    table.update("id = 12", {"v": "-2"})
+    table.update("id = 12", {"v": "-2"}, mode="copy")
     plan = table.read_plan(5)
     assert (plan.partial, plan.replacements) == ([(2, "")], 1)
-    table.update("id < 5", {"v": "v - 100"})
+    table.update("id < 5", {"v": "v - 100"}, mode="copy")
     assert table.read_plan(6).partial == []
     read = plan_of(table.current())
     assert "Join" not in read and "Exchange" not in read
@@ -354,6 +356,31 @@ def test_large_updates_rewrite_what_they_touch(spark, table, monkeypatch):
     assert (last.row_count, last.total) == (20, sum(wanted.values()))
 
 
+def test_names_differing_in_case_and_times_going_back_are_refused(spark, table):
+    with pytest.raises(ValueError, match="exists"):
+        table.add_column("ID", "BIGINT")
+    assert table.add_column("Id", "BIGINT", if_not_exists=True) is False
+    table.append(numbers(spark, 0, 3), committed_at="2030-01-02 00:00:00")
+    with pytest.raises(ValueError, match="before"):
+        table.append(numbers(spark, 3, 5), committed_at="2030-01-01 00:00:00")
+    assert table.refresh().current().count() == 3
+
+
+def test_days_are_utc_in_every_zone(spark, tmp_path):
+    rows = spark.sql("SELECT 1L AS id, timestamp'2024-01-10 02:00:00Z' AS ts UNION ALL SELECT 2L, timestamp'1969-12-31 23:00:00Z'")
+    table = VersionedTable.create(spark, str(tmp_path / "zones"), rows=rows, partition_by=[days("ts")])
+    own = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        plain = table.current().where("ts BETWEEN '2024-01-09 17:00:00' AND '2024-01-09 19:00:00'").count()
+        assert table.between("ts", "2024-01-09 17:00:00", "2024-01-09 19:00:00").count() == plain == 1
+        table.append(rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)
+    found = {str(r.ts_day): r.record_count for r in table.partitions().collect()}
+    assert found == {"2024-01-10": 2, "1969-12-31": 2}
+
+
 # -- partitions and files ------------------------------------------------------------------
 
 
@@ -433,10 +460,9 @@ def test_views_for_sql(spark, products):
 # -- against a model -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed, limit", [(1, 500_000), (2, 3)])
-def test_random_commits_equal_a_model(spark, tmp_path, monkeypatch, seed, limit):
+@pytest.mark.parametrize("seed, modes", [(1, ["merge"]), (2, ["merge", "copy"])])
+def test_random_commits_equal_a_model(spark, tmp_path, seed, modes):
     """Random appends and updates on three branches, each snapshot compared with plain dicts."""
-    monkeypatch.setattr(versioned, "BROADCAST_ROWS", limit)
     rng = random.Random(seed)
     table = VersionedTable.create(spark, str(tmp_path / "r"), "id BIGINT, v BIGINT")
     heads, states, next_id = {"main": {}}, {1: {}}, 0
@@ -456,7 +482,7 @@ def test_random_commits_equal_a_model(spark, tmp_path, monkeypatch, seed, limit)
         else:
             modulus, rest = rng.randint(1, 3), rng.randint(0, 2)
             state = {i: v + 100 if i % modulus == rest else v for i, v in state.items()}
-            seq = table.update(f"id % {modulus} = {rest}", {"v": "v + 100"}, ref)
+            seq = table.update(f"id % {modulus} = {rest}", {"v": "v + 100"}, ref, mode=rng.choice(modes))
         heads[ref], states[seq] = state, state
     for seq, state in states.items():
         assert {r.id: r.v for r in table.as_of(version=seq).collect()} == state

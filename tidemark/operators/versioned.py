@@ -44,10 +44,6 @@ REPLACES = "_replaces"
 REPLACES_PART = "_replaces_part"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name for NULL
 
-# Replacement keys are three longs; half a million of them take well under 100 MB in a hash
-# table. Their exact number is known from the events before a join is planned.
-BROADCAST_ROWS = 500_000
-
 META_SCHEMA = (
     "event BIGINT, kind STRING, ref STRING, snapshot_id BIGINT, parent_id BIGINT, "
     "committed_at TIMESTAMP, operation STRING, table_schema STRING, "
@@ -99,13 +95,11 @@ class _State:
             snapshot_id = self.commits[snapshot_id].parent
         return ids[::-1]
 
-    def plan(self, snapshot_id: int, pending: Mapping[Unit, int] | None = None) -> "ReadPlan":
-        """How to read a snapshot, or what reading it after one more update would take."""
+    def plan(self, snapshot_id: int) -> "ReadPlan":
+        """How to read a snapshot."""
         chain = [self.commits[seq] for seq in self.chain(snapshot_id)]
         written = {unit: n for commit in chain for unit, n in commit.written.items()}
         changes = {seq: self.commits[seq].replaced for seq in self.chain(snapshot_id)}
-        if pending:
-            changes[max(self.commits) + 1] = pending
         gone: Counter[Unit] = Counter()
         for change in changes.values():
             gone.update(change)
@@ -309,17 +303,16 @@ class VersionedTable:
         assign: Mapping[str, Column | str],
         ref: str = MAIN,
         committed_at: str | datetime | None = None,
-        mode: str = "auto",
+        mode: str = "merge",
     ) -> int:
         """Change the matching rows in one commit; every expression sees the old row.
 
-        ``merge`` writes new versions of the matching rows only, and reads drop the old ones with
-        an anti-join. ``copy`` rewrites every folder that holds a match, without a shuffle, and
-        reads stay plain scans. ``auto`` counts the matches first, from the columns the condition
-        needs, and merges as long as these matches, and all replaced rows a read would then have
-        to drop, can be broadcast.
+        ``merge`` writes new versions of the matching rows only, in one scan at any size, and reads
+        drop the old ones with an anti-join. ``copy`` rewrites every folder that holds a match, without
+        a shuffle, and reads stay plain scans; it evaluates the condition twice, so the condition has to
+        be deterministic.
         """
-        if mode not in ("auto", "merge", "copy"):
+        if mode not in ("merge", "copy"):
             raise ValueError(f"unknown mode: {mode}")
         self._writable(ref)
         if unknown := set(assign) - set(self.schema.names):
@@ -330,20 +323,17 @@ class VersionedTable:
             name: (F.expr(value) if isinstance(value, str) else value).cast(types[name])
             for name, value in assign.items()
         }
-        seq, head, plan = self._next_id(), self.head(ref), self._state.plan(self.head(ref))
-        counts = (
-            self._read(plan).filter(where).groupBy(COMMIT, self._part().alias("part")).count()
-        )
-        matches = {(row[COMMIT], row["part"]): row["count"] for row in counts.collect()}
-        if mode == "auto":
-            dropped = self._state.plan(head, matches).replacements
-            few = max(dropped, sum(matches.values())) <= BROADCAST_ROWS
-            mode = "merge" if few else "copy"
-        if not matches:
-            return self._commit(seq, ref, committed_at, "overwrite", {}, {}, 0)
+        seq, plan = self._next_id(), self._state.plan(self.head(ref))
+        found = self._read(plan).filter(where)
         if mode == "merge":
-            rows = self._read(plan).filter(where)
+            rows = found
         else:
+            if not found._jdf.queryExecution().analyzed().deterministic():
+                raise ValueError("a condition that is not deterministic can only be merged")
+            counts = found.groupBy(COMMIT, self._part().alias("part")).count()
+            matches = {(row[COMMIT], row["part"]): row["count"] for row in counts.collect()}
+            if not matches:
+                return self._commit(seq, ref, committed_at, "overwrite", {}, {}, 0)
             rows = self._read(plan.only(set(matches)))
             hit = F.coalesce(where, F.lit(False))
             changed = {n: F.when(hit, e).otherwise(F.col(f"`{n}`")) for n, e in changed.items()}
@@ -364,17 +354,17 @@ class VersionedTable:
         ):
             written[row["part"]] += row["count"]
             replaced[row[REPLACES], row[REPLACES_PART]] += row["count"]
-        count = sum(matches.values())
+        count = sum((replaced if mode == "merge" else matches).values())
         return self._commit(seq, ref, committed_at, "overwrite", written, replaced, count)
 
     def add_column(self, name: str, data_type: str, if_not_exists: bool = False) -> bool:
         """Add a column. This makes no snapshot: earlier snapshots keep their own columns."""
         self.refresh()
-        if name in self.schema.names:
+        if name.lower() in map(str.lower, self.schema.names):
             if if_not_exists:
                 return False
             raise ValueError(f"column exists: {name}")
-        if name in {*_HIDDEN, *(t.name for t in self.partition_by)}:
+        if name.lower() in (n.lower() for n in [*_HIDDEN, *(t.name for t in self.partition_by)]):
             raise ValueError(f"reserved column name: {name}")
         self._state.schema = StructType(
             [*self.schema.fields, *StructType.fromDDL(f"`{name}` {data_type}").fields]
@@ -461,7 +451,8 @@ class VersionedTable:
         rows = self._rows(snapshot_id).filter(F.col(column).between(*bounds))
         for transform in self.partition_by:
             if transform.column == column:
-                rows = rows.filter(F.col(transform.name).between(*map(transform.apply, bounds)))
+                low_day, high_day = (transform.apply(bound, kind) for bound in bounds)
+                rows = rows.filter(F.col(transform.name).between(low_day, high_day))
         return rows.select(*(F.col(f"`{name}`") for name in schema.names))
 
     def read_plan(self, snapshot_id: int) -> ReadPlan:
@@ -491,12 +482,9 @@ class VersionedTable:
             for unit, n in commit.replaced.items()
             if ended_at.get(unit) != seq
         }
-        # One row per replaced folder, known from the events: small enough to send everywhere.
-        ended = F.broadcast(
-            self.spark.createDataFrame(
-                [(*unit, seq) for unit, seq in ended_at.items()],
-                f"{COMMIT} BIGINT, part STRING, ended BIGINT",
-            )
+        ended = self.spark.createDataFrame(
+            [(*unit, seq) for unit, seq in ended_at.items()],
+            f"{COMMIT} BIGINT, part STRING, ended BIGINT",
         )
 
         def change(at: str, sign: int) -> Column:
@@ -529,7 +517,7 @@ class VersionedTable:
             found = (
                 self._scan(sorted({unit for _, unit in single}))
                 .select(*ROW_ID, COMMIT, value)
-                .join(self._sized(keys, sum(single.values())), [*ROW_ID, COMMIT])
+                .join(keys, [*ROW_ID, COMMIT])
                 .groupBy("snapshot_id", "ended")
                 .agg(*sums)
             )
@@ -581,7 +569,8 @@ class VersionedTable:
         )
 
     def files(self, ref: str = MAIN) -> DataFrame:
-        """The data files a read of ``ref`` touches."""
+        """The data files a read of ``ref`` touches; ``record_count`` counts all rows a file holds,
+        those that later updates replaced included."""
         plan = self.read_plan(self.head(ref))
         return (
             self._scan(sorted(plan.intact + plan.partial))
@@ -600,10 +589,10 @@ class VersionedTable:
         )
 
     def partitions(self, ref: str = MAIN) -> DataFrame:
-        """Live rows per partition; no rows for a table that is not partitioned."""
+        """Live rows per partition; a table that is not partitioned is one partition."""
         names = [t.name for t in self.partition_by]
         if not names:
-            return self.spark.createDataFrame([], "record_count BIGINT")
+            return self._rows(self.head(ref)).agg(F.count("*").alias("record_count"))
         return (
             self._rows(self.head(ref)).groupBy(*names).agg(F.count("*").alias("record_count"))
         )
@@ -671,21 +660,16 @@ class VersionedTable:
                 .filter(F.col(REPLACES).isin(commits))
                 .select(*ROW_ID, F.col(REPLACES).alias(COMMIT))
             )
-            gone = self._sized(gone, plan.replacements)
             parts.append(self._scan(plan.partial).join(gone, [*ROW_ID, COMMIT], "left_anti"))
         names = [*self.schema.names, *ROW_ID, COMMIT, *(t.name for t in self.partition_by)]
         return reduce(DataFrame.unionByName, (p.select(*(f"`{n}`" for n in names)) for p in parts))
 
-    def _sized(self, keys: DataFrame, rows: int) -> DataFrame:
-        """Broadcast row keys only while their exact number is small; sort-merge beyond it."""
-        return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys.hint("merge")
-
     def _rebalanced(self, rows: DataFrame) -> DataFrame:
         """Well-sized output: adaptive execution splits hot partitions and merges small ones."""
         if not self.partition_by:
             # Row identities are unique, so hashing them spreads changed rows evenly.
             return rows.hint("rebalance", *(n for n in ROW_ID if n in rows.columns))
-        derived = rows.withColumns({t.name: t.derived() for t in self.partition_by})
+        derived = rows.withColumns({t.name: t.derived(self.schema) for t in self.partition_by})
         names = [t.name for t in self.partition_by]
         return derived.hint("rebalance", *names).drop(*names)
 
@@ -718,7 +702,7 @@ class VersionedTable:
     def _write(self, rows: DataFrame, seq: int) -> None:
         transforms = self.partition_by
         writer = (
-            rows.withColumns({t.name: t.derived() for t in transforms})
+            rows.withColumns({t.name: t.derived(self.schema) for t in transforms})
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .option("compression", self._state.compression)
@@ -738,6 +722,10 @@ class VersionedTable:
         changed: int,
     ) -> int:
         parent = self.head(ref)
+        if committed_at is not None:
+            micros = self.spark.range(1).select(F.unix_micros(_timestamp(committed_at))).first()[0]
+            if micros < self._state.commits[parent].micros:
+                raise ValueError(f"commit time {committed_at} lies before that of snapshot {parent}")
         added = sum(written.values()) - sum(replaced.values())
         self._record(
             "commit",
