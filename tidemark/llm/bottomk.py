@@ -128,14 +128,12 @@ def with_next(
             ),
         )
         .withColumn("_place", F.explode("_place"))
+        .withColumns({"_block": F.col("_place.block"), "_copied": F.col("_place.copied")})
+        .drop("_own", "_place")
     )
-    falling = Window.partitionBy("_place.block").orderBy(
-        F.col("_place.copied"), key.desc_nulls_last(), F.col("_tie")
-    )
-    out = places
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.lead(f"`{c}`").over(falling))
-    return out.where(F.col("_place.copied") == 0).drop("_own", "_tie", "_place")
+    falling = Window.partitionBy("_block").orderBy("_copied", key.desc_nulls_last(), "_tie")
+    following = {f"next_{c}": F.lead(f"`{c}`").over(falling) for c in columns}
+    return places.withColumns(following).where("_copied = 0").drop("_block", "_copied", "_tie")
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
