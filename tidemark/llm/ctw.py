@@ -30,12 +30,13 @@ from .common import staged
 
 DEPTH = 5
 SHARED = 2
-FREQUENT_WORDS = 1 << 18
-FREQUENT_EVENTS = 1 << 21
+FREQUENT_WORDS = 1 << 17
+FREQUENT_EVENTS = 1 << 20
 END = b"\n"
-WORDS_HELD = 400_000
-EVENTS_HELD = 1 << 23
-CHUNK = 1 << 20
+WORDS_HELD = 200_000
+EVENTS_HELD = 1 << 21
+PIECE_BYTES = 1 << 20
+CHUNK = 1 << 18
 LOG_HALF = math.log(0.5)
 
 
@@ -45,6 +46,17 @@ def tokens_of(data: bytes | None) -> list[bytes]:
     return words
 
 
+def _slices(part: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about a megabyte of text, a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part.column(text)), 0).to_numpy(zero_copy_only=False) + 8)
+    at = 0
+    while at < part.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES)))
+        yield part.slice(at, to - at)
+        at = to
+
+
 def _spelled(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each after ``depth`` bytes of beginning, and where each ends."""
     before = b"\0" * (depth - 1) + b" "
@@ -92,7 +104,7 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 some = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some])], ["event", "n"])
 
-        for part in parts:
+        for part in (some for whole in parts for some in _slices(whole, 0)):
             for train in (True, False):
                 texts = [
                     tokens_of(t.as_py())
@@ -300,8 +312,9 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if train:
                     counts.update(tokens)
                 else:
-                    for word in set(tokens).difference(counts):
-                        counts[word] = 0
+                    for word in tokens:
+                        if word not in counts:
+                            counts[word] = 0
                 if len(counts) > WORDS_HELD:
                     yield from rows()
         yield from rows()
@@ -311,15 +324,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class EventTable:
-    """Scores of frequent events: a hash table with one slot a key, and a sorted rest."""
+    """Scores of frequent events: a hash table with one slot a key, and binary search for the rest."""
 
     def __init__(self, events: np.ndarray, scores: np.ndarray):
         order = np.argsort(events)
-        self.events, self.scores = events[order], np.append(scores[order], 0.0)
-        self.shift = np.uint64(64 - max(len(events), 1).bit_length() - 1)
-        self.slots = np.full(1 << (64 - int(self.shift)), len(events), dtype=np.int32)
-        self.slots[self._slot(self.events)] = np.arange(len(events), dtype=np.int32)
-        self.keys = np.append(self.events, -1)
+        self.n = len(events)
+        self.events, self.scores = np.append(events[order], -1), np.append(scores[order], 0.0)
+        self.shift = np.uint64(64 - max(self.n, 1).bit_length() - 1)
+        self.slots = np.full(1 << (64 - int(self.shift)), self.n, dtype=np.int32)
+        self.slots[self._slot(self.events[:-1])] = np.arange(self.n, dtype=np.int32)
 
     def _slot(self, events: np.ndarray) -> np.ndarray:
         return events.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
@@ -327,13 +340,10 @@ class EventTable:
     def find(self, events: np.ndarray) -> np.ndarray:
         """Where each event stands, or the number of events if it is none of them."""
         at = self.slots[self._slot(events)].astype(np.int64)
-        missed = np.flatnonzero(self.keys[at] != events)
-        if len(missed) and len(self.events):
-            others = events[missed]
-            there = np.minimum(np.searchsorted(self.events, others), len(self.events) - 1)
-            at[missed] = np.where(self.events[there] == others, there, len(self.events))
-        elif len(missed):
-            at[missed] = 0
+        missed = np.flatnonzero(self.events[at] != events)
+        others = events[missed]
+        there = np.minimum(np.searchsorted(self.events[:-1], others), max(self.n - 1, 0))
+        at[missed] = np.where(self.events[there] == others, there, self.n)
         return at
 
 
@@ -357,7 +367,7 @@ def score_documents(
     empty table gives no rows.
 
     Counts, trees and scores are Spark tables that grow with the corpus. Only the most frequent words and
-    events, fixed numbers of them at most (4 and 32 MB of scores), travel to the tasks; whatever else
+    events, fixed numbers of them at most (some 20 MB each), travel to the tasks; whatever else
     a document has is joined.
     """
     texts = docs.select(
@@ -384,8 +394,8 @@ def score_documents(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(common_words)}
-        other, other_event = len(place), len(common.events)
-        for part in parts:
+        other, other_event = len(place), common.n
+        for part in (some for whole in parts for some in _slices(whole, 2)):
             texts = [tokens_of(t.as_py()) for t in part.column(2)]
             n = part.num_rows
             n_known, base, sizes = [], [], []
