@@ -7,9 +7,11 @@ probability of the grade to select by.
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +23,46 @@ SAMPLE = 8000
 GRADES = 3
 CACHE = 300_000
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+NOT_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
+MASK = (1 << BITS) - 1
+WORD, BEGINNING, MARK, UPPER = (crc32(kind) for kind in (b"w", b"p", b"m", b"u"))
 LENGTHS = (20, 100, 500, 2500, 12_500)
 
 
 class TokenFeatures(dict):
-    """Token -> feature numbers: the bare word, its beginnings, and the marks and case around it."""
+    """Token -> feature numbers, as bytes of int32: the bare word, its beginnings, and the marks and case
+    around it. The first ``CACHE`` tokens of a task are kept, frequent ones soon among them."""
 
-    def __missing__(self, token: bytes) -> list[int]:
+    def __missing__(self, token: bytes) -> bytes:
         bare = token.strip(MARKS)
         word = bare.lower()
-        names = [b"w" + word, *(b"p" + word[:n] for n in (4, 5, 6) if len(word) > n)]
+        found = [crc32(word, WORD)]
+        if len(word) > 4:
+            begun = crc32(word[:4], BEGINNING)
+            found.append(begun)
+            for n in range(4, min(len(word) - 1, 6)):
+                begun = crc32(word[n : n + 1], begun)
+                found.append(begun)
         if len(bare) < len(token):
-            names.append(b"m" + token.replace(bare, b"", 1)[:8])
+            found.append(crc32(token.replace(bare, b"", 1)[:8], MARK))
         if len(bare) > 1 and bare.isupper():
-            names.append(b"u")
-        if len(self) >= CACHE:
-            self.clear()
-        found = [zlib.crc32(n) & ((1 << BITS) - 1) for n in names]
-        self[token] = found
-        return found
+            found.append(UPPER)
+        numbers = array("i", [x & MASK for x in found]).tobytes()
+        if len(self) < CACHE:
+            self[token] = numbers
+        return numbers
 
 
 def features(text: bytes | str | None, cache: TokenFeatures) -> np.ndarray:
     """Sorted numbers of the features a text has, the whole text considered."""
     data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
     tokens = data.split()
-    found: set[int] = set()
     distinct = set(tokens)
-    for token in distinct:
-        found.update(cache[token])
     n = max(len(tokens), 1)
-    rare = sum(a == b for a, b in zip(tokens, tokens[1:]))
-    marked = sum(not t[-1:].isalnum() and t[-1] < 128 for t in tokens)
-    upper = sum(t.isupper() and len(t) > 1 for t in tokens)
+    rare = sum(map(eq, tokens, tokens[1:]))
+    ends = bytes([t[-1] for t in tokens])
+    marked = len(ends) - len(ends.translate(None, NOT_ALNUM))
+    upper = sum([len(t) > 1 for t in tokens if t.isupper()])
     shape = [
         b"distinct%d" % (10 * len(distinct) // n),
         b"again%d" % (20 * rare // n),
@@ -61,8 +70,10 @@ def features(text: bytes | str | None, cache: TokenFeatures) -> np.ndarray:
         b"upper%d" % (10 * upper // n),
         b"length%d" % sum(len(tokens) > x for x in LENGTHS),
     ]
-    found.update(zlib.crc32(b"s" + s) & ((1 << BITS) - 1) for s in shape)
-    return np.array(sorted(found), dtype=np.int32)
+    found = list(map(cache.__getitem__, distinct))
+    found.append(array("i", [crc32(b"s" + s) & MASK for s in shape]).tobytes())
+    numbers = np.sort(np.frombuffer(b"".join(found), dtype=np.int32))
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])]
 
 
 @dataclass
@@ -103,17 +114,16 @@ def fit(
     for _ in range(epochs):
         for i in shuffled.permutation(len(rows)):
             x, y = rows[i], grades[i]
-            w = np.where(
-                np.abs(z[x]) <= l1, 0.0, -(z[x] - np.sign(z[x]) * l1) / ((1 + np.sqrt(n[x])) / rate + l2)
-            )
-            weights[x] = w
+            zx, nx = z[x], n[x]
+            root = np.sqrt(nx)
+            w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((1 + root) / rate + l2))
             tail = 1 / (1 + np.exp(-np.clip(w.sum() - thresholds, -30, 30)))
             bounds = np.concatenate([[1.0], tail, [0.0]])
             likely = max(bounds[y] - bounds[y + 1], 1e-9)
             g = -(1 - bounds[y] - bounds[y + 1])
-            sigma = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / rate
-            z[x] += g - sigma * w
-            n[x] += g * g
+            nx = nx + g * g
+            z[x] = zx + (g - (np.sqrt(nx) - root) / rate * w)
+            n[x] = nx
             step += 1
             slope = np.zeros(n_grades + 1)
             slope[y] += bounds[y] * (1 - bounds[y]) / likely
