@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import bottomk, chat, ctw, decontaminate, html_blocks, mixing, quality, shards, simhash, warc
+from tidemark.llm.common import lowest
 
 DOCS = "doc_id long, text string, source string, n_chars long, shard string, n string"
 R = random.Random(5)
@@ -43,6 +44,20 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+# -- helpers
+
+
+def test_lowest_rows_of_many_and_few(spark):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    wanted = sorted((r.h, r.id) for r in rows.collect())
+    for most in (1, 40, 2400, 2600, 9000):
+        found = lowest(rows, "h", most).collect()
+        assert sorted((r.h, r.id) for r in found) == wanted[:most]
+    assert lowest(rows.where("id < 0"), "h", 3).count() == 0
+    tied = spark.range(100).select("id", F.lit(5).cast("long").alias("h"))
+    assert sorted(r.id for r in lowest(tied, "h", 10).collect()) == list(range(10))
+
+
 # -- chat
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 PATH, WORDS, MEASURES = 64, 32, 10
 WIDTH = PATH + WORDS + MEASURES
 HIDDEN = 16
@@ -492,12 +494,8 @@ def training_pages(pages: list[str], layouts: int = LAYOUTS) -> list[tuple[np.nd
 def train(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS) -> Labeller:
     """Train on at most ``sample`` pages, the first by a hash of their id among those of up to 200,000
     characters, and ``layouts`` pages laid out from their texts."""
-    some = (
-        pages.where(F.length("html").between(1, SAMPLE_CHARS))
-        .select("html", F.xxhash64("page_id").alias("order"))
-        .orderBy("order", "html")
-        .limit(sample)
-    )
+    fitting = pages.where(F.length("html").between(1, SAMPLE_CHARS))
+    some = lowest(fitting.select("html", F.xxhash64("page_id").alias("order")), "order", sample)
     return fit(training_pages([r[0] for r in some.select("html").collect()], layouts))
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 BITS = 18
 SAMPLE = 8000
 GRADES = 3
@@ -160,7 +162,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: i
         .join(rated, "doc_id")
         .select("grade", F.col("text").cast("binary"), F.xxhash64(F.lit(1), "doc_id").alias("order"))
     )
-    limit = chosen.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
+    limit = lowest(chosen.select("order"), "order", sample).agg(F.max("order")).first()[0]
     if limit is None:
         return fit([], [], n_grades)
 
