@@ -16,6 +16,7 @@ from tidemark.session import apply_settings, new_work_dir
 
 START = "2024-01-01 00:00:00"
 RUN_TS = "2024-03-01 08:30:00"
+NEXT_RUN_TS = "2024-03-02 08:30:00"
 CUSTOMERS = (
     "id BIGINT, name STRING, country STRING, segment STRING, total_orders INT, "
     "total_spent DECIMAL(10,2)"
@@ -215,5 +216,17 @@ def database(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "database", build)
 
 
+def own_database(spark: SparkSession, sf_dir: str) -> str:
+    """A second database, for the tables that queries write."""
+    from tidemark.sources import create_database
+
+    def build() -> str:
+        name = f"{database(spark, sf_dir)}_written"
+        create_database(spark, name, f"{work_dir(spark, sf_dir)}/written")
+        return name
+
+    return once(spark, sf_dir, "own_database", build)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     return apply_settings(spark)

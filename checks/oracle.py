@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .data import FIRST_SEGMENTS, RUN_TS, TABLES
+from .data import FIRST_SEGMENTS, NEXT_RUN_TS, RUN_TS, TABLES
 
 SPACE = r"\t\n\x0B\f\r "  # what white space means in the patterns of the Spark side
 WIDE = "DECIMAL(38,2)"
@@ -56,12 +56,12 @@ _clean = f"regexp_replace({{0}}, '[^a-zA-Z{SPACE}]', '', 'g')"
 _parts = f"CAST(len(string_split_regex({{0}}, '[{SPACE}]+')) AS INTEGER)"
 
 
-def _names(id_column: str, name: str, table: str) -> str:
+def _names(id_column: str, name: str, table: str, at: str = RUN_TS) -> str:
     return f"""
 SELECT {id_column} AS id, {name} AS original_full_name,
        {_clean.format(name)} AS processed_full_name,
        {_parts.format(name)} AS name_parts_count,
-       TIMESTAMP '{RUN_TS}' AS processing_timestamp
+       TIMESTAMP '{at}' AS processing_timestamp
 FROM {table}"""
 
 
@@ -100,11 +100,11 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, turn, array_to_string({_bare(_said)}, '|') AS tags,
                CAST(len({_bare(_said)}) AS INTEGER) AS n_tags
         FROM conversations""",
-    "migrate_dir": f"""
+    **dict.fromkeys(("migrate_dir", "migrate_dir_csv", "migrate_dir_parquet"), f"""
         SELECT p_partkey AS id, p_name AS full_name, split_part(p_name, ' ', 1) AS first_name,
                split_part(p_name, ' ', 2) AS last_name, TIMESTAMP '{RUN_TS}' AS processed_date,
                'legacy_migration' AS source_system
-        FROM part""",
+        FROM part"""),
     # sinks and DDL
     "register_table": "SELECT * FROM orders",
     "append_twice": f"{_names('p_partkey', 'p_name', 'part')} UNION ALL {_names('p_partkey', 'p_name', 'part')}",
@@ -153,6 +153,10 @@ ORACLE: dict[str, str] = {
     # pipelines
     "ip_sum": _names("p_partkey", "p_name", "part"),
     "ip_sum_documents": _names("doc_id", "text", "documents"),
+    "ip_sum_table": f"""
+        SELECT *, CAST(processing_timestamp AS DATE) AS processing_timestamp_day
+        FROM ({_names("doc_id", "text", "documents")} UNION ALL
+              {_names("doc_id", "text", "documents", NEXT_RUN_TS)})""",
     "quality_score": f"""
         SELECT *, 'v1.0' AS pipeline_version,
                CASE WHEN length(original_full_name) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END

@@ -136,8 +136,7 @@ def conform_array_text(spark, sf):
     )
 
 
-@query
-def migrate_dir(spark, sf):
+def migrated(spark, sf, fmt, **options):
     name = F.split("p_name", " ")
     legacy = data.read(spark, sf, "part").select(
         F.col("p_partkey").alias("id"),
@@ -145,7 +144,7 @@ def migrate_dir(spark, sf):
         name[0].alias("first_name"),
         name[1].alias("last_name"),
     )
-    path = data.source_file(spark, sf, "json", "legacy_names", legacy)
+    path = data.source_file(spark, sf, fmt, "legacy_names", legacy, **options)
     target = pipelines.create_output(
         spark, data.fresh_dir(spark, sf, "migrated"), pipelines.MIGRATED_INPUT, days("processed_date")
     )
@@ -153,13 +152,28 @@ def migrate_dir(spark, sf):
     return target.current()
 
 
+@query
+def migrate_dir(spark, sf):
+    return migrated(spark, sf, "json")
+
+
+@query
+def migrate_dir_csv(spark, sf):
+    return migrated(spark, sf, "csv", header=True)
+
+
+@query
+def migrate_dir_parquet(spark, sf):
+    return migrated(spark, sf, "parquet")
+
+
 # -- sinks and DDL -------------------------------------------------------------------------
 
 
 @query
 def register_table(spark, sf):
     path = data.source_file(spark, sf, "csv", "orders", header=True)
-    name = data.database(spark, sf)
+    name = data.own_database(spark, sf)
     register_file(spark, path, name, "orders_registered", schema=ORDERS_SCHEMA)
     return spark.table(f"{name}.orders_registered")
 
@@ -175,7 +189,7 @@ def append_twice(spark, sf):
 @query
 def append_plain(spark, sf):
     """The same for a plain catalog table: two inserts of the whole of customer."""
-    table = f"{data.database(spark, sf)}.customer_twice"
+    table = f"{data.own_database(spark, sf)}.customer_twice"
     customer = data.read(spark, sf, "customer")
     drop_table(spark, table)
     create_table(spark, table, customer.schema.toDDL(), "gzip")
@@ -225,7 +239,7 @@ def describe_table(spark, sf):
 @query
 def show_tables(spark, sf):
     name = data.database(spark, sf)
-    tables = [t.name for t in spark.catalog.listTables(name) if t.name in data.TABLES]
+    tables = [t.name for t in spark.catalog.listTables(name) if not t.isTemporary]
     counted = verify(spark, [f"{name}.{t}" for t in tables])
     return counted.withColumn("table_name", F.substring_index("table_name", ".", -1))
 
@@ -233,7 +247,7 @@ def show_tables(spark, sf):
 @query
 def verify_table(spark, sf):
     path = f"{sf}/customer.parquet"
-    row = register_file(spark, path, data.database(spark, sf), "customer_registered")
+    row = register_file(spark, path, data.own_database(spark, sf), "customer_registered")
     return row.withColumn("table_name", F.substring_index("table_name", ".", -1))
 
 
@@ -258,6 +272,22 @@ def ip_sum_documents(spark, sf):
     return documents.transform(pipelines.summarize_names, run_ts=data.RUN_TS)
 
 
+@query
+def ip_sum_table(spark, sf):
+    """Documents from one catalog table to another: two days, the second one again in its place."""
+    source = f"{data.database(spark, sf)}.documents"
+    target = f"{data.own_database(spark, sf)}.document_names"
+    drop_table(spark, target)
+    pipelines.create_output_table(spark, target)
+
+    def id_and_text(df, run_ts):
+        return pipelines.summarize_names(df.select("doc_id", "text"), run_ts)
+
+    for day, again in ((data.RUN_TS, False), (data.NEXT_RUN_TS, False), (data.NEXT_RUN_TS, True)):
+        pipelines.run_names_table(spark, source, target, id_and_text, day, again)
+    return spark.table(target)
+
+
 @query
 def quality_score(spark, sf):
     said = data.read(spark, sf, "conversations").select(

@@ -123,3 +123,42 @@ def test_migration(spark, tmp_path):
     assert tuple(target.current().first()) == (
         1, "Ann Lee", "Ann", "Lee", datetime.datetime(2024, 2, 1, 10), "legacy_migration",
     )
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_migration_takes_types_from_the_target(spark, tmp_path, fmt):
+    legacy = [("07", "Ann Lee", "Ann", "Lee"), ("x", "Bo", "Bo", None)]
+    rows = spark.createDataFrame(legacy, "id STRING, full_name STRING, first_name STRING, last_name STRING")
+    if fmt == "json":
+        rows = rows.selectExpr("try_cast(id AS BIGINT) AS id", "full_name", "first_name", "last_name")
+    rows.write.format(fmt).option("header", True).save(str(tmp_path / "legacy"))
+    target = pipelines.create_output(
+        spark, str(tmp_path / "m"), pipelines.MIGRATED_INPUT, pipelines.days("processed_date")
+    )
+    assert pipelines.migrate_directory(spark, str(tmp_path / "legacy"), target, RUN) == 2
+    found = {tuple(r)[:4] for r in target.current().collect()}
+    assert found == {(7, "Ann Lee", "Ann", "Lee"), (None, "Bo", "Bo", None)}
+
+
+def test_pipeline_between_catalog_tables(spark):
+    spark.createDataFrame(story.NAMES, pipelines.NAME_INPUT).write.mode("overwrite").saveAsTable("names_given")
+    spark.sql("DROP TABLE IF EXISTS names_done")
+    pipelines.create_output_table(spark, "names_done")
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    run = pipelines.run_names_table
+    assert run(spark, "names_given", "names_done", run_ts="2024-02-01 10:00:00") == 10
+    assert run(spark, "names_given", "names_done", run_ts="2024-02-02 10:00:00") == 10
+    assert run(spark, "names_given", "names_done", run_ts="2024-02-02 11:00:00") == 10
+    assert spark.table("names_done").count() == 30
+    assert run(spark, "names_given", "names_done", run_ts="2024-02-02 12:00:00", overwrite=True) == 10
+    days = spark.table("names_done").groupBy("processing_timestamp_day", "processing_timestamp").count()
+    assert sorted((str(d), str(t), n) for d, t, n in days.collect()) == [
+        ("2024-02-01", "2024-02-01 10:00:00", 10),
+        ("2024-02-02", "2024-02-02 12:00:00", 10),
+    ]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+    spark.sql("TRUNCATE TABLE names_given")
+    with pytest.raises(ValueError):
+        run(spark, "names_given", "names_done")
+    spark.sql("DROP TABLE names_done")
+    spark.sql("DROP TABLE names_given")

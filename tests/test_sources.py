@@ -271,3 +271,19 @@ def test_overwrite_only_touches_its_partitions(spark, tmp_path):
     overwrite_partitions(rows, path, ["k"])
     overwrite_partitions(spark.createDataFrame([(9, "a")], "id BIGINT, k STRING"), path, ["k"])
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(9, "a"), (3, "b")}
+
+
+def test_failed_registration_keeps_the_earlier_table(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "good.parquet"))
+    register_file(spark, str(tmp_path / "good.parquet"), "kept", "t", location=str(tmp_path / "it's"))
+    bad = tmp_path / "bad.parquet"
+    spark.range(4).coalesce(1).write.parquet(str(bad))
+    (bad / "part-99999.parquet").write_bytes(b"PAR1 cut off PAR1")
+    with pytest.raises(Exception):
+        register_file(spark, str(bad), "kept", "t")
+    assert spark.table("kept.t").count() == 3
+    spark.range(5).write.parquet(str(tmp_path / "more.parquet"))
+    register_file(spark, str(tmp_path / "more.parquet"), "kept", "t")
+    assert spark.table("kept.t").count() == 5
+    assert [t.name for t in spark.catalog.listTables("kept")] == ["t"]
+    spark.sql("DROP DATABASE kept CASCADE")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import cleaned_name, filled_score, part_count
 from ..operators import Transform, VersionedTable, days
-from ..sources import load_directory
+from ..sources import append_table, create_table, load_directory, overwrite_table_partitions
 
 # Table layouts and labels.
 NAME_INPUT = "id BIGINT, full_name STRING"
@@ -26,6 +27,7 @@ SCORED_OUTPUT = f"{NAME_OUTPUT}, pipeline_version STRING, data_quality_score DOU
 SOURCE_SYSTEM = "legacy_migration"
 PIPELINE_VERSION = "v1.0"
 NAME_CODEC = "gzip"
+NAME_DAY = days("processing_timestamp")
 
 
 def _moment(run_ts: str | datetime | None) -> Column:
@@ -83,6 +85,36 @@ def run_names(
     return target.record_count() - before
 
 
+def create_output_table(spark: SparkSession, table: str, schema: str = NAME_OUTPUT) -> None:
+    """The same output as a table of the catalog; its UTC day is a column of its own, the last."""
+    create_table(spark, table, f"{schema}, {NAME_DAY.name} DATE", NAME_CODEC, [NAME_DAY.name])
+
+
+def run_names_table(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    transform: Callable[..., DataFrame] = summarize_names,
+    run_ts: str | datetime | None = None,
+    overwrite: bool = False,
+) -> int:
+    """``run_names`` from one catalog table to another, both given by name.
+
+    ``overwrite`` replaces the days this run writes and leaves the others; otherwise rows are added.
+    The number of rows is observed while they are written.
+    """
+    given = spark.table(source)
+    if given.isEmpty():
+        raise ValueError("the name pipeline has no input rows")
+    rows = transform(given, run_ts=run_ts)
+    written = Observation()
+    counted = rows.select("*", NAME_DAY.derived(rows.schema)).observe(
+        written, F.count(F.lit(1)).alias("n")
+    )
+    (overwrite_table_partitions if overwrite else append_table)(counted, target)
+    return written.get["n"]
+
+
 def migrate_directory(
     spark: SparkSession,
     path: str,
@@ -90,8 +122,12 @@ def migrate_directory(
     run_ts: str | datetime | None = None,
     source_system: str = SOURCE_SYSTEM,
 ) -> int:
-    """Append a directory's files to ``target`` with the run's time and origin; 0 if none fit."""
-    df = load_directory(spark, path)
+    """Append a directory's files to ``target`` with the run's time and origin; 0 if none fit.
+
+    Types come from the target, so text files are read once."""
+    stamps = ("processed_date", "source_system")
+    known = StructType([f for f in target.current().schema if f.name.lower() not in stamps])
+    df = load_directory(spark, path, known)
     if df is None:
         return 0
     before = target.refresh().record_count()

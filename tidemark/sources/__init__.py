@@ -8,6 +8,7 @@ from .tables import (
     drop_table,
     inventory_listing,
     overwrite_partitions,
+    overwrite_table_partitions,
     preview,
     register_file,
     schema_overview,
@@ -26,6 +27,7 @@ __all__ = [
     "load_directory",
     "load_file",
     "overwrite_partitions",
+    "overwrite_table_partitions",
     "preview",
     "register_file",
     "schema_from",

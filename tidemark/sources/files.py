@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .conform import conform, has_nested, schema_from
@@ -47,7 +46,7 @@ def load_file(
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"data file not found: {path}") from error
-        if fmt == "avro":
+        if fmt == "avro" and "Failed to find data source" in str(error):
             raise ValueError("reading Avro needs the spark-avro package on the class path") from error
         raise
 
@@ -63,26 +62,32 @@ def _load_csv(
     return reader.schema(schema).csv(path)
 
 
-def load_directory(spark: SparkSession, path: str) -> DataFrame | None:
+def load_directory(
+    spark: SparkSession, path: str, schema: StructType | None = None
+) -> DataFrame | None:
     """A directory through one reader: Parquet if it holds any, else CSV, else JSON, else None.
 
-    The names are listed by Spark and reduced to distinct extensions on the executors.
+    With a ``schema`` nothing is inferred: JSON is read with it, so a field no line has is NULL, and
+    the CSV columns it names are cast. Names are listed through Spark's file index; no job runs.
     """
     try:
-        listing = spark.read.format("binaryFile").load(path)
+        found = [fmt for fmt in DIRECTORY_ORDER if _holds(spark, path, fmt)]
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    extension = F.lower(F.substring_index("path", ".", -1))
-    found = {
-        row.extension
-        for row in listing.select(extension.alias("extension"))
-        .filter(F.col("extension").isin(*DIRECTORY_ORDER))
-        .distinct()
-        .collect()
-    }
-    for fmt in DIRECTORY_ORDER:
-        if fmt in found:
-            return load_file(spark, path, fmt)
-    return None
+    if not found:
+        return None
+    if schema is None or found[0] == "parquet":
+        return load_file(spark, path, found[0])
+    if found[0] == "json":
+        return spark.read.schema(schema).json(path)
+    text = spark.read.option("header", True).csv(path)
+    present = {name.lower() for name in text.columns}
+    known = StructType([field for field in schema if field.name.lower() in present])
+    return conform(text, known)
+
+
+def _holds(spark: SparkSession, path: str, extension: str) -> bool:
+    pattern = "*." + "".join(f"[{c}{c.upper()}]" for c in extension)
+    return bool(spark.read.option("pathGlobFilter", pattern).text(path).inputFiles())

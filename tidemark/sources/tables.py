@@ -17,26 +17,50 @@ OVERVIEW_COLUMNS = 10
 
 
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
-    place = f" LOCATION '{location}'" if location else ""
+    quoted = (location or "").replace("\\", "\\\\").replace("'", "\\'")
+    place = f" LOCATION '{quoted}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{place}")
 
 
 def create_table(
-    spark: SparkSession, table: str, schema: str, compression: str = "snappy"
+    spark: SparkSession,
+    table: str,
+    schema: str,
+    compression: str = "snappy",
+    partitioned_by: Sequence[str] = (),
 ) -> None:
     """An empty Parquet table of the catalog, unless it is there already."""
+    names = ", ".join(f"`{name}`" for name in partitioned_by)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet "
-        f"OPTIONS (compression = '{compression}')"
+        f"OPTIONS (compression = '{compression}')" + (f" PARTITIONED BY ({names})" if names else "")
     )
 
 
 def append_table(df: DataFrame, table: str) -> None:
     """Add rows to a table of the catalog, by column name; the columns must be the table's."""
+    _by_name(df, table).write.mode("append").insertInto(table)
+
+
+def overwrite_table_partitions(df: DataFrame, table: str) -> None:
+    """Replace exactly those partitions of a catalog table that occur in ``df``.
+
+    Inserts into catalog tables take this mode from the session alone; it is set back afterwards.
+    """
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    rows, before = _by_name(df, table), conf.get(mode)
+    conf.set(mode, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        conf.set(mode, before)
+
+
+def _by_name(df: DataFrame, table: str) -> DataFrame:
     columns = df.sparkSession.table(table).columns
     if set(columns) != set(df.columns):
         raise ValueError(f"{table} has the columns {columns}, not {df.columns}")
-    df.select(*(f"`{name}`" for name in columns)).write.mode("append").insertInto(table)
+    return df.select(*(f"`{name}`" for name in columns))
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
@@ -55,14 +79,17 @@ def register_file(
 ) -> DataFrame:
     """Load a file and make it the table ``database.table``, replacing any earlier one.
 
-    Returns the verification row. Counts come from the written table, so the file is not read
+    The rows are written under another name first: if that fails, the earlier table is still there. Returns the verification row. Counts come from the written table, so the file is not read
     a second time for them.
     """
     df = load_file(spark, path, fmt, schema, mode)
     create_database(spark, database, location)
     name = f"`{database}`.`{table}`"
+    fresh = f"`{database}`.`{table}__new`"
+    drop_table(spark, fresh)
+    df.write.format("parquet").saveAsTable(fresh)
     drop_table(spark, name)
-    df.write.format("parquet").saveAsTable(name)
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
     return verify(spark, [name])
 
 
