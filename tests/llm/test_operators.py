@@ -404,6 +404,40 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks_of(None) == [] == html_blocks.blocks_of("<!-- open <p>x")
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        # Names that only begin like a raw element.
+        ("<svg-icon>a</svg-icon><object-view>b</object-view><title-bar>c<p>d", ["a", "b", "c", "d"]),
+        ("<select-box><p>a</select-box><math-field>b</math-field><script-x>c", ["a", "b", "c"]),
+        ("<title>no</title><script>no</script ><style>no</style x><p>a", ["a"]),
+        # Elements with text of their own, closed or not.
+        ("<div><svg><text>a</text></div><p>b", ["a", "b"]),
+        ("<object data=x>a<p>b</object><p>c", ["a", "b", "c"]),
+        ("<object>a<p>b", ["a", "b"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then<p>b", ["if x=1 then", "b"]),
+        ("<p>a<math><mi>x<p>b", ["ax", "b"]),
+        ("<select><option>a<option>b</select><p>c", ["a", "b", "c"]),
+        ("<select><option>a<p>b", ["a", "b"]),
+        # Quotes open a value only after an equals sign.
+        ("<a title=don't href=x>a</a><p>b<p>it's<p>c", ["a", "b", "it's", "c"]),
+        ("<p 5\">a<p title=\"x>y\" id = '>'>b \"c\"", ["a", 'b "c"']),
+        ("<p title=\"open>a<p>b", ["a", "b"]),
+        ("<iframe srcdoc=\"<p>no/>no\">no</iframe>a", ["a"]),
+        # Comments that end at once, and comments ended in the other way.
+        ("<!-->a<p>b<!-- no -->c", ["a", "bc"]),
+        ("<!--->a<p>b<!-- no --!>c<!---->d", ["a", "bcd"]),
+    ],
+)
+def test_tags_take_no_text_with_them(page, texts):
+    assert [b.text for b in html_blocks.blocks_of(page)] == texts
+
+
+def test_shapes_of_a_drawing_do_not_nest():
+    blocks = html_blocks.blocks_of("<a href=x><svg class=icon>" + "<path d='M0'/>" * 50 + "<text>a</text></svg>b</a><p>c")
+    assert [(b.text, b.path, b.linked) for b in blocks] == [("a", ("svg", "icon", "text"), 1), ("b", (), 1), ("c", ("p",), 0)]
+
+
 def test_labeller_on_unseen_layouts_and_pages(spark):
     prose = [words(60, i) + "." for i in range(300)]
     small = [words(5, i + 1000) for i in range(300)]

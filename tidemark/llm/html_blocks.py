@@ -34,11 +34,13 @@ LAYOUTS = 500
 EPOCHS = 24
 
 # Element kinds of the HTML standard.
-RAW = "script style noscript template textarea iframe svg title math object select"
+RAW = "script style noscript template textarea iframe title"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
-    "span strike strong sub sup time tt u var ruby rb rp rt wbr br img".split()
+    "span strike strong sub sup time tt u var ruby rb rp rt wbr br img "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover "
+    "semantics annotation".split()
 )
 CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -54,10 +56,15 @@ SIBLINGS = {
     "option": {"option"},
 }
 
+# As in the standard, a quote opens a value only after an equals sign. One that nothing closes is a letter.
+ATTRIBUTES = (
+    r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))?+)*+"
+)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?P<raw>{'|'.join(RAW.split())})(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)"
+    r"(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>{ATTRIBUTES})>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][\w:-]*)[^>]*>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -105,8 +112,9 @@ class _Page:
                 self.pieces.append(" ")
             return
         self.end_block()
-        self.in_link = False
-        if tag in VOID:
+        drawn = tag == "svg" or any(t == "svg" for t, _ in self.stack)
+        self.in_link = self.in_link and drawn
+        if tag in VOID or drawn and attributes.endswith("/"):
             return
         if tag in CLOSES_P and self.stack and self.stack[-1][0] == "p":
             self.stack.pop()
@@ -154,8 +162,9 @@ def _walk(page: str) -> Iterator[tuple[_Page, str]]:
 
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page in order. White space inside a block is one space, references are decoded;
-    comments, scripts, styles and other raw elements are no text. Broken markup never fails: an element
-    that is not closed ends with its parent, an unmatched end tag ends nothing."""
+    comments and the elements of ``RAW`` are no text and run to their end tag, or without one to the end of
+    the page, as in browsers. Broken markup never fails: any other element that is not closed ends with its
+    parent, an unmatched end tag ends nothing."""
     for out, _ in _walk(page or ""):
         pass
     return out.blocks
