@@ -1,4 +1,5 @@
 import datetime
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,68 @@ def test_migration_takes_types_from_the_target(spark, tmp_path, fmt):
     assert found == {(7, "Ann Lee", "Ann", "Lee"), (None, "Bo", "Bo", None)}
 
 
+def legacy_files(tmp_path, fmt, names, rows):
+    """Lines of JSON text, or CSV with the same values; None leaves a field out."""
+    path = tmp_path / "legacy"
+    path.mkdir()
+    if fmt == "json":
+        each = (", ".join(f'"{n}": {v}' for n, v in zip(names, r) if v is not None) for r in rows)
+        lines = [f"{{{fields}}}" for fields in each]
+    else:
+        lines = [",".join(names)] + [",".join((v or "").strip('"') for v in r) for r in rows]
+    (path / f"part.{fmt}").write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+@pytest.fixture
+def migrated(spark, tmp_path):
+    return pipelines.create_output(
+        spark, str(tmp_path / "m"), pipelines.MIGRATED_INPUT, pipelines.days("processed_date")
+    )
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_migration_keeps_quoted_and_decimal_numbers(spark, tmp_path, migrated, fmt):
+    ids = ['"7"', "8.0", "9", "1e2", '"010"', str(2**63 - 1), None]
+    path = legacy_files(tmp_path, fmt, ("ID", "full_name"), [(i, f'"n{k}"') for k, i in enumerate(ids)])
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="values of")
+        assert pipelines.migrate_directory(spark, path, migrated, RUN) == 7
+    found = {r.full_name: r.id for r in migrated.current().collect()}
+    assert [found[f"n{k}"] for k in range(7)] == [7, 8, 9, 100, 10, 2**63 - 1, None]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_migration_reports_values_that_do_not_cast(spark, tmp_path, migrated, fmt):
+    rows = [('"x"', '"a"'), ("8.5", '"b"'), ("1e30", '"c"'), (None, '"d"'), ("4", None)]
+    path = legacy_files(tmp_path, fmt, ("id", "full_name"), rows)
+    with pytest.warns(UserWarning, match=r"do not cast are NULL: \{'id': 3\}"):
+        assert pipelines.migrate_directory(spark, path, migrated, RUN) == 5
+    found = {r.full_name: r.id for r in migrated.current().collect()}
+    assert found == {"a": None, "b": None, "c": None, "d": None, None: 4}
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_migration_refuses_columns_the_target_lacks(spark, tmp_path, migrated, fmt):
+    path = legacy_files(tmp_path, fmt, ("id", "Phone"), [("1", None), ("2", '"55"')])
+    with pytest.raises(ValueError, match=r"columns not in the table: \['Phone'\]"):
+        pipelines.migrate_directory(spark, path, migrated, RUN)
+    assert migrated.refresh().is_empty("main")
+
+
+def test_migration_refuses_json_that_is_cut_off(spark, tmp_path, migrated):
+    path = legacy_files(tmp_path, "json", ("id",), [("1",), ('"2',)])
+    with pytest.raises(ValueError, match="_corrupt_record"):
+        pipelines.migrate_directory(spark, path, migrated, RUN)
+
+
+@pytest.mark.parametrize("fmt, text", [("csv", "id,full_name\n"), ("csv", ""), ("json", "")])
+def test_migration_of_files_without_rows(spark, tmp_path, migrated, fmt, text):
+    (tmp_path / "legacy").mkdir()
+    (tmp_path / "legacy" / f"part.{fmt}").write_text(text)
+    assert pipelines.migrate_directory(spark, str(tmp_path / "legacy"), migrated, RUN) == 0
+
+
 def test_pipeline_between_catalog_tables(spark):
     spark.createDataFrame(story.NAMES, pipelines.NAME_INPUT).write.mode("overwrite").saveAsTable("names_given")
     spark.sql("DROP TABLE IF EXISTS names_done")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import cleaned_name, filled_score, part_count
 from ..operators import Transform, VersionedTable, days
 from ..sources import append_table, create_table, load_directory, overwrite_table_partitions
+from ..sources.conform import ROWS
 
 # Table layouts and labels.
 NAME_INPUT = "id BIGINT, full_name STRING"
@@ -124,15 +125,19 @@ def migrate_directory(
 ) -> int:
     """Append a directory's files to ``target`` with the run's time and origin; 0 if none fit.
 
-    Types come from the target, so text files are read once."""
-    stamps = ("processed_date", "source_system")
-    known = StructType([f for f in target.current().schema if f.name.lower() not in stamps])
-    df = load_directory(spark, path, known)
+    Types come from the target. Columns it does not have are refused. A value of a text file that does not
+    cast is NULL; a warning says how many there are in which column, counted while they are written."""
+    stamps = {
+        "processed_date": _moment(run_ts),
+        "source_system": F.lit(source_system),
+    }
+    lost = Observation()
+    df = load_directory(spark, path, target.current().schema, lost)
     if df is None:
         return 0
     before = target.refresh().record_count()
-    stamped = df.withColumns(
-        {"processed_date": _moment(run_ts), "source_system": F.lit(source_system)}
-    )
-    target.append(stamped, rebalance=False)
+    target.append(df.withColumns(stamps), rebalance=False)
+    failed = {name: n for name, n in lost.get.items() if n and name not in (ROWS, *stamps)}
+    if failed:
+        warnings.warn(f"values of {path} that do not cast are NULL: {failed}")
     return target.record_count() - before

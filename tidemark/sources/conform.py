@@ -6,13 +6,15 @@ import json
 import warnings
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, MapType, StringType, StructField, StructType
 
 from ..functions import array_from_text
 
 NESTED = (ArrayType, MapType, StructType)
+# Name under which ``conform`` observes the number of rows; no column is named so.
+ROWS = "rows read"
 
 
 def schema_from(spark: SparkSession, schema: StructType | str | None) -> StructType | None:
@@ -43,20 +45,25 @@ def has_nested(schema: StructType) -> bool:
     return any(isinstance(field.dataType, NESTED) for field in schema)
 
 
-def conform(df: DataFrame, schema: StructType, mode: str = "compat") -> DataFrame:
+def conform(
+    df: DataFrame, schema: StructType, mode: str = "compat", lost: Observation | None = None
+) -> DataFrame:
     """One projection to the target's columns, order and types.
 
     Columns the file lacks become typed NULLs, extra ones are dropped, and a value that does not
     cast becomes NULL. ``mode`` says how array text is read: ``compat`` cuts at commas and leaves
     strings, whatever the element type; ``json`` parses it and casts the elements. Structs and
-    maps are always parsed as JSON.
+    maps are always parsed as JSON. ``lost`` observes how many values of each column did not cast.
     """
     if mode not in ("compat", "json"):
         raise ValueError(f"unknown mode: {mode}")
     present = {field.name: field for field in df.schema}
-    return df.select(
-        *(_target(present.get(field.name), field, mode).alias(field.name) for field in schema)
-    )
+    targets = {field.name: _target(present.get(field.name), field, mode) for field in schema}
+    if lost is not None:
+        failed = {n: F.col(f"`{n}`").isNotNull() & targets[n].isNull() for n in targets if n in present}
+        counts = [F.count_if(value).alias(name) for name, value in failed.items()]
+        df = df.observe(lost, F.count(F.lit(1)).alias(ROWS), *counts)
+    return df.select(*(value.alias(name) for name, value in targets.items()))
 
 
 def _target(source: StructField | None, target: StructField, mode: str) -> Column:
@@ -65,7 +72,12 @@ def _target(source: StructField | None, target: StructField, mode: str) -> Colum
     value = F.col(f"`{target.name}`")
     from_text = isinstance(source.dataType, StringType) and isinstance(target.dataType, NESTED)
     if not from_text:
-        return value.try_cast(target.dataType)
+        whole = value.try_cast(target.dataType)
+        if not (isinstance(source.dataType, StringType) and isinstance(target.dataType, IntegralType)):
+            return whole
+        # 8.0 and 1e2 are whole numbers too.
+        number = value.try_cast("decimal(38,18)")
+        return F.coalesce(whole, F.when(number == F.floor(number), number).try_cast(target.dataType))
     if isinstance(target.dataType, ArrayType) and mode == "compat":
         return array_from_text(value)
     return F.from_json(value, target.dataType)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .conform import conform, has_nested, schema_from
+from .conform import ROWS, conform, has_nested, schema_from
 
 # The formats known by extension, and the order in which a directory's are tried.
 FORMATS = ("csv", "parquet", "json", "orc", "avro")
@@ -63,12 +64,17 @@ def _load_csv(
 
 
 def load_directory(
-    spark: SparkSession, path: str, schema: StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType | None = None,
+    lost: Observation | None = None,
 ) -> DataFrame | None:
     """A directory through one reader: Parquet if it holds any, else CSV, else JSON, else None.
 
-    With a ``schema`` nothing is inferred: JSON is read with it, so a field no line has is NULL, and
-    the CSV columns it names are cast. Names are listed through Spark's file index; no job runs.
+    With a ``schema`` no types are inferred: the fields of CSV and JSON are read as text and cast to the
+    columns of the same name, in any case; other fields are refused, as appending refuses them. JSON is
+    read once more for its field names. ``lost`` observes how many values of each column did not cast.
+    Names of files are listed through Spark's file index; no job runs.
     """
     try:
         found = [fmt for fmt in DIRECTORY_ORDER if _holds(spark, path, fmt)]
@@ -79,13 +85,19 @@ def load_directory(
     if not found:
         return None
     if schema is None or found[0] == "parquet":
-        return load_file(spark, path, found[0])
+        df = load_file(spark, path, found[0])
+        return df if lost is None else df.observe(lost, F.count(F.lit(1)).alias(ROWS))
     if found[0] == "json":
-        return spark.read.schema(schema).json(path)
-    text = spark.read.option("header", True).csv(path)
-    present = {name.lower() for name in text.columns}
-    known = StructType([field for field in schema if field.name.lower() in present])
-    return conform(text, known)
+        names = spark.read.option("primitivesAsString", True).json(path).columns
+        text = spark.read.schema(StructType([StructField(n, StringType()) for n in names])).json(path)
+    else:
+        text = spark.read.option("header", True).csv(path)
+    given = {name.lower(): name for name in text.columns}
+    if extra := set(given) - {name.lower() for name in schema.names}:
+        raise ValueError(f"columns not in the table: {sorted(given[name] for name in extra)}")
+    known = StructType([field for field in schema if field.name.lower() in given])
+    named = text.withColumnsRenamed({given[name.lower()]: name for name in known.names})
+    return conform(named, known, "json" if found[0] == "json" else "compat", lost)
 
 
 def _holds(spark: SparkSession, path: str, extension: str) -> bool:
