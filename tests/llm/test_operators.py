@@ -343,6 +343,25 @@ def test_quality_learns_grades(spark, none):
     assert quality.grade_documents(none, model).count() == 0
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_frequent_id_sends_no_more_than_the_sample(spark, monkeypatch, copies):
+    rows = [(1, "same text" if copies else f"text {i}", 2) for i in range(600)] + [(i, f"other {i}", 1) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(8)
+    ratings = spark.createDataFrame([(1, 2)] + [(i, 1) for i in range(2, 30)], "doc_id long, grade long")
+    ratings = ratings.union(ratings.where("doc_id = 2").withColumn("grade", F.lit(0).cast("long")))
+    sent, fitted, arrow = [], [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sent.append(arrow(df)) or sent[-1])
+    monkeypatch.setattr(quality, "fit", lambda texts, grades, n: fitted.append((texts, grades)))
+    for sample in (50, 5000):
+        quality.train(docs, ratings, sample)
+        quality.train(docs.repartition(3), ratings, sample)
+        (texts, grades), (again, _) = fitted[-2:]
+        assert sent[-1].num_rows <= min(sample, 30 if copies else 629) + (sample < 100)
+        assert len(texts) == len(grades) == min(sample, 629)
+        assert list(map(bytes, texts)) == list(map(bytes, again))
+    assert Counter(grades) == {2: 600, 1: 28, 0: 1}
+
+
 # -- WARC
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from operator import eq
 from zlib import crc32
 
@@ -150,25 +151,34 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: int = GRADES) -> OrdinalModel:
     """Fit on rated documents: ``ratings`` has ``doc_id`` and ``grade`` from 0 to ``n_grades - 1``.
 
-    At most ``sample`` documents, the first by a hash of their id, are fitted on; only the numbers of
-    their features come to the driver. Ratings and texts that are null, and other grades, are left out.
+    At most ``sample`` rows, the first by a hash of id and text and by grade, are fitted on. Rows that tie
+    are copies: they come to the driver once, as the numbers of their features, and count as often as they
+    occur. The hash is known before the join, so that no other texts are joined. Ratings and texts that are
+    null, and other grades, are left out.
     """
     rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(
         F.col("grade").between(0, n_grades - 1)
     )
     chosen = (
         docs.where(F.col("text").isNotNull())
-        .select("doc_id", "text")
+        .select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", "text").alias("order"))
         .join(rated, "doc_id")
-        .select("grade", F.col("text").cast("binary"), F.xxhash64(F.lit(1), "doc_id").alias("order"))
+        .select("grade", F.col("text").cast("binary"), "order")
     )
-    limit = lowest(chosen.select("order"), "order", sample).agg(F.max("order")).first()[0]
-    if limit is None:
+    copies = chosen.groupBy("order", "grade").agg(F.count(F.lit(1)).alias("n"))
+    some = {(r["order"], r["grade"]): r["n"] for r in lowest(copies, "order", sample).collect()}
+    if not some:
         return fit([], [], n_grades)
+    totals = accumulate(some.values())
+    limit = next((key for key, total in zip(some, totals) if total >= sample), max(some))[0]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenFeatures()
+        cache, seen = TokenFeatures(), set()
         for part in parts:
+            keys = zip(part.column(2).to_pylist(), part.column(0).to_pylist())
+            first = {key: i for i, key in enumerate(keys) if key not in seen}
+            seen.update(first)
+            part = part.take(pa.array(first.values(), pa.int64()))
             found = [features(t.as_py(), cache) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(found, pa.list_(pa.int32())), part.column(2)],
@@ -178,12 +188,16 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: i
     rows = (
         chosen.where(F.col("order") <= limit)
         .mapInArrow(batches, "grade int, features array<int>, order long")
+        .dropDuplicates(["order", "grade"])
         .toArrow()
         .sort_by([("order", "ascending"), ("grade", "ascending")])
-        .slice(0, sample)
     )
-    texts = [np.array(x.as_py(), dtype=np.int32) for x in rows.column("features")]
-    return fit(texts, rows.column("grade").to_pylist(), n_grades)
+    texts, grades = [], []
+    for x, grade, order in zip(rows.column("features"), *(rows.column(c).to_pylist() for c in ("grade", "order"))):
+        n = min(some.get((order, grade), 0), sample - len(texts))
+        texts += [np.array(x.as_py(), dtype=np.int32)] * n
+        grades += [grade] * n
+    return fit(texts, grades, n_grades)
 
 
 def _judged(texts: pa.Array, model: OrdinalModel, cache: TokenFeatures) -> np.ndarray:
