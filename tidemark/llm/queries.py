@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, chat, ctw, decontaminate, html_blocks, mixing, quality, shards, simhash, warc
+from . import (
+    bottomk,
+    chat,
+    ctw,
+    decontaminate,
+    fim,
+    html_blocks,
+    mixing,
+    quality,
+    repair,
+    rules,
+    shards,
+    simhash,
+    warc,
+)
 from .common import blank_words, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +155,63 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, quality.train(docs, rated(spark, sf_dir)))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fim.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with some rows dropped, emptied, repeated, without marks at sentence ends, or under
+    the wrong role, by a checksum of conversation and turn."""
+    spelled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *spelled).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit(" ")).alias("text"), kind.alias("kind"))
+    copies = F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return (
+        rows.where("kind != 0")
+        .withColumn("copy", F.explode(copies))
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("kind") == 4, repair.USER).otherwise(F.col("role")).alias("role"),
+            F.when(F.col("kind") == 1, "")
+            .when(F.col("kind") == 2, F.translate("text", ".!?", ""))
+            .otherwise(F.col("text"))
+            .alias("text"),
+        )
+    )
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    _, found = repair.repair(damaged(turns))
+    every = turns.groupBy(F.col("conv_id").alias("of_conv")).agg(F.count(F.lit(1)).alias("n_turns"))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.join(found, F.col("of_conv").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("of_conv").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -154,5 +225,8 @@ QUERIES: dict[str, Query] = {
         op8_simhash,
         op9_decontaminate,
         op10_quality,
+        op11_fill_in_middle,
+        op12_repair,
+        op13_rules,
     )
 }
