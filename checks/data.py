@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampType
 
 from tidemark import VersionedTable, days, months
+from tidemark.operators import RowLog
 from tidemark.plans import story
 from tidemark.session import apply_settings, new_work_dir
 
@@ -165,6 +166,41 @@ def orders_by_month(spark: SparkSession, sf_dir: str) -> VersionedTable:
     )
 
 
+def order_log(spark: SparkSession, sf_dir: str) -> RowLog:
+    """Three commits over all orders, from one scan: all are written; then open ones get dearer, written
+    twice in the commit, and finished ones of the highest priority are deleted; then the deleted ones of
+    1997 and later come back for one, and those in process are deleted."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    price = F.col("o_totalprice").cast("decimal(15,2)")
+    urgent = (status == "F") & (priority == "1-URGENT")
+
+    def version(commit: int, sequence: int, amount, deleted: bool, when=None):
+        row = F.struct(
+            F.lit(commit).alias("commit_id"),
+            F.lit(sequence).alias("sequence"),
+            F.lit(f"2024-01-01 0{commit}:00:00").cast("timestamp_ntz").alias("committed_at"),
+            F.lit(deleted).alias("deleted"),
+            amount.cast("decimal(15,2)").alias("price"),
+        )
+        return row if when is None else F.when(when, row)
+
+    versions = F.array(
+        version(1, 0, price, False),
+        version(2, 0, price + 1, False, status == "O"),
+        version(2, 1, price + 100, False, status == "O"),
+        version(2, 0, price, True, urgent),
+        version(3, 0, F.lit(1), False, urgent & (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))),
+        version(3, 0, price, True, status == "P"),
+    )
+    rows = read(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        F.explode(F.filter(versions, lambda v: v.isNotNull())).alias("version"),
+    )
+    return RowLog(rows.select("o_orderkey", "o_custkey", "o_orderstatus", "version.*"), ["o_orderkey"])
+
+
 def lineitem_by_month(spark: SparkSession, sf_dir: str, mode: str) -> VersionedTable:
     """lineitem by month of shipment; late returns lose their discount, in the given mode."""
 

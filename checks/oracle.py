@@ -78,7 +78,114 @@ _part_tags = """CASE WHEN p_size > 40 THEN CAST([] AS VARCHAR[])
 _said = "'[\"' || role || '\", ''' || text || ''']'"
 _segments = "SELECT DISTINCT c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
+def _event_steps(ts: str) -> str:
+    over = "OVER (ORDER BY ts NULLS FIRST, event_id)"
+    return f"""
+        SELECT event_id, ts, event_type, CAST(value AS {WIDE}) AS value, row_number() {over} AS place,
+               CAST(coalesce(lag(value) {over}, 0) AS {WIDE}) AS value_before, lag(event_type) {over} AS type_before,
+               CAST(sum(value) {over} AS {WIDE}) AS total
+        FROM (SELECT event_id, {ts} AS ts, event_type, CAST(value AS DECIMAL(18,4)) AS value FROM events)"""
+
+
+_price = "CAST(o_totalprice AS DECIMAL(15,2))"
+_urgent = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
+_versions = (
+    (1, 0, _price, "false", "true"),
+    (2, 0, f"{_price} + 1", "false", "o_orderstatus = 'O'"),
+    (2, 1, f"{_price} + 100", "false", "o_orderstatus = 'O'"),
+    (2, 0, _price, "true", _urgent),
+    (3, 0, "1", "false", f"{_urgent} AND o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'"),
+    (3, 0, _price, "true", "o_orderstatus = 'P'"),
+)
+_union = " UNION ALL ".join(
+    f"SELECT o_orderkey, o_custkey, o_orderstatus, {c} AS commit_id, {s} AS sequence, "
+    f"CAST({p} AS DECIMAL(15,2)) AS price, {d} AS deleted FROM orders WHERE {w}"
+    for c, s, p, d, w in _versions
+)
+LOG = f"log AS ({_union})"
+
+
+def _state(until: int, name: str = "state") -> str:
+    return f"""{name} AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, CAST(price AS {WIDE}) AS price FROM (
+    SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY commit_id DESC, sequence DESC) AS age
+    FROM log WHERE commit_id <= {until}) WHERE age = 1 AND NOT deleted)"""
+
+
+BRANCH = f"""{_state(2, "base")},
+branch AS (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE 'B' END AS o_orderstatus,
+         CAST(CASE WHEN o_orderstatus = 'O' THEN price ELSE price * 2 END AS {WIDE}) AS price
+  FROM base WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT -c_custkey - 1, c_custkey, 'N', CAST(c_acctbal AS {WIDE}) FROM customer)"""
+
+_line = "CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR)"
+
 ORACLE: dict[str, str] = {
+    # one order over whole tables
+    "order_numbers": """
+        SELECT o_orderkey, o_orderdate, o_totalprice, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place,
+               row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS from_end
+        FROM orders""",
+    "event_running": _event_steps("ts"),
+    "event_running_tied": _event_steps("CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN ts END"),
+    "nation_names": """
+        SELECT c_nationkey, string_agg(c_name, '; ' ORDER BY c_acctbal, c_custkey) AS names
+        FROM customer GROUP BY c_nationkey""",
+    "customer_first_last": """
+        SELECT o_custkey,
+               first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_o_orderkey,
+               first(o_orderdate ORDER BY o_orderdate, o_orderkey) AS first_o_orderdate,
+               first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS first_o_totalprice,
+               last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_o_orderkey,
+               last(o_orderdate ORDER BY o_orderdate, o_orderkey) AS last_o_orderdate,
+               last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS last_o_totalprice
+        FROM orders GROUP BY o_custkey""",
+    # a table as a log of row versions
+    **{
+        name: f"WITH {LOG}, {_state(until)} SELECT * FROM state"
+        for name, until in (
+            ("log_version_1", 1), ("log_version_2", 2), ("log_current", 3), ("log_time_between", 2), ("log_time_exact", 3)
+        )
+    },
+    "log_totals": f"WITH {LOG}, {_state(1, 's1')}, {_state(2, 's2')}, {_state(3, 's3')} " + " UNION ALL ".join(
+        f"SELECT {i} AS commit_id, count(*) AS total_rows, CAST(sum(price) AS {WIDE}) AS total_price FROM s{i}" for i in (1, 2, 3)
+    ),
+    "branch_overlay": f"WITH {LOG}, {BRANCH} SELECT * FROM branch",
+    "branch_differences": f"""
+        WITH {LOG}, {_state(3)}, {BRANCH}
+        SELECT o_orderkey, CASE WHEN s.price IS NULL THEN 'added' WHEN b.price IS NULL THEN 'removed'
+                 WHEN s.o_orderstatus <> b.o_orderstatus OR s.price <> b.price THEN 'changed' ELSE 'same' END AS status,
+               CASE WHEN s.o_orderstatus <> b.o_orderstatus OR s.price <> b.price THEN concat_ws(',',
+                 CASE WHEN s.o_orderstatus <> b.o_orderstatus THEN 'o_orderstatus' END,
+                 CASE WHEN s.price <> b.price THEN 'price' END) END AS changed_columns,
+               s.price AS price_main, b.price AS price_branch
+        FROM state s FULL JOIN branch b USING (o_orderkey)""",
+    "update_chain": f"""
+        WITH {CUSTOMERS.strip()}
+        SELECT id, name, country, segment, total_orders, CAST(total_spent AS {WIDE}) AS total_spent, customer_tier,
+               CASE customer_tier WHEN 'platinum' THEN '1,4' WHEN 'gold' THEN '2,4' ELSE '3' END AS hits
+        FROM final""",
+    # files with other headers, rescued values, loads run again
+    "migrate_csv_headers": f"""
+        SELECT p_partkey AS id, p_name AS full_name,
+               CASE WHEN p_name < 'q' THEN split_part(p_name, ' ', 1) END AS first_name,
+               split_part(p_name, ' ', 2) AS last_name, TIMESTAMP '{RUN_TS}' AS processed_date,
+               'legacy_migration' AS source_system
+        FROM part""",
+    "rescue_values": f"""
+        SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+               {_line} || CASE WHEN l_returnflag = 'R' THEN ' pcs' ELSE '' END AS l_quantity,
+               CASE WHEN l_linestatus = 'O' THEN 'soon' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS l_shipdate,
+               l_returnflag, 1 + CAST(l_returnflag = 'R' AS INTEGER) + CAST(l_linestatus = 'O' AS INTEGER) AS n_rescued
+        FROM lineitem""",
+    "quarantine_rows": f"""
+        SELECT l_returnflag = 'R' OR l_linestatus = 'O' AS quarantined, l_orderkey, l_linenumber,
+               CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS {WIDE}) END AS l_quantity,
+               CASE WHEN l_linestatus <> 'O' THEN CAST(l_shipdate AS DATE) END AS l_shipdate
+        FROM lineitem""",
+    "load_once_again": """
+        SELECT *, 'first' AS load_key FROM events UNION ALL SELECT *, 'second' AS load_key FROM events""",
     # sources
     "src_csv_infer": "SELECT * FROM customer",
     "src_csv_schema": "SELECT * FROM orders",

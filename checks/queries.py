@@ -10,16 +10,31 @@ from pyspark.sql.types import StructType
 
 from tidemark import VersionedTable, days
 from tidemark.functions import array_from_text
-from tidemark.plans import pipelines, reports
+from tidemark.operators import (
+    Update,
+    compare,
+    first_and_last,
+    fold_updates,
+    in_order,
+    joined_text,
+    number,
+    overlay,
+    previous,
+    running_sum,
+)
+from tidemark.plans import pipelines, reports, story
 from tidemark.sources import (
     append_table,
     conform,
+    create_loaded_table,
     create_table,
     describe,
     drop_table,
     load_file,
+    load_once,
     overwrite_partitions,
     preview,
+    quarantine,
     register_file,
     verify,
 )
@@ -136,14 +151,18 @@ def conform_array_text(spark, sf):
     )
 
 
-def migrated(spark, sf, fmt, **options):
+def migrated_names(spark, sf):
     name = F.split("p_name", " ")
-    legacy = data.read(spark, sf, "part").select(
+    return data.read(spark, sf, "part").select(
         F.col("p_partkey").alias("id"),
         F.col("p_name").alias("full_name"),
         name[0].alias("first_name"),
         name[1].alias("last_name"),
     )
+
+
+def migrated(spark, sf, fmt, **options):
+    legacy = migrated_names(spark, sf)
     path = data.source_file(spark, sf, fmt, "legacy_names", legacy, **options)
     target = pipelines.create_output(
         spark, data.fresh_dir(spark, sf, "migrated"), pipelines.MIGRATED_INPUT, days("processed_date")
@@ -531,5 +550,226 @@ def inventory(spark, sf):
     return reports.inventory(listing, "ASIA")
 
 
+# -- one order over whole tables -----------------------------------------------------------
+
+
+@query
+def order_numbers(spark, sf):
+    """Every order's place by date and key, from both ends."""
+    orders = data.read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return in_order(
+        orders, ["o_orderdate", "o_orderkey"], place=number(), from_end=number(descending=True)
+    )
+
+
+def event_steps(spark, sf, ts):
+    events = data.read(spark, sf, "events").select(
+        "event_id", ts.alias("ts"), "event_type", F.col("value").cast("decimal(18,4)").alias("value")
+    )
+    return in_order(
+        events,
+        ["ts", "event_id"],
+        place=number(),
+        value_before=previous("value", 0),
+        type_before=previous("event_type"),
+        total=running_sum("value"),
+    ).withColumn("total", F.col("total").cast("decimal(38,2)"))
+
+
+@query
+def event_running(spark, sf):
+    """The event before and the running total over all events by time."""
+    return event_steps(spark, sf, F.col("ts"))
+
+
+@query
+def event_running_tied(spark, sf):
+    """The same where every event of three types has one and the same time, earlier than all others."""
+    tied = F.col("event_type").isin("click", "view", "error")
+    return event_steps(spark, sf, F.when(~tied, F.col("ts")))
+
+
+@query
+def nation_names(spark, sf):
+    """All names of a nation's customers in one text, by balance, then key."""
+    customer = data.read(spark, sf, "customer").select("c_nationkey", "c_name", "c_acctbal", "c_custkey")
+    return joined_text(customer, ["c_nationkey"], "c_name", ["c_acctbal", "c_custkey"], "; ", "names")
+
+
+@query
+def customer_first_last(spark, sf):
+    """The first and the last order of every customer."""
+    orders = data.read(spark, sf, "orders")
+    return first_and_last(
+        orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderdate", "o_totalprice"]
+    )
+
+
+# -- a table as a log of row versions ------------------------------------------------------
+
+
+def log_state(version=None, timestamp=None):
+    def run(spark, sf):
+        return data.order_log(spark, sf).state(version, timestamp)
+
+    return run
+
+
+for name, at in (
+    ("log_version_1", {"version": 1}),
+    ("log_version_2", {"version": 2}),
+    ("log_current", {}),
+    ("log_time_between", {"timestamp": "2024-01-01 02:30:00"}),
+    ("log_time_exact", {"timestamp": "2024-01-01 03:00:00"}),
+):
+    state = log_state(**at)
+    state.__name__ = name
+    query(state)
+
+
+@query
+def log_totals(spark, sf):
+    """Rows and value of the table after every commit, from one pass over the log."""
+    return data.order_log(spark, sf).totals(["price"])
+
+
+def branch(spark, sf):
+    """What a branch holds that began at the second commit: its own new prices and deletions on top."""
+    log = data.order_log(spark, sf)
+    changed = log.state(version=2).where("o_orderstatus != 'O'").select(
+        "o_orderkey",
+        "o_custkey",
+        F.lit("B").alias("o_orderstatus"),
+        (F.col("price") * 2).cast("decimal(15,2)").alias("price"),
+        (F.col("o_orderstatus") == "P").alias("deleted"),
+    )
+    new = data.read(spark, sf, "customer").select(
+        (-F.col("c_custkey") - 1).alias("o_orderkey"),
+        F.col("c_custkey").alias("o_custkey"),
+        F.lit("N").alias("o_orderstatus"),
+        F.col("c_acctbal").cast("decimal(15,2)").alias("price"),
+    )
+    return overlay([log.state(version=2), changed, new.withColumn("deleted", F.lit(False))], ["o_orderkey"], "deleted")
+
+
+@query
+def branch_overlay(spark, sf):
+    return branch(spark, sf)
+
+
+@query
+def branch_differences(spark, sf):
+    """Every key of the main line now and of the branch: added, removed, changed or the same."""
+    differ = compare(data.order_log(spark, sf).state(), branch(spark, sf), ["o_orderkey"])
+    return differ.select(
+        "o_orderkey",
+        "status",
+        F.array_join("changed_columns", ",").alias("changed_columns"),
+        F.col("left_row.price").alias("price_main"),
+        F.col("right_row.price").alias("price_branch"),
+    )
+
+
+CUSTOMER_UPDATES = (
+    *(Update(where, {story.TIER_COLUMN: f"'{tier}'"}) for tier, where in story.TIERS),
+    Update(story.PROMOTED, story.PROMOTION),
+)
+
+
+def untiered(spark, sf):
+    return data.customers(spark, sf).withColumn(story.TIER_COLUMN, F.lit(None).cast("string"))
+
+
+@query
+def update_chain(spark, sf):
+    """Tiers and promotion of all customers, four updates in one projection, and which of them hit."""
+    chained = fold_updates(untiered(spark, sf), CUSTOMER_UPDATES, "hits")
+    return chained.withColumn("hits", F.array_join(F.transform("hits", lambda x: x.cast("string")), ","))
+
+
+# -- files with other headers, rescued values, loads run again -----------------------------
+
+
+@query
+def migrate_csv_headers(spark, sf):
+    """One directory whose files name the same columns in three orders, one of them without a column."""
+    legacy = migrated_names(spark, sf)
+
+    def build():
+        path = f"{data.work_dir(spark, sf)}/legacy_headers.csv"
+        size = F.when(F.col("full_name") < "h", 0).when(F.col("full_name") < "q", 1).otherwise(2)
+        for i, columns in enumerate(
+            (
+                ["id", "full_name", "first_name", "last_name"],
+                ["last_name", "first_name", "id", "full_name"],
+                ["LAST_NAME", "full_name", "id"],
+            )
+        ):
+            rows = legacy.where(size == i).withColumnRenamed("last_name", columns[0] if i == 2 else "last_name")
+            rows.select(*columns).write.mode("append").option("header", True).csv(path)
+        return path
+
+    path = data.once(spark, sf, "legacy_headers", build)
+    target = pipelines.create_output(
+        spark, data.fresh_dir(spark, sf, "migrated"), pipelines.MIGRATED_INPUT, days("processed_date")
+    )
+    pipelines.migrate_directory(spark, path, target, data.RUN_TS)
+    return target.current()
+
+
+RESCUE_TARGET = "l_orderkey BIGINT, l_linenumber INT, l_quantity DECIMAL(12,2), l_shipdate DATE"
+
+
+def spoiled_lines(spark, sf):
+    """lineitem as text; quantities of returned lines and dates of open ones do not cast."""
+    line = data.read(spark, sf, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    returned, is_open = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+    quantity = F.col("l_quantity").cast("decimal(12,2)").cast("string")
+    return line.select(
+        text("l_orderkey").alias("l_orderkey"),
+        text("l_linenumber").alias("l_linenumber"),
+        F.when(returned, F.concat(quantity, F.lit(" pcs"))).otherwise(quantity).alias("l_quantity"),
+        F.when(is_open, F.lit("soon")).otherwise(F.col("l_shipdate").cast("date").cast("string")).alias("l_shipdate"),
+        F.col("l_returnflag"),
+    )
+
+
+@query
+def rescue_values(spark, sf):
+    """The text of every line again, from conformed values and rescued texts."""
+    target = StructType.fromDDL(RESCUE_TARGET)
+    found = conform(spoiled_lines(spark, sf), target, rescue="rescued")
+    back = [F.coalesce(F.col(c).cast("string"), F.col("rescued")[c]).alias(c) for c in target.names]
+    return found.select(*back, F.col("rescued")["l_returnflag"].alias("l_returnflag"), F.size("rescued").alias("n_rescued"))
+
+
+@query
+def quarantine_rows(spark, sf):
+    """Lines that lost a value, and those that did not, each counted and summed by what is left."""
+    text = spoiled_lines(spark, sf).drop("l_returnflag")
+    good, bad = quarantine(conform(text, StructType.fromDDL(RESCUE_TARGET), rescue="rescued"), "rescued")
+    sides = [
+        side.withColumn("quarantined", F.lit(flag)).select("quarantined", "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+        for side, flag in ((good, False), (bad, True))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+@query
+def load_once_again(spark, sf):
+    """All events, loaded when a first try had broken after some types, then once more after the end, and
+    then as another load with the same rows."""
+    events = data.read(spark, sf, "events")
+    table = f"{data.own_database(spark, sf)}.events_loaded"
+    drop_table(spark, table)
+    create_loaded_table(events, table)
+    half = events.where("event_type NOT IN ('error', 'click')")
+    append_table(half.withColumn("load_key", F.lit("first")), table)
+    for key in ("first", "first", "second", "second"):
+        load_once(events, table, key)
+    return spark.table(table)
+
+
 for new, old in (("overwrite_partitions", "overwrite_partitions_by_day"), ("preview", "preview_rows")):
     QUERIES[new] = QUERIES.pop(old)

@@ -1,5 +1,6 @@
-from .conform import conform, schema_from
-from .files import detect_format, load_directory, load_file
+from .conform import conform, quarantine, schema_from
+from .files import detect_format, header_lines, load_by_header, load_directory, load_file
+from .loads import content_key, create_loaded_table, load_once
 from .tables import (
     append_table,
     create_database,
@@ -18,17 +19,23 @@ from .tables import (
 __all__ = [
     "append_table",
     "conform",
+    "content_key",
     "create_database",
+    "create_loaded_table",
     "create_table",
     "describe",
     "detect_format",
     "drop_table",
+    "header_lines",
     "inventory_listing",
+    "load_by_header",
     "load_directory",
     "load_file",
+    "load_once",
     "overwrite_partitions",
     "overwrite_table_partitions",
     "preview",
+    "quarantine",
     "register_file",
     "schema_from",
     "schema_overview",

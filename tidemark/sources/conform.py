@@ -46,7 +46,11 @@ def has_nested(schema: StructType) -> bool:
 
 
 def conform(
-    df: DataFrame, schema: StructType, mode: str = "compat", lost: Observation | None = None
+    df: DataFrame,
+    schema: StructType,
+    mode: str = "compat",
+    lost: Observation | None = None,
+    rescue: str | None = None,
 ) -> DataFrame:
     """One projection to the target's columns, order and types.
 
@@ -54,7 +58,12 @@ def conform(
     cast becomes NULL. ``mode`` says how array text is read: ``compat`` cuts at commas and leaves
     strings, whatever the element type; ``json`` parses it and casts the elements. Structs and
     maps are always parsed as JSON. ``lost`` observes how many values of each column did not cast.
+
+    ``rescue`` names one more column, a map from the name of each column whose value did not cast, and of
+    each extra column that has a value, to the text it had; NULL where nothing was lost.
     """
+    if rescue is not None and rescue.lower() in {name.lower() for name in (*df.columns, *schema.names)}:
+        raise ValueError(f"there is a column {rescue} already")
     if mode not in ("compat", "json"):
         raise ValueError(f"unknown mode: {mode}")
     present = {field.name: field for field in df.schema}
@@ -63,7 +72,30 @@ def conform(
         failed = {n: F.col(f"`{n}`").isNotNull() & targets[n].isNull() for n in targets if n in present}
         counts = [F.count_if(value).alias(name) for name, value in failed.items()]
         df = df.observe(lost, F.count(F.lit(1)).alias(ROWS), *counts)
-    return df.select(*(value.alias(name) for name, value in targets.items()))
+    rescued = [] if rescue is None else [_rescued(df.schema, targets).alias(rescue)]
+    return df.select(*(value.alias(name) for name, value in targets.items()), *rescued)
+
+
+def _rescued(given: StructType, targets: dict[str, Column]) -> Column:
+    """The texts of the values that have no place in the target, by the name of their column."""
+    entries = []
+    for field in given:
+        value = F.col(f"`{field.name}`")
+        nested = isinstance(field.dataType, NESTED)
+        entry = F.struct(F.lit(field.name).alias("key"), (F.to_json(value) if nested else value.cast("string")).alias("value"))
+        gone = targets[field.name].isNull() if field.name in targets else F.lit(True)
+        entries.append(F.when(value.isNotNull() & gone, entry))
+    lost = F.filter(F.array(*entries), lambda entry: entry.isNotNull())
+    return F.when(F.size(lost) > 0, F.map_from_entries(lost))
+
+
+def quarantine(df: DataFrame, rescue: str) -> tuple[DataFrame, DataFrame]:
+    """Conformed rows without the column of rescued texts, and the rows that lost something, with it.
+
+    Both read the same input; write ``df`` first where reading it twice is dear.
+    """
+    whole = F.col(f"`{rescue}`").isNull()
+    return df.where(whole).drop(rescue), df.where(~whole)
 
 
 def _target(source: StructField | None, target: StructField, mode: str) -> Column:
