@@ -1,4 +1,5 @@
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -13,8 +14,8 @@ def plan_of(df):
 
 
 def folders(df):
-    """The log folders a DataFrame would read."""
-    return {path.split("/log/")[1].rsplit("/", 1)[0] for path in df.inputFiles()}
+    """The log folders a DataFrame would read, without the names of their attempts."""
+    return {re.sub("/attempt=[0-9a-f]+", "", path.split("/log/")[1].rsplit("/", 1)[0]) for path in df.inputFiles()}
 
 
 def ids(df):
@@ -213,7 +214,10 @@ def test_unknown_and_missing_columns(spark, table):
         table.append(spark.range(1).select("id", F.lit(1).alias("extra")))
     with pytest.raises(ValueError, match="extra"):
         table.update("id = 1", {"extra": "1"})
-    table.append(spark.range(1))
+    with pytest.raises(ValueError, match="missing"):
+        table.append(spark.range(1))
+    assert table.is_empty() and len(table.refresh().snapshot_ids) == 1
+    table.append(spark.range(1), fill_missing=True)
     assert table.current().first().v is None
 
 
@@ -287,6 +291,18 @@ def test_racing_writers_are_detected(spark, table):
         other._record("tag", "b", snapshot_id=1)
 
 
+def test_a_racing_writer_overwrites_no_rows(spark, table):
+    """The slower of two writers with one commit number writes beside the other, and is then found out."""
+    slower = VersionedTable(spark, table.path)
+    slower.refresh = lambda: slower
+    table.append(numbers(spark, 0, 5))
+    mine = table.current()
+    slower.append(numbers(spark, 50, 60))
+    assert ids(mine) == [0, 1, 2, 3, 4]
+    with pytest.raises(RuntimeError, match="two writers"):
+        table.refresh()
+
+
 def test_other_sessions_see_commits(spark, table):
     other = VersionedTable(spark, table.path)
     table.append(numbers(spark, 0, 2))

@@ -2,28 +2,27 @@
 
 A table is a folder with two data sets:
 
-``log/commit_seq=N``  the rows commit N wrote: the user's columns, the row's identity (the commit
-                      that inserted it and its number there: ``_row_commit``, ``_row_num``) and,
+``log/commit_seq=N/attempt=A``  the rows commit N wrote: the user's columns, the row's identity (the
+                      commit that inserted it and its number there: ``_row_commit``, ``_row_num``) and,
                       for a row that takes another version's place, where that version lies
                       (``_replaces``, ``_replaces_part``).
 ``meta``              one small row per event: a commit, a new or dropped reference, a new column.
 
-A commit writes its log rows first and its event last, so a failed write stays invisible and is
-overwritten by the next attempt. Commits form a chain through ``parent_id``; a branch or tag is
+A commit writes its log rows first, into a folder of its own that its event names, and the event last: a
+failed write stays invisible, and no writer touches what another one wrote. Commits form a chain through ``parent_id``; a branch or tag is
 a name for one commit, and a branch read only follows the chain behind its head. One writer per
 table is assumed; two writers that race are detected by their equal event numbers.
 
 Only events are ever brought to the driver. Each says how many rows its commit wrote to which
 partition and how many it replaced where. So a read knows, before touching data, which folders
 are intact (plain scan), which are fully replaced (not even listed) and which are partly replaced
-(scan and anti-join). An update that would leave more replaced rows than can safely be broadcast
-rewrites the folders it touches instead, so that reads never shuffle table rows, whatever the
-table's size.
+(scan and anti-join).
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -31,7 +30,7 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
@@ -47,7 +46,7 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder nam
 META_SCHEMA = (
     "event BIGINT, kind STRING, ref STRING, snapshot_id BIGINT, parent_id BIGINT, "
     "committed_at TIMESTAMP, operation STRING, table_schema STRING, "
-    "summary MAP<STRING,STRING>, written MAP<STRING,BIGINT>, replaced MAP<STRING,BIGINT>"
+    "summary MAP<STRING,STRING>, written MAP<STRING,BIGINT>, replaced MAP<STRING,BIGINT>, attempt STRING"
 )
 
 # A folder of the log: the commit, and the partition below it ("" in an unpartitioned table).
@@ -74,6 +73,7 @@ class _Commit:
     total: int
     written: dict[Unit, int]
     replaced: dict[Unit, int]
+    attempt: str
 
 
 @dataclass
@@ -137,6 +137,7 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._attempts: dict[int, str] = {}
         self.refresh()
 
     # -- life cycle ------------------------------------------------------------------------
@@ -177,11 +178,11 @@ class VersionedTable:
         if clash := taken & set(schema.names):
             raise ValueError(f"reserved column names: {sorted(clash)}")
         table = cls.__new__(cls)
-        table.spark, table.path = spark, path.rstrip("/")
+        table.spark, table.path, table._attempts = spark, path.rstrip("/"), {}
         table._state = _State(
             schema=schema, partition_by=list(partition_by), compression=compression
         )
-        written = {} if rows is None else table._write_new(rows, 1, None)
+        written = {} if rows is None else table._write_new(rows, 1, None, False)
         added = sum(written.values())
         table._record(
             "commit",
@@ -222,6 +223,7 @@ class VersionedTable:
                     total=int(row.summary["total-records"]),
                     written={(row.snapshot_id, part): n for part, n in row.written.items()},
                     replaced={_unit(key): n for key, n in row.replaced.items()},
+                    attempt=row.attempt,
                 )
                 if row.snapshot_id == 1:
                     spec = row.summary["partition-by"]
@@ -278,8 +280,10 @@ class VersionedTable:
         ref: str = MAIN,
         committed_at: str | datetime | None = None,
         rebalance: bool | None = None,
+        fill_missing: bool = False,
     ) -> int:
-        """Add rows in one commit and return its snapshot id. Columns go by name.
+        """Add rows in one commit and return its snapshot id. Columns go by name; other ones are refused,
+        and so is a lack of columns unless ``fill_missing`` asks for NULLs in their place.
 
         ``rebalance`` clusters rows by partition before the write, with adaptive execution
         splitting hot partitions and merging small ones. It is on for partitioned tables; turn
@@ -287,7 +291,7 @@ class VersionedTable:
         """
         self._writable(ref)
         seq = self._next_id()
-        written = self._write_new(df, seq, rebalance)
+        written = self._write_new(df, seq, rebalance, fill_missing)
         return self._commit(seq, ref, committed_at, "append", written, {}, 0)
 
     def append_if_empty(self, df: DataFrame, ref: str = MAIN, **options) -> bool:
@@ -628,6 +632,12 @@ class VersionedTable:
         values = [F.coalesce(F.col(n).cast("string"), F.lit(NULL_PARTITION)) for n in names]
         return F.concat_ws("/", *(F.concat(F.lit(f"{n}="), v) for n, v in zip(names, values)))
 
+    def _folder(self, seq: int) -> str:
+        """Where a commit, or the attempt at one that is being made, has its rows."""
+        commit = self._state.commits.get(seq)
+        attempt = commit.attempt if commit else self._attempts[seq]
+        return f"{self.path}/log/{COMMIT}={seq}/attempt={attempt}"
+
     def _scan(self, units: Sequence[Unit]) -> DataFrame:
         """Rows of the given folders; other folders are not even listed. Where all partitions
         of a commit are wanted, its own folder stands for them."""
@@ -640,7 +650,7 @@ class VersionedTable:
         for seq, parts in wanted.items():
             commit = self._state.commits.get(seq)
             whole = "" in parts or (commit and len(parts) == len(commit.written))
-            folder = f"{self.path}/log/{COMMIT}={seq}"
+            folder = self._folder(seq)
             paths += [folder] if whole else [f"{folder}/{part}" for part in sorted(parts)]
         return (
             self.spark.read.schema(self._log_schema())
@@ -673,11 +683,13 @@ class VersionedTable:
         names = [t.name for t in self.partition_by]
         return derived.hint("rebalance", *names).drop(*names)
 
-    def _write_new(self, df: DataFrame, seq: int, rebalance: bool | None) -> dict[str, int]:
-        """Write rows under new identities; returns the rows per partition, counted in what was
-        written."""
+    def _write_new(self, df: DataFrame, seq: int, rebalance: bool | None, fill_missing: bool) -> dict[str, int]:
+        """Write rows under new identities; returns the rows per partition. Those of an unpartitioned
+        table are counted while they are written, others in the footers of what was written."""
         if extra := set(df.columns) - set(self.schema.names):
             raise ValueError(f"columns not in the table: {sorted(extra)}")
+        if (missing := set(self.schema.names) - set(df.columns)) and not fill_missing:
+            raise ValueError(f"columns missing: {sorted(missing)}; fill_missing=True makes them NULL")
         rows = df.select(
             *(
                 (F.col(f"`{c.name}`") if c.name in df.columns else F.lit(None))
@@ -695,21 +707,23 @@ class VersionedTable:
             F.lit(None).cast("long").alias(REPLACES),
             F.lit(None).cast("string").alias(REPLACES_PART),
         )
+        if not self.partition_by:
+            counted = Observation()
+            self._write(rows.observe(counted, F.count(F.lit(1)).alias("n")), seq)
+            return {"": counted.get["n"]} if counted.get["n"] else {}
         self._write(rows, seq)
         counts = self._scan([(seq, "")]).groupBy(self._part().alias("part")).count()
         return {row["part"]: row["count"] for row in counts.collect()}
 
     def _write(self, rows: DataFrame, seq: int) -> None:
         transforms = self.partition_by
-        writer = (
-            rows.withColumns({t.name: t.derived(self.schema) for t in transforms})
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .option("compression", self._state.compression)
+        self._attempts[seq] = uuid.uuid4().hex
+        writer = rows.withColumns({t.name: t.derived(self.schema) for t in transforms}).write.option(
+            "compression", self._state.compression
         )
         if transforms:
             writer = writer.partitionBy(*(t.name for t in transforms))
-        writer.parquet(f"{self.path}/log/{COMMIT}={seq}")
+        writer.parquet(self._folder(seq))
 
     def _commit(
         self,
@@ -787,6 +801,7 @@ class VersionedTable:
             _map(summary, "string").alias("summary"),
             _map(written, "bigint").alias("written"),
             _map(replaced, "bigint").alias("replaced"),
+            F.lit(self._attempts.pop(snapshot_id, None) if kind == "commit" else None).cast("string").alias("attempt"),
         )
         event.write.mode("append").parquet(f"{self.path}/meta")
         self.refresh()

@@ -136,7 +136,7 @@ def migrate_directory(
     if df is None:
         return 0
     before = target.refresh().record_count()
-    target.append(df.withColumns(stamps), rebalance=False)
+    target.append(df.withColumns(stamps), rebalance=False, fill_missing=True)
     failed = {name: n for name, n in lost.get.items() if n and name not in (ROWS, *stamps)}
     if failed:
         warnings.warn(f"values of {path} that do not cast are NULL: {failed}")
