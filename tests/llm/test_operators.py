@@ -198,10 +198,27 @@ def test_mix_hits_targets(spark, none):
     assert all(abs(taken[s] - targets[s]) <= 41 for s in names)
     again = {x["doc"]["doc_id"]: x["draws"] for x in mixing.mix(df.repartition(7), F.col("size"), shards=5, rows_per_block=50).collect()}
     assert again == {x["doc"]["doc_id"]: x["draws"] for x in got}
-    assert mixing.mixed_rows(mixed).columns[:4] == df.columns
+    assert mixing.shuffled(mixed).columns == df.columns
     assert mixing.mix(none, F.length("text")).count() == 0
 
 
+def test_mix_reruns_agree_under_one_id(spark):
+    """Texts that share an id are drawn alike whatever the order of rows, and spread over blocks."""
+    rows = [(7, words(1 + i % 9, i) + f" t{i}", "a", 1, 2, "x") for i in range(600)]
+    rows += [(None if i % 2 else i, words(5, 900 + i), "bc"[i % 2], 1, 2, "x") for i in range(500)]
+    names = "doc_id long, text string, source string, place int, _place int, doc string"
+    size = F.size(F.split("text", " "))
+    seen = []
+    for order, parts in ((rows, 3), (rows[::-1], 8)):
+        mixed = mixing.mix(spark.createDataFrame(order, names).repartition(parts), size, shards=4, rows_per_block=50)
+        drawn = mixing.mixed_rows(mixed).select("doc.text", "epoch", "shard", "place").collect()
+        seen.append(sorted(map(tuple, drawn)))
+        again = mixing.shuffled(mixed)
+        assert again.columns == ["doc_id", "text", "source", "place", "_place", "doc"]
+        assert sorted(r.text for r in again.collect()) == sorted(r.text for r in drawn)
+    assert seen[0] == seen[1]
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {"a": 700, "b": 90, "c": 10}
     df = spark.createDataFrame(list(quotas.items()), "source_key string, quota long")

@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import staged
 
@@ -99,22 +100,26 @@ def mix(
 
     ``docs`` needs ``doc_id`` and ``source``; ``size`` is a column over it (null: 0). The words a
     source gives differ from its target by at most half of one document. A null source is a source
-    of its own. Documents without words are drawn with the place they stand at. The draw depends on
-    ``doc_id``, sizes and ``seed`` only; repeated rows are documents of their own. An empty table gives
-    no rows, clashing column names stay inside ``doc``.
-
-    A source may hold any part of all rows: sources and blocks are reduced to one row each before they
-    are joined back, sources by a salted key.
+    of its own. Documents without words are drawn with the place they stand at. The draw depends on the
+    rows and ``seed`` only, not on their order or partitioning: places come from a hash of the whole row
+    (maps excepted), so rows that share an id are told apart. Rows alike in every column are documents
+    of their own, in one block. An empty table gives no rows, clashing column names stay inside ``doc``.
+
+    A source may hold any part of all rows, and so may an id: sources and blocks are reduced to one row each
+    before they are joined back, sources by a salted key. Sizes are worked out once and written apart from
+    the texts for the counts, and once more where the texts are placed.
     """
     salts = 16
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
     rows = docs.select(
         F.struct("*").alias("doc"),
         F.col("source"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key"),
         F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("order"),
+        F.xxhash64(F.lit(seed), *hashed).alias("order"),
     )
-    sources = rows.groupBy("source", "source_key").agg(
+    sizes = staged(rows.drop("doc"), "sizes")
+    sources = sizes.groupBy("source", "source_key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
     )
     known = staged(
@@ -127,12 +132,16 @@ def mix(
         "sources",
     )
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = (
-        rows.withColumn("salt", F.pmod("order", F.lit(salts)).cast("int"))
-        .join(salted, ["source_key", "salt"])
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.col("n_blocks")))
-    )
-    blocks = placed.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
+
+    def in_blocks(some: DataFrame) -> DataFrame:
+        return (
+            some.withColumn("salt", F.pmod("order", F.lit(salts)).cast("int"))
+            .join(salted, ["source_key", "salt"])
+            .withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.col("n_blocks")))
+        )
+
+    placed = in_blocks(rows)
+    blocks = in_blocks(sizes).groupBy("source_key", "block").agg(F.sum("size").alias("words"))
     in_tape = Window.partitionBy("source_key").orderBy(
         F.xxhash64(F.lit(seed + 2), "source_key", "block"), "block"
     )
@@ -198,15 +207,13 @@ def mix(
 
 
 def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """A row for each draw: the document's own columns first, then epoch, shard and place.
+    """A row for each draw: ``doc`` (the document's own columns), ``epoch``, ``shard`` and ``place``."""
+    return mixed.select("doc", F.explode("draws").alias("draw")).select("doc", "draw.*")
 
-    Sort by ``place`` inside a shard for the local shuffle.
-    """
-    names = mixed.schema["doc"].dataType.fieldNames()
-    drawn = mixed.select("doc", F.explode("draws").alias("draw"))
-    return drawn.select(
-        *(F.col(f"doc.`{n}`").alias(n) for n in names),
-        F.col("draw.epoch").alias("_epoch"),
-        F.col("draw.shard").alias("_mix_shard"),
-        F.col("draw.place").alias("_place"),
-    )
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The documents as often as they are drawn, with their own columns only, whatever their names: those
+    of one shard together, in the order of their places."""
+    drawn = mixed_rows(mixed)
+    local = drawn.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return local.select("doc.*")
