@@ -33,10 +33,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, those of one output shard together in random order."""
-    mixed = mixing.mix(docs, F.size(blank_words(F.col("text"))))
-    drawn = mixing.mixed_rows(mixed)
-    local = drawn.repartitionByRange("_mix_shard", "_place").sortWithinPartitions("_mix_shard", "_place")
-    return local.select(*docs.columns)
+    return mixing.shuffled(mixing.mix(docs, F.size(blank_words(F.col("text")))))
 
 
 def assign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
