@@ -29,6 +29,8 @@ from pyspark.sql.types import (
 
 #: Sampled keys for each range. The driver holds as many, and one row of sums for each range.
 SAMPLES = 16
+#: Ranges for each shuffle partition, so that tasks that get several are of like size.
+RANGES = 4
 #: Times with all their digits.
 EXACT = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -94,13 +96,13 @@ def range_of(df: DataFrame, order_by: Sequence[str], ranges: int | None = None)
     and a pass over the keys. Equal keys are chosen once, so a key that holds many rows adds one sample.
     """
     spark, key = df.sparkSession, order_key(df, order_by)
-    wanted = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = max(df.count() // (SAMPLES * wanted), 1)
     keys = df.select(key.alias("key"))
     sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).distinct()
     chosen = sample.orderBy("key").select(F.to_json("key", EXACT).alias("key")).collect()
-    step = max(len(chosen) // wanted, 1)
-    cuts = [row["key"] for row in chosen[step::step]][: wanted - 1]
+    places = sorted({i * len(chosen) // wanted for i in range(1, wanted)} - {0}) if chosen else []
+    cuts = [chosen[i]["key"] for i in places]
     if not cuts:
         return F.lit(0)
     # Worked out once, when the plan is made: a constant array for the tasks.
