@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -560,3 +561,53 @@ def test_context_tree_weighting_equals_brute_force(spark, none, some_words, some
         assert r["base_score"] == pytest.approx(base) and r["train_tokens"] == total
         assert (r["n_tokens"], r["n_known"]) == (len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]))
     assert ctw.score_documents(none, F.lit(False)).count() == 0
+
+
+def test_events_in_pieces(monkeypatch):
+    texts = [ctw.tokens_of(words(n, n).encode()) for n in (0, 1, 5, 90, 2, 300)] + [[b"\n"]] * 3
+    whole = [np.concatenate(x) for x in zip(*ctw.events_of(texts, 6))]
+    spelled = [b"\0" * 5 + b" " + b" ".join(t) for t in texts]
+    want = [(i, int.from_bytes(x[p - 6 : p + 1], "big")) for i, x in enumerate(spelled) for p in range(6, len(x))]
+    assert list(zip(*(x.tolist() for x in whole))) == want
+    for chunk in (1, 5, 64):
+        monkeypatch.setattr(ctw, "CHUNK", chunk)
+        pieces = [np.concatenate(x) for x in zip(*ctw.events_of(texts, 6))]
+        assert all((a == b).all() for a, b in zip(whole, pieces))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_event_table_finds_all_and_nothing_else(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 1 << 62, n))
+    keys = np.random.default_rng(1).permutation(keys)
+    table = ctw.EventTable(keys, keys.astype(float))
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    assert (table.find(np.arange(1000) - (1 << 61)) == len(keys)).all()
+    assert (table.scores[table.find(np.append(keys, -5))] == np.append(keys.astype(float), 0.0)).all()
+
+
+def test_subtrees_come_in_whole_contexts(monkeypatch):
+    monkeypatch.setattr(ctw, "SUBTREE_EVENTS", 10)
+    r = random.Random(3)
+    contexts = sorted(r.choices(range(12), [1, 30, 2, 2, 2, 1, 1, 40, 1, 1, 1, 3], k=200))
+    for size in (1, 3, 64, 500):
+        batches = pa.table({"context": contexts, "event": range(200)}).to_batches(max_chunksize=size)
+        tables = [t.column("context").to_pylist() for t in ctw._whole_contexts(iter(batches))]
+        assert sum(tables, []) == contexts
+        assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+        assert max(len(t) for t in tables) < 10 + max(Counter(contexts).values()) + 10
+        assert len(tables) >= 4
+    assert list(ctw._whole_contexts(iter([]))) == []
+
+
+def test_the_model_beats_the_unigram_base(spark):
+    """Unseen texts of phrases that training has too; one text without a blank is one long word."""
+    r = random.Random(6)
+    parts = "the tion ing er an re on at en nd st or".split()
+    word = lambda: "".join(r.choices(parts, k=r.choice([1, 1, 2, 3])))
+    phrases = [" ".join(word() for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(phrases) for _ in range(20))) for i in range(300)] + [(300, "x" * 50_000)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ctw.score_documents(docs, F.col("doc_id") % 5 == 1, frequent_words=20, frequent_events=50)
+    unseen = found.where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert unseen["score"] > unseen["base"]
+    assert found.where("doc_id = 300 and n_known = 2").count() == 3

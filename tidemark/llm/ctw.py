@@ -8,8 +8,8 @@ byte longer) say. After training, a decision's probability mixes the estimates o
 the weights that the training data gave them; where training never saw a longer context, the path ends.
 
 An event is a context of ``DEPTH`` bytes with the byte that follows. Training counts events; trees fall
-apart below their first two context bytes, so a task takes whole subtrees of them and Spark tables join
-them above. A text's score sums those of its events.
+apart below their first three context bytes, so a task takes whole subtrees of them, some at a time, and
+Spark tables join them above. A text's score sums those of its events.
 
 The text scored is that of the tokens: lower-cased words, a blank after each, and one end.
 """
@@ -28,8 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-DEPTH = 5
-SHARED = 2
+#: Bytes of context; at most seven fit into an event.
+DEPTH = 6
+SHARED = 3
+#: Words sent to tasks are no longer than this, in bytes.
+WORD_BYTES = 64
+#: Events of whole contexts a task works on at a time.
+SUBTREE_EVENTS = 1 << 18
 FREQUENT_WORDS = 1 << 17
 FREQUENT_EVENTS = 1 << 20
 END = b"\n"
@@ -57,29 +62,26 @@ def _slices(part: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _spelled(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each after ``depth`` bytes of beginning, and where each ends."""
-    before = b"\0" * (depth - 1) + b" "
-    each = [before + b" ".join(tokens) for tokens in texts]
-    return np.frombuffer(b"".join(each), dtype=np.uint8), np.cumsum([len(x) for x in each])
-
-
 def events_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text numbers, events) of lists of tokens, in pieces. An event has its byte lowest, then the
     context's bytes, nearest first."""
-    data, ends = _spelled(texts, depth)
-    starts = np.append(0, ends[:-1])
-    for low in range(0, len(data), CHUNK):
-        at = np.arange(low, min(low + CHUNK, len(data)))
-        text = np.searchsorted(ends, at, side="right")
-        inside = at - starts[text] >= depth
-        at, text = at[inside], text[inside]
-        piece = data[max(low - depth, 0) : low + CHUNK].astype(np.int64)
-        at = at - max(low - depth, 0)
-        events = piece[at]
-        for back in range(1, depth + 1):
-            events |= piece[at - back] << (8 * back)
-        yield text, events
+    before = b"\0" * (depth - 1) + b" "
+    each = [before + b" ".join(tokens) for tokens in texts]
+    lengths = np.array([len(x) for x in each])
+    ends = np.cumsum(lengths)
+    data = b"\0" * 7 + b"".join(each)
+    # Eight bytes from every place on, the last of them lowest: the byte at the place, and what is before it.
+    windows = np.ndarray(int(ends[-1]), dtype=">u8", buffer=data, strides=(1,))
+    mask = np.uint64((1 << 8 * (depth + 1)) - 1)
+    for low in range(0, len(windows), CHUNK):
+        high = min(low + CHUNK, len(windows))
+        first, last = np.searchsorted(ends, (low, high - 1), side="right")
+        stops = np.minimum(ends[first : last + 1], high)
+        text = np.repeat(np.arange(first, last + 1), np.diff(stops, prepend=low))
+        inside = np.ones(high - low, dtype=bool)
+        for start in (ends - lengths)[first : last + 1].tolist():
+            inside[max(start - low, 0) : max(start + depth - low, 0)] = False
+        yield text[inside], (windows[low:high].astype(np.uint64) & mask).view(np.int64)[inside]
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,9 +188,26 @@ class Subtrees:
         return np.where(self.outcome, one, 1 - one)
 
 
-def _gathered(parts: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = list(parts)
-    return pa.Table.from_batches(held) if held else None
+def _whole_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``context``, in tables of whole contexts: as many as hold ``SUBTREE_EVENTS`` rows, or
+    one that holds more."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for part in parts:
+        contexts = part.column("context").to_numpy()
+        last = contexts[-1] if len(contexts) else None
+        begun = int(np.searchsorted(contexts, last)) if len(contexts) else 0
+        if held and len(contexts) and contexts[0] != held[-1].column("context")[-1].as_py() and rows >= SUBTREE_EVENTS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+        if begun and rows + begun >= SUBTREE_EVENTS:
+            yield pa.Table.from_batches([*held, part.slice(0, begun)])
+            held, rows, part = [], 0, part.slice(begun)
+        if part.num_rows:
+            held.append(part)
+            rows += part.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def event_scores(events: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -197,16 +216,14 @@ def event_scores(events: DataFrame, depth: int = DEPTH) -> DataFrame:
     grouped = events.select(shared.alias("context"), "event", "n")
 
     def summaries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _gathered(parts)
-        if own is None or not own.num_rows:
-            return
-        keys, n = own.column("event").to_numpy(), own.column("n").to_numpy()
-        for bit in range(8):
-            columns = Subtrees(keys, n, bit, depth).levels[0][:4]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "n0", "n1", "weighted"])
+        for own in _whole_contexts(parts):
+            keys, n = own.column("event").to_numpy(), own.column("n").to_numpy()
+            for bit in range(8):
+                columns = Subtrees(keys, n, bit, depth).levels[0][:4]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "n0", "n1", "weighted"])
 
     subtrees = staged(
-        grouped.repartition("context").mapInArrow(summaries, "node long, n0 double, n1 double, weighted double"),
+        grouped.repartition("context").sortWithinPartitions("context").mapInArrow(summaries, "node long, n0 double, n1 double, weighted double"),
         "subtrees",
     )
     levels = [subtrees]
@@ -256,24 +273,23 @@ def event_scores(events: DataFrame, depth: int = DEPTH) -> DataFrame:
     nothing = [F.lit(None).cast("double").alias(c) for c in ("mixed", "rest", "estimate")]
 
     def scores(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _gathered(parts)
-        if both is None or not both.num_rows:
-            return
-        is_top = pc.is_null(both.column("n"))
-        own, top = both.filter(pc.invert(is_top)), both.filter(is_top).sort_by("event")
-        keys, n, nodes = (t.to_numpy() for t in (own.column("event"), own.column("n"), top.column("event")))
-        path = [top.column(c).to_numpy() for c in ("mixed", "rest", "estimate")]
-        total = np.zeros(len(keys))
-        for bit in range(8):
-            trees = Subtrees(keys, n, bit, depth)
-            at = np.searchsorted(nodes, trees.levels[0][0])
-            total += np.log10(trees.chances(*(x[at] for x in path)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["event", "score"])
+        for both in _whole_contexts(parts):
+            is_top = pc.is_null(both.column("n"))
+            own, top = both.filter(pc.invert(is_top)), both.filter(is_top).sort_by("event")
+            keys, n, nodes = (t.to_numpy() for t in (own.column("event"), own.column("n"), top.column("event")))
+            path = [top.column(c).to_numpy() for c in ("mixed", "rest", "estimate")]
+            total = np.zeros(len(keys))
+            for bit in range(8):
+                trees = Subtrees(keys, n, bit, depth)
+                at = np.searchsorted(nodes, trees.levels[0][0])
+                total += np.log10(trees.chances(*(x[at] for x in path)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["event", "score"])
 
     return (
         grouped.select("context", "event", "n", *nothing)
         .unionByName(tops)
         .repartition("context")
+        .sortWithinPartitions("context")
         .mapInArrow(scores, "event long, score double")
     )
 
@@ -324,29 +340,59 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class EventTable:
-    """Scores of frequent events: a hash table with one slot a key, and binary search for the rest."""
+    """Scores of frequent events: two hash tables with one slot a key, the second for keys whose slot in the
+    first is another's, and binary search among the few left over."""
 
     def __init__(self, events: np.ndarray, scores: np.ndarray):
-        order = np.argsort(events)
         self.n = len(events)
-        self.events, self.scores = np.append(events[order], -1), np.append(scores[order], 0.0)
+        self.events, self.scores = np.append(events, -1), np.append(scores, 0.0)
         self.shift = np.uint64(64 - max(self.n, 1).bit_length() - 1)
-        self.slots = np.full(1 << (64 - int(self.shift)), self.n, dtype=np.int32)
-        self.slots[self._slot(self.events[:-1])] = np.arange(self.n, dtype=np.int32)
-
-    def _slot(self, events: np.ndarray) -> np.ndarray:
-        return events.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+        self.tables = []
+        left = np.arange(self.n, dtype=np.int32)
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # fixed values: odd numbers that mix well
+            slots = np.full(1 << (64 - int(self.shift)), self.n, dtype=np.int32)
+            own = self._slot(events[left], factor)
+            slots[own] = left
+            left = left[slots[own] != left]
+            self.tables.append((factor, slots))
+        self.others = left[np.argsort(events[left])]
+
+    def _slot(self, events: np.ndarray, factor: int) -> np.ndarray:
+        return events.view(np.uint64) * np.uint64(factor) >> self.shift
 
     def find(self, events: np.ndarray) -> np.ndarray:
         """Where each event stands, or the number of events if it is none of them."""
-        at = self.slots[self._slot(events)].astype(np.int64)
+        factor, slots = self.tables[0]
+        at = slots[self._slot(events, factor)]
         missed = np.flatnonzero(self.events[at] != events)
-        others = events[missed]
-        there = np.minimum(np.searchsorted(self.events[:-1], others), max(self.n - 1, 0))
-        at[missed] = np.where(self.events[there] == others, there, self.n)
+        wanted = events[missed]
+        factor, slots = self.tables[1]
+        second = slots[self._slot(wanted, factor)]
+        wrong = self.events[second] != wanted
+        second[wrong] = self.n
+        if len(self.others):
+            still = np.flatnonzero(wrong)
+            keys, sought = self.events[self.others], wanted[still]
+            there = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+            second[still] = np.where(keys[there] == sought, self.others[there], self.n)
+        at[missed] = second
         return at
 
 
+def _by_row(
+    rows: list[np.ndarray], events: list[np.ndarray], n: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different events of each of ``n`` rows: how many a row has, the events, and how often each is there."""
+    if not rows:
+        return np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    row, event = np.concatenate(rows), np.concatenate(events)
+    order = np.lexsort((event, row))
+    row, event = row[order], event[order]
+    first = np.append(True, (row[1:] != row[:-1]) | (event[1:] != event[:-1]))[: len(row)]
+    places = np.flatnonzero(first)
+    return np.bincount(row[places], minlength=n), event[places], np.diff(places, append=len(row))
+
+
 def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
@@ -366,9 +412,9 @@ def score_documents(
     ids stay null. With nothing to learn from, all estimates are one half. Other columns are ignored; an
     empty table gives no rows.
 
-    Counts, trees and scores are Spark tables that grow with the corpus. Only the most frequent words and
-    events, fixed numbers of them at most (some 20 MB each), travel to the tasks; whatever else
-    a document has is joined.
+    Counts, trees and scores are Spark tables that grow with the corpus. Only the most frequent words of at
+    most ``WORD_BYTES`` bytes and events, fixed numbers of them at most (under 20 MB each), travel to the
+    tasks; whatever else a document has is counted there and joined.
     """
     texts = docs.select(
         "doc_id",
@@ -384,7 +430,8 @@ def score_documents(
     known = words.withColumn("base", base)
     events = staged(count_events(counted, depth), "events")
     scored = staged(event_scores(events, depth), "event-scores")
-    word_table = frequent(known, "n", frequent_words).select("word", "base").toArrow()
+    short = known.where(F.octet_length("word") <= WORD_BYTES)
+    word_table = frequent(short, "n", frequent_words).select("word", "base").toArrow()
     event_table = (
         frequent(events, "n", frequent_events).select("event").join(scored, "event").toArrow()
     )
@@ -403,9 +450,9 @@ def score_documents(
             times: list[int] = []
             for tokens in texts:
                 at = np.array([place.get(w, other) for w in tokens])
-                here = int((at != other).sum())
-                rest = Counter([w for w in tokens if w not in place]) if here < len(tokens) else {}
-                n_known.append(here)
+                away = np.flatnonzero(at == other).tolist()
+                rest = Counter([tokens[i] for i in away])
+                n_known.append(len(tokens) - len(away))
                 base.append(bases[at].sum())
                 sizes.append(len(rest))
                 rare.extend(rest)
@@ -418,8 +465,7 @@ def score_documents(
                 missing = at == other_event
                 lost.append(found[missing])
                 lost_of.append(row[missing])
-            row = np.concatenate(lost_of) if lost else np.zeros(0, dtype=np.int64)
-            rest = pa.array(np.concatenate(lost) if lost else np.zeros(0, dtype=np.int64))
+            row, rest, often = _by_row(lost_of, lost, n)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -430,9 +476,10 @@ def score_documents(
                     pa.array(score),
                     _lists(sizes, pa.array(rare, pa.binary())),
                     _lists(sizes, pa.array(times, pa.int64())),
-                    _lists(np.bincount(row, minlength=n), rest),
+                    _lists(row, pa.array(rest)),
+                    _lists(row, pa.array(often)),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "events"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "events", "often"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -440,7 +487,7 @@ def score_documents(
         texts.mapInArrow(
             batches,
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, "
-            "rare array<binary>, times array<long>, events array<long>",
+            "rare array<binary>, times array<long>, events array<long>, often array<long>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "started-documents",
     )
@@ -454,13 +501,14 @@ def score_documents(
         F.lit(0.0).alias("more_score"),
     )
     by_events = (
-        started.select("row", F.explode("events").alias("event"))
+        started.select("row", F.explode(F.arrays_zip("events", "often")).alias("e"))
+        .select("row", F.col("e.events").alias("event"), F.col("e.often").alias("often"))
         .join(scored, "event")
         .select(
             "row",
             F.lit(0).cast("long").alias("more_known"),
             F.lit(0.0).alias("more_base"),
-            F.col("score").alias("more_score"),
+            (F.col("often") * F.col("score")).alias("more_score"),
         )
     )
     added = by_words.unionByName(by_events).groupBy("row").agg(
