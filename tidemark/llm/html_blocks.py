@@ -1,20 +1,24 @@
 """Main text of web pages: a recurrent labeller over the blocks of a page.
 
 A page is cut into blocks, runs of text between block-level tags. Each block becomes a vector: hashed
-names, classes and roles of its tag path, hashed words, and a few measures. A bidirectional LSTM in numpy
-reads the blocks of the whole page in both directions and labels every block as main text or not.
+names, classes and roles of its tag path, hashed words, and measures of the block and of the three
+elements around it: how much of the page they hold, how much of that is linked. A bidirectional LSTM in
+numpy reads the blocks of the whole page in both directions and labels every block as main text or not.
 
 The labeller is trained here on a bounded sample. Pages with an ``article`` or ``main`` element label
-themselves; more are laid out from their texts with known labels, in many other templates, so that what is
-learned is not one template's names.
+themselves; more are laid out from their texts with known labels. Most of them are shown disguised, with
+random names in place of classes and ids and ``div`` in place of the elements that name their purpose, so
+that what is learned is how pages are built and not how one template calls its parts.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,22 +29,25 @@ from pyspark.sql import functions as F
 
 from .common import lowest
 
-PATH, WORDS, MEASURES = 64, 32, 10
+PATH, WORDS, MEASURES = 64, 32, 30
 WIDTH = PATH + WORDS + MEASURES
-HIDDEN = 16
+HIDDEN = 24
 SAMPLE = 240
 SAMPLE_CHARS = 200_000
-LAYOUTS = 500
-EPOCHS = 24
+LAYOUTS = 900
+EPOCHS = 14
+#: How much of a path's vector the next element inside keeps.
+KEEP_FAR, KEEP_NEAR = 0.9, 0.4
 
 # Element kinds of the HTML standard.
 RAW = "script style noscript template textarea iframe title"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
-    "span strike strong sub sup time tt u var ruby rb rp rt wbr br img "
-    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover "
-    "semantics annotation".split()
+#: Elements that begin a line of their own; all others, custom ones too, run on within their line.
+BLOCK_LEVEL = set(
+    "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt "
+    "fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
+    "menu nav object ol optgroup option p pre search section select summary svg table tbody td tfoot th thead tr "
+    "ul video audio canvas map input textarea iframe".split()
 )
 CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -71,21 +78,49 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
+#: Elements that do not cut the text of a drawing either.
+INLINE_DRAWN = {"a", "tspan", "textpath"}
+#: How many elements around a block are measured.
+NEAR = 3
+
+
+class Element:
+    """An open element, its parent, and what its blocks add up to; ``kind`` numbers its path's names."""
+
+    __slots__ = ("parent", "tag", "names", "depth", "drawn", "chars", "linked", "blocks", "kind", "main")
+
+    def __init__(self, parent: Element | None, tag: str, names: tuple[str, ...]) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.depth = parent.depth + 1 if parent else 0
+        self.drawn = tag == "svg" or parent is not None and parent.drawn
+        self.chars = self.linked = self.blocks = 0
+        self.kind = -1
+        self.main: tuple[bool, bool] | None = None
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    element: Element
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        names: list[tuple[str, ...]] = []
+        at: Element | None = self.element
+        while at is not None:
+            names.append(at.names)
+            at = at.parent
+        return tuple(n for own in reversed(names) for n in own)
+
 
 @dataclass
 class _Page:
-    """Blocks of one page. ``stack`` holds (tag, names of its path entry) of open block-level elements."""
+    """Blocks of one page; ``top`` is the innermost open block-level element, ``open_tags`` counts all."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    top: Element = field(default_factory=lambda: Element(None, "", ()))
+    open_tags: Counter = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     in_link: bool = False
@@ -93,58 +128,85 @@ class _Page:
     def text(self, piece: str) -> None:
         if self.in_link:
             self.linked += len(piece)
-        self.pieces.append(piece)
+        self.pieces.append(html.unescape(piece) if "&" in piece else piece)
 
     def end_block(self) -> None:
         if self.pieces:
-            text = " ".join(html.unescape("".join(self.pieces)).split())
+            text = " ".join("".join(self.pieces).split())
             if text:
-                path = tuple(n for _, names in self.stack for n in names)
-                self.blocks.append(Block(text, path, self.linked))
+                self.blocks.append(Block(text, self.top, self.linked))
+                at: Element | None = self.top
+                for _ in range(NEAR):
+                    if at is None:
+                        break
+                    at.chars += len(text)
+                    at.linked += min(self.linked, len(text))
+                    at.blocks += 1
+                    at = at.parent
             self.pieces = []
         self.linked = 0
 
+    def _pop(self) -> None:
+        self.open_tags[self.top.tag] -= 1
+        self.top = self.top.parent
+
     def open(self, tag: str, attributes: str) -> None:
-        if tag in INLINE:
+        drawn = self.top.drawn
+        if tag not in BLOCK_LEVEL and not drawn:
             if tag == "a":
                 self.in_link = True
             elif tag == "br":
                 self.pieces.append(" ")
             return
+        if drawn and tag in INLINE_DRAWN:
+            return
         self.end_block()
-        drawn = tag == "svg" or any(t == "svg" for t, _ in self.stack)
+        drawn = drawn or tag == "svg"
         self.in_link = self.in_link and drawn
         if tag in VOID or drawn and attributes.endswith("/"):
             return
-        if tag in CLOSES_P and self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
+        if tag in CLOSES_P and self.top.tag == "p":
+            self._pop()
         if tag in SIBLINGS:
-            while self.stack and self.stack[-1][0] in SIBLINGS[tag] | {"p"}:
-                self.stack.pop()
+            while self.top.tag in SIBLINGS[tag] or self.top.tag == "p":
+                self._pop()
         names = [tag]
         for _, a, b, c in NAMES.findall(attributes or ""):
             names += [w for w in SPLIT.split((a or b or c).lower()) if w]
-        self.stack.append((tag, tuple(names[:12])))
+        self.open_tags[tag] += 1
+        self.top = Element(self.top, tag, tuple(names[:12]))
 
     def close(self, tag: str) -> None:
         if tag == "a":
             self.in_link = False
-        if tag in INLINE:
+        if tag not in BLOCK_LEVEL and not self.top.drawn or self.top.drawn and tag in INLINE_DRAWN:
             return
         self.end_block()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                del self.stack[at:]
-                return
+        if self.open_tags[tag]:
+            while self.top.tag != tag:
+                self._pop()
+            self._pop()
 
 
 def _walk(page: str) -> Iterator[tuple[_Page, str]]:
-    """Read a page tag by tag; yields the state after each tag, and the tag's name."""
-    out, at = _Page(), 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            out.text(page[at : m.start()])
-        at = m.end()
+    """Read a page from left to right; yields the state after each tag, and the tag's name. Every match
+    takes in what it has looked at; behind the last ``>`` no tag can end, and nothing is looked for."""
+    out, at, seek = _Page(), 0, 0
+    last = page.rfind(">")
+    while (start := page.find("<", seek)) >= 0:
+        if start > last:
+            comment = page.find("<!--", start)
+            if comment >= 0:
+                out.text(page[at:comment])
+                at = len(page)
+            break
+        m = TOKEN.match(page, start)
+        if m is None:
+            seek = start + 1
+            continue
+        if start > at:
+            out.text(page[at:start])
+        at = seek = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         closes = m["close"] or m["close2"]
         if name and closes:
@@ -161,10 +223,11 @@ def _walk(page: str) -> Iterator[tuple[_Page, str]]:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page in order. White space inside a block is one space, references are decoded;
-    comments and the elements of ``RAW`` are no text and run to their end tag, or without one to the end of
-    the page, as in browsers. Broken markup never fails: any other element that is not closed ends with its
-    parent, an unmatched end tag ends nothing."""
+    """The blocks of a page in order, in time that grows with its length. White space inside a block is one
+    space, references are decoded within each run of text, so that a tag or comment ends them. Comments and
+    the elements of ``RAW`` are no text and run to their end tag, or without one to the end of the page, as in
+    browsers. Elements that are not block-level, custom ones too, do not cut a block. Broken markup never
+    fails: any other element that is not closed ends with its parent, an unmatched end tag ends nothing."""
     for out, _ in _walk(page or ""):
         pass
     return out.blocks
@@ -178,23 +241,55 @@ class WordHashes(dict):
         return found
 
 
-class PathVectors(dict):
-    """Tag path -> hashed vector; the innermost names count once more."""
+class PathVectors:
+    """Vectors of tag paths, each from its parent's: names far out fade slowly in one half of the sum and
+    fast in the other. Equal paths of all pages share one vector."""
 
-    def __missing__(self, path: tuple[str, ...]) -> np.ndarray:
-        if len(self) >= 50_000:
-            self.clear()
-        vector = np.zeros(PATH, dtype=np.float32)
-        for weight, names in ((1.0, set(path)), (1.0, {f"last {n}" for n in path[-3:]})):
-            for name in names:
-                code = zlib.crc32(name.encode("utf-8", "surrogatepass"))
-                vector[code % PATH] += weight if code >> 16 & 1 else -weight
-        self[path] = vector
-        return vector
+    def __init__(self) -> None:
+        self.kinds: dict[tuple[int, tuple[str, ...]], int] = {}
+        self.far, self.near = [np.zeros(PATH, np.float32)], [np.zeros(PATH, np.float32)]
+        self.names: dict[str, np.ndarray] = {}
+
+    def _name(self, name: str) -> np.ndarray:
+        if name not in self.names:
+            if len(self.names) >= 50_000:
+                self.names.clear()
+            vector = np.zeros(PATH, dtype=np.float32)
+            for kind in ("", "near "):
+                code = zlib.crc32((kind + name).encode("utf-8", "surrogatepass"))
+                vector[code % (PATH // 2) + (PATH // 2 if kind else 0)] += 1.0 if code >> 16 & 1 else -1.0
+            self.names[name] = vector
+        return self.names[name]
+
+    def kind(self, element: Element) -> int:
+        """The number of an element's path; elements whose number is known end the way up."""
+        todo, at = [], element
+        while at is not None and at.kind < 0:
+            todo.append(at)
+            at = at.parent
+        known = at.kind if at is not None else 0
+        for each in reversed(todo):
+            key = known, each.names
+            if key not in self.kinds:
+                self.kinds[key] = len(self.far)
+                own = sum((self._name(n) for n in each.names), np.zeros(PATH, np.float32))
+                self.far.append(np.clip(KEEP_FAR * self.far[known] + own, -3, 3))
+                self.near.append(np.clip(KEEP_NEAR * self.near[known] + own, -3, 3))
+            known = each.kind = self.kinds[key]
+        return known
+
+    def matrix(self, elements: list[Element]) -> np.ndarray:
+        kinds = [self.kind(e) for e in elements]
+        half = PATH // 2
+        out = np.empty((len(kinds), PATH), dtype=np.float32)
+        for i, k in enumerate(kinds):
+            out[i, :half], out[i, half:] = self.far[k][:half], self.near[k][half:]
+        return out
 
 
 class Vectors:
-    """Blocks to matrices, with caches that live as long as the task."""
+    """Blocks to matrices, with caches that live as long as the task and are emptied when they are full.
+    A page's elements keep their path's number, so a page is turned into a matrix once."""
 
     def __init__(self) -> None:
         self.words, self.paths = WordHashes(), PathVectors()
@@ -202,33 +297,56 @@ class Vectors:
     def matrix(self, blocks: list[Block]) -> np.ndarray:
         n = len(blocks)
         out = np.zeros((n, WIDTH), dtype=np.float32)
+        if not n:
+            return out
+        if len(self.paths.far) >= 20_000:
+            self.paths = PathVectors()
         codes: list[int] = []
         sizes, measures, hashed = [], [], self.words.__getitem__
+        whole = sum(len(b.text) for b in blocks)
+        longest = max(len(b.text) for b in blocks)
+        done = 0
         for i, block in enumerate(blocks):
             text = block.text
             words = text.split(" ")
             codes.extend(map(hashed, words))
             size, chars = len(words), len(text)
             sizes.append(size)
+            around: list[float] = []
+            at: Element | None = block.element
+            for _ in range(NEAR):
+                if at is None or not at.chars:
+                    around += (1.0, 0.0, 0.0, 0.0)
+                    continue
+                around += (at.chars / whole, at.linked / at.chars, math.log1p(at.blocks) / 3, math.log1p(at.chars / at.blocks) / 6)
+                at = at.parent
             measures.append(
                 (
                     1.0,
                     chars / size / 10,
-                    block.linked / chars,
+                    min(block.linked / chars, 1.0),
                     text[-1] in ".!?…",
                     text[0].isupper(),
-                    len(block.path) / 10,
+                    block.element.depth / 10,
                     (i + 1) / n,
                     i == 0,
                     i == n - 1,
+                    done / whole,
+                    chars / whole,
+                    chars / longest,
+                    math.log1p(n) / 4,
+                    math.log1p(whole) / 8,
+                    (text.count(".") + text.count(",")) / size,
+                    n - i <= 3,
+                    i < 3,
+                    *around,
                 )
             )
-        if not n:
-            return out
+            done += chars
         size = np.array(sizes)
         cells = np.repeat(np.arange(n) * WORDS, size) + np.array(codes)
         counts = np.bincount(cells, minlength=n * WORDS).reshape(n, WORDS)
-        out[:, :PATH] = [self.paths[b.path] for b in blocks]
+        out[:, :PATH] = self.paths.matrix([b.element for b in blocks])
         out[:, PATH : PATH + WORDS] = counts / size[:, None]
         out[:, PATH + WORDS] = np.minimum(np.log1p(size) / 5, 2)
         out[:, PATH + WORDS + 1 :] = np.minimum(np.array(measures, dtype=np.float32), 3)
@@ -319,8 +437,32 @@ class Labeller:
         return found
 
 
+def loss_and_gradients(
+    p: dict[str, np.ndarray], x: np.ndarray, lengths: np.ndarray, y: np.ndarray
+) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss of all blocks of a batch, and its gradients by backpropagation through time."""
+    mask = (np.arange(len(x))[:, None] < lengths[None, :]).astype(x.dtype)
+    forward, backward = [], []
+    forth = _lstm(x, p, "f", forward)
+    turned = _reversed(x, lengths)
+    back = _reversed(_lstm(turned, p, "b", backward), lengths)
+    both = np.concatenate([forth, back], axis=2)
+    score = (both @ p["V"])[:, :, 0] + p["d"]
+    loss = float(((np.logaddexp(0, score) - y * score) * mask).sum() / mask.sum())
+    d = ((_sigmoid(score) - y) * mask / mask.sum())[:, :, None]
+    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    grads["V"] += both.reshape(-1, 2 * HIDDEN).T @ d.reshape(-1, 1)
+    grads["d"] += d.sum()
+    dboth = d @ p["V"].T
+    _lstm_back(x, p, "f", forward, dboth[:, :, :HIDDEN], grads)
+    _lstm_back(turned, p, "b", backward, _reversed(dboth[:, :, HIDDEN:], lengths), grads)
+    return loss, grads
+
+
 def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 3) -> Labeller:
     """Train on (matrix, labels) of each page with Adam on the logistic loss of all blocks."""
+    if not any(len(m) for m, _ in pages):
+        raise ValueError("no block to train on")
     rng = np.random.default_rng(seed)
     shapes = {
         "Wf": (WIDTH, 4 * HIDDEN), "Uf": (HIDDEN, 4 * HIDDEN), "bf": (4 * HIDDEN,),
@@ -341,20 +483,7 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed:
             y = np.zeros(x.shape[:2], dtype=np.float32)
             for j, (_, labels) in enumerate(batches[b]):
                 y[: len(labels), j] = labels
-            mask = (np.arange(len(x))[:, None] < lengths[None, :]).astype(np.float32)
-            forward, backward = [], []
-            forth = _lstm(x, p, "f", forward)
-            turned = _reversed(x, lengths)
-            back = _reversed(_lstm(turned, p, "b", backward), lengths)
-            both = np.concatenate([forth, back], axis=2)
-            score = (both @ p["V"])[:, :, 0] + p["d"]
-            d = ((_sigmoid(score) - y) * mask / mask.sum())[:, :, None]
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            grads["V"] += both.reshape(-1, 2 * HIDDEN).T @ d.reshape(-1, 1)
-            grads["d"] += d.sum()
-            dboth = d @ p["V"].T
-            _lstm_back(x, p, "f", forward, dboth[:, :, :HIDDEN], grads)
-            _lstm_back(turned, p, "b", backward, _reversed(dboth[:, :, HIDDEN:], lengths), grads)
+            _, grads = loss_and_gradients(p, x, lengths, y)
             step += 1
             rate = 0.01 * (0.5 if epoch > 0.6 * epochs else 1) * (0.4 if epoch > 0.85 * epochs else 1)
             for k in p:
@@ -389,6 +518,7 @@ COMMENT_PARTS = (
     'div class="comments"', 'section id="comments"', 'div class="comment-list"', 'ul class="comments"',
     'section class="responses discussion"', 'div class="reader-comments"',
 )
+BYLINES = ('div class="byline"', 'p class="author meta"', 'div class="date"', 'span class="by"', 'div class="post-meta"')
 FORM_PARTS = ("form", 'form class="search"', 'form class="login"', 'div class="form contact"', 'form id="signup"')
 
 
@@ -409,7 +539,7 @@ class _Layout:
     def links(self, tag: str) -> str:
         each = [f'<a href="#">{html.escape(self.short())}</a>' for _ in range(self.random.randint(2, 8))]
         form = self.random.choice(("<ul><li>{}</li></ul>", "{}", "<p>{}</p>"))
-        joint = "</li><li>" if "li" in form else " "
+        joint = "</li><li>" if "li" in form else self.random.choice((" ", " ", "<br>", " | "))
         return self.wrap(tag, form.format(joint.join(each)))
 
     def texts(self, tag: str, n: int) -> str:
@@ -418,6 +548,21 @@ class _Layout:
         each = [f"<{own}>{html.escape(self.paragraph(pool, 40))}</{own}>" for _ in range(n)]
         return self.wrap(tag, "".join(each) if self.random.random() < 0.8 else html.escape(self.paragraph(pool, 20)))
 
+    def comments(self, tag: str) -> str:
+        """A thread: a heading, then who wrote what, with a link to answer."""
+        r, said = self.random, []
+        for _ in range(r.randint(1, 6)):
+            text = html.escape(self.paragraph(r.choice((self.main, self.other)), 40))
+            who = f"<b>{html.escape(self.short())}</b> <span>{r.randint(1, 59)} min</span>"
+            answer = f'<a href="#">{html.escape(self.short())}</a>' if r.random() < 0.6 else ""
+            said.append(r.choice(("<div>{}<p>{}</p>{}</div>", "<li>{}<div>{}</div>{}</li>", "<p>{} {} {}</p>")).format(who, text, answer))
+        head = f"<h3>{r.randint(1, 90)} {html.escape(self.short())}</h3>" if r.random() < 0.6 else ""
+        return self.wrap(tag, head + "".join(said))
+
+    def byline(self) -> str:
+        who = f'<a href="#">{html.escape(self.short())}</a>' if self.random.random() < 0.5 else html.escape(self.short())
+        return self.wrap(self.random.choice(BYLINES), f"{who} {self.random.randint(1, 28)}.{self.random.randint(1, 12)}.")
+
     def form(self, tag: str) -> str:
         n = self.random.randint(1, 3)
         fields = "".join(f"<label>{html.escape(self.short())}</label><input>" for _ in range(n))
@@ -453,12 +598,21 @@ class _Layout:
         after = [self.part() for _ in range(r.randint(0, 3))]
         if r.random() < 0.4:
             spot = r.choice(COMMENT_PARTS)
-            (after if r.random() < 0.7 else inside).insert(0, self.texts(spot, r.randint(1, 6)))
+            thread = self.comments(spot) if r.random() < 0.6 else self.texts(spot, r.randint(1, 6))
+            if r.random() < 0.7:
+                after.insert(0, thread)
+            else:
+                pieces.append((thread, False))
+        if r.random() < 0.3:
+            pieces.insert(min(1, len(pieces)), (self.byline(), False))
         title = self.wrap("title", html.escape(self.short()))
         outer = r.choice(("", 'div class="wrapper"', 'div class="container page"', 'div id="main"'))
         marker = "\x00"
-        body = "".join(before) + f"<{tag}>" + "".join(f"{marker}{x}{marker}" if m else x for x, m in pieces)
-        body += f"</{tag.split()[0]}>" + "".join(after)
+        body = f"<{tag}>" + "".join(f"{marker}{x}{marker}" if m else x for x, m in pieces) + f"</{tag.split()[0]}>"
+        if before and r.random() < 0.15:
+            body = f"<table><tr><td>{''.join(before)}</td><td>{body}</td></tr></table>{''.join(after)}"
+        else:
+            body = "".join(before) + body + "".join(after)
         return f"<html><head>{title}</head><body>{self.wrap(outer, body) if outer else body}</body></html>"
 
 
@@ -477,34 +631,80 @@ BOILERPLATE = set(
     "nav aside footer header form ad ads advert sidebar menu comments comment notice cookie banner promo "
     "related share social newsletter widget breadcrumb pagination".split()
 )
+LANDMARK = re.compile(r"(</?)(?:article|main|nav|aside|header|footer|section|menu|address|figure)(?=[\s/>])", re.I)
+NAMED = re.compile(r"""(\b(?:class|id|role|itemprop)\s*=\s*)(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def disguised(page: str, r: random.Random, names: bool = True, landmarks: bool = True) -> str:
+    """A page with the same blocks, every class, id and role another random word, and ``div`` for the elements
+    that name their purpose."""
+    if landmarks:
+        page = LANDMARK.sub(r"\1div", page)
+    if not names:
+        return page
+    known: dict[str, str] = {}
+
+    def renamed(m: re.Match) -> str:
+        if m[0] not in known:
+            words = ("".join(r.choices(LETTERS, k=r.randint(2, 9))) for _ in range(r.choice((1, 1, 2))))
+            known[m[0]] = f'{m[1]}"{" ".join(words)}"'
+        return known[m[0]] if r.random() < 0.95 else ""
+
+    return NAMED.sub(renamed, page)
+
+
+def _is_main(element: Element) -> bool:
+    """Does the element lie in an ``article`` or ``main`` and in nothing named like another part?"""
+    todo, at = [], element
+    while at is not None and at.main is None:
+        todo.append(at)
+        at = at.parent
+    inside, other = at.main if at is not None else (False, False)
+    for each in reversed(todo):
+        inside = inside or bool({"article", "main"} & set(each.names))
+        other = other or bool(BOILERPLATE & set(each.names))
+        each.main = inside, other
+    return inside and not other
 
 
 def training_pages(pages: list[str], layouts: int = LAYOUTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Matrices and labels: the pages that mark their article themselves, and layouts of their texts."""
-    vectors, out = Vectors(), []
+    """Matrices and labels: the pages that mark their article themselves, as they are and disguised, and
+    layouts of their texts, three quarters of them disguised. Without any text, layouts of letters."""
+    r, vectors, out = random.Random(5), Vectors(), []
     main, other = [], []
     for page in pages:
         blocks = blocks_of(page)
-        own = [bool({"article", "main"} & set(b.path)) and not BOILERPLATE & set(b.path) for b in blocks]
+        own = [_is_main(b.element) for b in blocks]
         (main if any(own) else other).extend(b.text for b, o in zip(blocks, own) if o or not any(own))
         other.extend(b.text for b, o in zip(blocks, own) if not o)
         if any(own):
-            out.append((vectors.matrix(blocks), np.array(own, dtype=np.float32)))
+            labels = np.array(own, dtype=np.float32)
+            out.append((vectors.matrix(blocks), labels))
+            hidden = blocks_of(disguised(page, r))
+            if [b.text for b in hidden] == [b.text for b in blocks]:
+                out.append((vectors.matrix(hidden), labels))
     main, other = main or other, other or main
     if not main:
-        return out
+        letters = ["".join(r.choices(LETTERS, k=r.randint(2, 9))) for _ in range(300)]
+        main = [" ".join(r.choices(letters, k=60)).capitalize() + "." for _ in range(60)]
+        other = [" ".join(r.choices(letters, k=6)) for _ in range(60)]
     layout = _Layout(main, other, 11)
-    for _ in range(layouts):
-        blocks, labels = _marked_blocks(layout.page())
-        out.append((vectors.matrix(blocks), np.array(labels, dtype=np.float32)))
+    for i in range(layouts):
+        page = layout.page()
+        blocks, labels = _marked_blocks(disguised(page, r, i % 4 in (1, 3), i % 4 in (2, 3)) if i % 4 else page)
+        if blocks:
+            out.append((vectors.matrix(blocks), np.array(labels, dtype=np.float32)))
     return out
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS) -> Labeller:
-    """Train on at most ``sample`` pages, the first by a hash of their id among those of up to 200,000
-    characters, and ``layouts`` pages laid out from their texts."""
-    fitting = pages.where(F.length("html").between(1, SAMPLE_CHARS))
-    some = lowest(fitting.select("html", F.xxhash64("page_id").alias("order")), "order", sample)
+    """Train on at most ``sample`` pages, the first by a hash of their id, of each at most the first
+    ``SAMPLE_CHARS`` characters, and on ``layouts`` pages laid out from their texts. Without such pages
+    layouts of letters are all there is to learn from."""
+    fitting = pages.where(F.length("html") > 0)
+    cut = fitting.select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id").alias("order"))
+    some = lowest(cut, "order", sample)
     return fit(training_pages([r[0] for r in some.select("html").collect()], layouts))
 
 
