@@ -31,7 +31,7 @@ FROM steps GROUP BY conv_id
 def _jump(shards: int) -> str:
     """The published loop over 64-bit keys, in 128-bit arithmetic."""
     return f"""
-  SELECT doc_id, -1::BIGINT AS at, 0::BIGINT AS jump, coalesce(doc_id, 0)::HUGEINT AS key FROM ids
+  SELECT doc_id, -1::BIGINT AS spot, 0::BIGINT AS jump, coalesce(doc_id, 0)::HUGEINT AS key FROM ids
   UNION ALL
   SELECT doc_id, jump, floor((jump + 1) * (2147483648.0::DOUBLE / (((step >> 33) + 1)::DOUBLE)))::BIGINT, step
   FROM (
@@ -40,30 +40,32 @@ def _jump(shards: int) -> str:
   )"""
 
 
+# The slots hold for tables of one block, up to 16,384 rows: beyond, blocks go by a hash that SQL there lacks.
 _SHARDS = f"""
 WITH RECURSIVE ids AS (SELECT DISTINCT doc_id FROM documents),
-jumps16(doc_id, at, jump, key) AS ({_jump(16)}),
-jumps17(doc_id, at, jump, key) AS ({_jump(17)}),
-crc_table AS (
-  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
-    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entries
+jumps16(doc_id, spot, jump, key) AS ({_jump(16)}),
+jumps17(doc_id, spot, jump, key) AS ({_jump(17)}),
+bytes_of AS (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS entry
   FROM range(256) t(i)
 ),
+table_of AS (SELECT list(entry ORDER BY i) AS entries FROM bytes_of),
 sized AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS bytes
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS digits
   FROM documents
 ),
 sums AS (
-  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1),
-      lambda i: (instr('0123456789ABCDEF', substr(bytes, 2 * i + 1, 1)) - 1) * 16
-        + instr('0123456789ABCDEF', substr(bytes, 2 * i + 2, 1)) - 1)),
-    lambda c, b: xor(c >> 8, entries[xor(c, b) & 255 + 1])), 4294967295) AS text_crc32
-  FROM sized, crc_table
+  SELECT doc_id, size, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM sized, table_of
 )
-SELECT doc_id, size, text_crc32, 'key' AS law, a.at::INTEGER AS shard, b.at::INTEGER AS grown_shard
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, a.spot::INTEGER AS shard, b.spot::INTEGER AS grown_shard,
+  row_number() OVER (PARTITION BY a.spot ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
 FROM sums
-JOIN (SELECT doc_id, max(at) AS at FROM jumps16 GROUP BY doc_id) a USING (doc_id)
-JOIN (SELECT doc_id, max(at) AS at FROM jumps17 GROUP BY doc_id) b USING (doc_id)
+JOIN (SELECT doc_id, max(spot) AS spot FROM jumps16 GROUP BY doc_id) a USING (doc_id)
+JOIN (SELECT doc_id, max(spot) AS spot FROM jumps17 GROUP BY doc_id) b USING (doc_id)
 """
 
 _BASE32 = """
@@ -294,6 +296,7 @@ ORACLE: dict[str, str] = {
     "op12_repair": _REPAIR,
     "op13_rules": _RULES,
     "op1_chat": _CHAT,
+    "op3_shards": _SHARDS,
     "op6_warc": _WARC,
     "op9_decontaminate": _DECONTAMINATION,
 }
