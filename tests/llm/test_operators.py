@@ -589,13 +589,17 @@ def test_subtrees_come_in_whole_contexts(monkeypatch):
     monkeypatch.setattr(ctw, "SUBTREE_EVENTS", 10)
     r = random.Random(3)
     contexts = sorted(r.choices(range(12), [1, 30, 2, 2, 2, 1, 1, 40, 1, 1, 1, 3], k=200))
+    lists = [list(range(r.randrange(1, 4))) for _ in contexts]
+    most = max(sum(len(x) for c, x in zip(contexts, lists) if c == d) for d in range(12))
     for size in (1, 3, 64, 500):
-        batches = pa.table({"context": contexts, "event": range(200)}).to_batches(max_chunksize=size)
-        tables = [t.column("context").to_pylist() for t in ctw._whole_contexts(iter(batches))]
-        assert sum(tables, []) == contexts
-        assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
-        assert max(len(t) for t in tables) < 10 + max(Counter(contexts).values()) + size
-        assert len(tables) >= 2
+        batches = pa.table({"context": contexts, "events": lists}).to_batches(max_chunksize=size)
+        tables = list(ctw._whole_contexts(iter(batches)))
+        assert sum((t.column("context").to_pylist() for t in tables), []) == contexts
+        assert sum((t.column("events").to_pylist() for t in tables), []) == lists
+        edges = [(t.column("context")[0].as_py(), t.column("context")[-1].as_py()) for t in tables]
+        assert all(a[1] != b[0] for a, b in zip(edges, edges[1:]))
+        assert max(len(ctw._flat(t.column("events"))) for t in tables) < 10 + most
+        assert len(tables) >= 4
     assert list(ctw._whole_contexts(iter([]))) == []
 
 

@@ -9,7 +9,7 @@ the weights that the training data gave them; where training never saw a longer
 
 An event is a context of ``DEPTH`` bytes with the byte that follows. Training counts events; trees fall
 apart below their first three context bytes, so a task takes whole subtrees of them, some at a time, and
-Spark tables join them above. A text's score sums those of its events.
+Spark tables join them above. Between tasks events travel as lists, one for each such context and task. A text's score sums those of its events.
 
 The text scored is that of the tokens: lower-cased words, a blank after each, and one end.
 """
@@ -91,8 +91,24 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
+def _context(events: np.ndarray) -> np.ndarray:
+    return (events >> 8 & (1 << 8 * SHARED) - 1).astype(np.int32)
+
+
+def _by_context(events: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, pa.Array, list[pa.Array]]:
+    """Events and what goes with them as one list for each shared context: contexts, lists."""
+    contexts = _context(events)
+    order = np.argsort(contexts, kind="stable")
+    contexts = contexts[order]
+    first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
+    offsets = pa.array(np.append(first, len(contexts)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (events, *columns)]
+    return contexts[first].astype(np.int64), lists[0], lists[1:]
+
+
 def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``event, n``: every event of ``docs`` (``text`` in bytes, ``train``) and how often training has it."""
+    """``context, events, n``: the events of ``docs`` (``text`` in bytes, ``train``) and how often training
+    has them, lists by their shared context. Each task's own counts: a context has several rows."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -102,9 +118,10 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
         def rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys), 1 << 16):
-                some = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some])], ["event", "n"])
+            contexts, events, (counts,) = _by_context(keys, n)
+            whole = pa.RecordBatch.from_arrays([pa.array(contexts), events, counts], ["context", "events", "n"])
+            for at in range(0, whole.num_rows, 4096):
+                yield whole.slice(at, 4096)
 
         for part in (some for whole in parts for some in _slices(whole, 0)):
             for train in (True, False):
@@ -126,8 +143,7 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if held:
             yield from rows(*merged())
 
-    partial = docs.select("text", "train").mapInArrow(batches, "event long, n long")
-    return partial.groupBy("event").agg(F.sum("n").alias("n"))
+    return docs.select("text", "train").mapInArrow(batches, "context long, events array<long>, n array<long>")
 
 
 def _log_gamma(x):
@@ -188,44 +204,65 @@ class Subtrees:
         return np.where(self.outcome, one, 1 - one)
 
 
+def _flat(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pc.list_flatten(lists).to_numpy()
+
+
 def _whole_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by ``context``, in tables of whole contexts: as many as hold ``SUBTREE_EVENTS`` rows, or
+    """Rows sorted by ``context``, in tables of whole contexts: as many as hold ``SUBTREE_EVENTS`` events, or
     one that holds more."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    n, last = 0, None
     for part in parts:
         contexts = part.column("context").to_numpy()
-        last = contexts[-1] if len(contexts) else None
-        begun = int(np.searchsorted(contexts, last)) if len(contexts) else 0
-        if held and len(contexts) and contexts[0] != held[-1].column("context")[-1].as_py() and rows >= SUBTREE_EVENTS:
-            yield pa.Table.from_batches(held)
-            held, rows = [], 0
-        if begun and rows + begun >= SUBTREE_EVENTS:
-            yield pa.Table.from_batches([*held, part.slice(0, begun)])
-            held, rows, part = [], 0, part.slice(begun)
-        if part.num_rows:
-            held.append(part)
-            rows += part.num_rows
+        sizes = pc.list_value_length(part.column("events")).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(contexts):
+            if n >= SUBTREE_EVENTS and contexts[at] != last:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            # Rows up to where enough are held, then on to the end of that context.
+            to = at + 1 + int(np.searchsorted(np.cumsum(sizes[at:]), SUBTREE_EVENTS - n))
+            last = contexts[min(to, len(contexts)) - 1]
+            to = int(np.searchsorted(contexts, last, side="right"))
+            held.append(part.slice(at, to - at))
+            n += int(sizes[at:to].sum())
+            at = to
     if held:
         yield pa.Table.from_batches(held)
 
 
-def event_scores(events: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``event, score``: log10 of the mixed probability of every event, given the counts of all."""
-    shared = F.shiftright("event", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1))
-    grouped = events.select(shared.alias("context"), "event", "n")
+_NODE = {"node": pa.int64(), "n0": pa.float64(), "n1": pa.float64(), "weighted": pa.float64()}
+
+
+def event_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``event, n, score``: every event, its count, and log10 of its mixed probability, from ``count_events``."""
 
     def summaries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _whole_contexts(parts):
-            keys, n = own.column("event").to_numpy(), own.column("n").to_numpy()
-            for bit in range(8):
-                columns = Subtrees(keys, n, bit, depth).levels[0][:4]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "n0", "n1", "weighted"])
-
-    subtrees = staged(
-        grouped.repartition("context").sortWithinPartitions("context").mapInArrow(summaries, "node long, n0 double, n1 double, weighted double"),
-        "subtrees",
+            keys, n = _summed(_flat(own.column("events")), _flat(own.column("n")))
+            contexts, events, (counts,) = _by_context(keys, n)
+            tops = [Subtrees(keys, n, bit, depth).levels[0][:4] for bit in range(8)]
+            columns = [np.concatenate(c) for c in zip(*tops)]
+            order = np.argsort(columns[0] >> 8, kind="stable")
+            of_node = (columns[0] >> 8)[order]
+            offsets = pa.array(np.append(np.searchsorted(of_node, contexts), len(of_node)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order], t)) for c, t in zip(columns, _NODE.values())]
+            whole = pa.RecordBatch.from_arrays([pa.array(contexts), events, counts, *lists], ["context", "events", "n", *_NODE])
+            for at in range(0, whole.num_rows, 256):
+                yield whole.slice(at, 256)
+
+    summed = staged(
+        counted.repartition("context")
+        .sortWithinPartitions("context")
+        .mapInArrow(
+            summaries,
+            "context long, events array<long>, n array<long>, node array<long>, n0 array<double>, n1 array<double>, "
+            "weighted array<double>",
+        ),
+        "events",
     )
+    subtrees = summed.select(F.inline(F.arrays_zip(*_NODE)))
     levels = [subtrees]
     own = _log_kt(F.col("n0"), F.col("n1"))
     for d in range(SHARED - 1, -1, -1):
@@ -265,33 +302,26 @@ def event_scores(events: DataFrame, depth: int = DEPTH) -> DataFrame:
     tops = (
         subtrees.select("node", F.col("node").bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("above"))
         .join(path, "above")
-        .select(
-            F.shiftright("node", 8).alias("context"), F.col("node").alias("event"),
-            F.lit(None).cast("long").alias("n"), "mixed", "rest", "estimate",
-        )
-    )
-    nothing = [F.lit(None).cast("double").alias(c) for c in ("mixed", "rest", "estimate")]
+        .groupBy(F.shiftright("node", 8).alias("context"))
+        .agg(F.sort_array(F.collect_list(F.struct("node", "mixed", "rest", "estimate"))).alias("tops"))
+    )
 
     def scores(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for both in _whole_contexts(parts):
-            is_top = pc.is_null(both.column("n"))
-            own, top = both.filter(pc.invert(is_top)), both.filter(is_top).sort_by("event")
-            keys, n, nodes = (t.to_numpy() for t in (own.column("event"), own.column("n"), top.column("event")))
+        for own in _whole_contexts(parts):
+            keys, n = _flat(own.column("events")), _flat(own.column("n"))
+            top = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in map(pc.list_flatten, own.column("tops").chunks)])
+            top = top.sort_by("node")
+            nodes = top.column("node").to_numpy()
             path = [top.column(c).to_numpy() for c in ("mixed", "rest", "estimate")]
             total = np.zeros(len(keys))
             for bit in range(8):
                 trees = Subtrees(keys, n, bit, depth)
                 at = np.searchsorted(nodes, trees.levels[0][0])
                 total += np.log10(trees.chances(*(x[at] for x in path)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["event", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(total)], ["event", "n", "score"])
 
-    return (
-        grouped.select("context", "event", "n", *nothing)
-        .unionByName(tops)
-        .repartition("context")
-        .sortWithinPartitions("context")
-        .mapInArrow(scores, "event long, score double")
-    )
+    # A context is one row here: no order is needed for whole contexts.
+    return summed.select("context", "events", "n").join(tops, "context").mapInArrow(scores, "event long, n long, score double")
 
 
 def frequent(rows: DataFrame, weight: str, most: int) -> DataFrame:
@@ -428,13 +458,10 @@ def score_documents(
     ).first()
     base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     known = words.withColumn("base", base)
-    events = staged(count_events(counted, depth), "events")
-    scored = staged(event_scores(events, depth), "event-scores")
+    scored = staged(event_scores(count_events(counted, depth), depth), "event-scores")
     short = known.where(F.octet_length("word") <= WORD_BYTES)
     word_table = frequent(short, "n", frequent_words).select("word", "base").toArrow()
-    event_table = (
-        frequent(events, "n", frequent_events).select("event").join(scored, "event").toArrow()
-    )
+    event_table = frequent(scored, "n", frequent_events).select("event", "score").toArrow()
     common_words = word_table.column("word").to_pylist()
     bases = np.append(word_table.column("base").to_numpy(), 0.0)
     common = EventTable(event_table.column("event").to_numpy(), event_table.column("score").to_numpy())
