@@ -89,35 +89,41 @@ def order_key(df: DataFrame, order_by: Sequence[str]) -> Column:
     return F.struct(*fields, row_hash(df).alias("tie"))
 
 
-def range_of(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> Column:
-    """The number of the range a row of ``df`` falls in, rising with the order.
+def cut_points(keys: DataFrame, ranges: int, samples: int = SAMPLES) -> tuple[Column, int]:
+    """At most ``ranges - 1`` rising values of the column ``key``, evenly among its rows: an array that is
+    constant for the tasks, and its length.
 
-    Cut points are taken from keys chosen by their hash, some ``SAMPLES`` for each range; this runs a count
-    and a pass over the keys. Equal keys are chosen once, so a key that holds many rows adds one sample.
+    They are keys of rows, chosen by their hash, some ``samples`` for each range; this runs a count and a
+    pass over the keys. Equal keys are chosen once, so a key that holds many rows adds one sample.
     """
-    spark, key = df.sparkSession, order_key(df, order_by)
-    wanted = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = max(df.count() // (SAMPLES * wanted), 1)
-    keys = df.select(key.alias("key"))
+    every = max(keys.count() // (samples * ranges), 1)
     sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).distinct()
     chosen = sample.orderBy("key").select(F.to_json("key", EXACT).alias("key")).collect()
-    places = sorted({i * len(chosen) // wanted for i in range(1, wanted)} - {0}) if chosen else []
-    cuts = [chosen[i]["key"] for i in places]
-    if not cuts:
-        return F.lit(0)
-    # Worked out once, when the plan is made: a constant array for the tasks.
-    cut_points = F.from_json(F.lit(f"[{','.join(cuts)}]"), ArrayType(keys.schema["key"].dataType), EXACT)
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    places = sorted({i * len(chosen) // ranges for i in range(1, ranges)} - {0}) if chosen else []
+    # Read once, when the plan is made.
+    text = f"[{','.join(chosen[i]['key'] for i in places)}]"
+    return F.from_json(F.lit(text), ArrayType(keys.schema["key"].dataType), EXACT), len(places)
 
-    def place(given: Column) -> Column:
-        """How many cut points are not above the key, by halving steps."""
 
+def place_among(key: Column, cuts: Column, n: int) -> Column:
+    """How many of the ``n`` rising cut points are not above the key, by halving steps."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(n, 1).bit_length()))))
+
+    def place(given: Column) -> Column:
         def move(at: Column, by: Column) -> Column:
-            return F.when((at + by <= len(cuts)) & (F.get(given["c"], at + by - 1) <= given["k"]), at + by).otherwise(at)
+            return F.when((at + by <= n) & (F.get(given["c"], at + by - 1) <= given["k"]), at + by).otherwise(at)
 
         return F.aggregate(steps, F.lit(0), move)
 
-    return _let(F.struct(cut_points.alias("c"), key.alias("k")), place)
+    return _let(F.struct(cuts.alias("c"), key.alias("k")), place)
+
+
+def range_of(df: DataFrame, order_by: Sequence[str], ranges: int | None = None) -> Column:
+    """The number of the range a row of ``df`` falls in, rising with the order."""
+    key = order_key(df, order_by)
+    wanted = ranges or RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts, n = cut_points(df.select(key.alias("key")), wanted)
+    return place_among(key, cuts, n) if n else F.lit(0)
 
 
 def in_order(df: DataFrame, order_by: Sequence[str], ranges: int | None = None, **wanted: Item) -> DataFrame:
