@@ -153,6 +153,29 @@ def test_next_goes_over_block_borders(spark):
     assert got == dict(zip(down, [*down[1:], down[0]]))
 
 
+def test_next_under_one_id(spark):
+    """A third of the rows share one id, another part has none, some are repeated; any cut gives one ring."""
+    rows = [(7, f"t{i % 150}") for i in range(200)] + [(i, "x") for i in range(100, 300)] + [(None, f"n{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v string").withColumn("shard", F.lit(1))
+    down = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = Counter((a, b[1]) for a, b in zip(down, [*down[1:], down[0]]))
+    for size in (3, 40, 1000):
+        found = bottomk.with_next(df.repartition(5), "id", ["v"], F.col("v"), size)
+        assert found.columns == ["id", "v", "shard", "next_v"]
+        assert Counter(((r["id"], r["v"]), r["next_v"]) for r in found.collect()) == want
+    blocks = bottomk.with_next(df, "id", ["v"], F.col("v"), 20)
+    assert bottomk.with_next(df.limit(0), "id", ["v"], F.col("v")).count() == 0 and blocks.count() == 600
+    one = bottomk.with_next(df.limit(1), "id", ["v"], F.col("v")).first()
+    assert one["next_v"] == one["v"]
+
+
+@pytest.mark.parametrize("name", ["hash", "sketch", "n", "group", "of"])
+def test_sketches_of_groups_by_any_name(spark, name):
+    df = spark.createDataFrame([(1, [3, 1]), (1, [2, 3]), (None, [5]), (2, [])], f"`{name}` int, s array<long>")
+    found = bottomk.merge_groups(df, name, "s", 2)
+    assert {tuple(r)[0]: tuple(r)[1] for r in found.collect()} == {1: [1, 2], None: [5]}
+
+
 def test_sketches_merge(spark):
     text = words(3000, 1)
     parts = [" ".join(text.split()[i : i + 600]) for i in range(0, 3000, 596)]

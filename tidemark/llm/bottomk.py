@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import EXACT, cut_points, place_among
 from .common import blank_words, let
 
 K = 128
@@ -43,16 +44,17 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_groups(df: DataFrame, group: str, sketches: str, k: int = K) -> DataFrame:
-    """Sketch of each group's rows, as (group, sketch).
+    """Sketch of each group's rows, as (group, ``sketch``); a group column of that name comes back as
+    ``group``.
 
     Equal hashes are merged before the shuffle and again after it; of each group only its k smallest
     go on, cut off on the map side too, so a group of any size costs k rows a task.
     """
-    hashes = df.select(F.col(f"`{group}`").alias(group), F.explode(f"`{sketches}`").alias("hash"))
-    smallest = Window.partitionBy(group).orderBy("hash")
+    hashes = df.select(F.struct(F.col(f"`{group}`").alias("of")).alias("group"), F.explode(f"`{sketches}`").alias("hash"))
+    smallest = Window.partitionBy("group").orderBy("hash")
     few = hashes.distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k)
-    merged = few.groupBy(group).agg(F.sort_array(F.collect_list("hash")).alias("sketch"))
-    return merged.select(group, "sketch")
+    merged = few.groupBy("group").agg(F.sort_array(F.collect_list("hash")).alias("sketch"))
+    return merged.select(F.col("group.of").alias("group" if group == "sketch" else group), "sketch")
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -83,57 +85,39 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def _block_of(value: Column, bounds: Column, n: int) -> Column:
-    """How many of the sorted bounds lie below the value, by binary search; null lies lowest."""
-    powers = [1 << i for i in reversed(range(max(1, n).bit_length()))]
-    return F.aggregate(
-        F.array(*(F.lit(p) for p in powers)),
-        F.lit(0),
-        lambda low, p: F.when(F.get(bounds, low + p - 1) < value, low + p).otherwise(low),
-    )
-
-
 def with_next(
     df: DataFrame, order: str, columns: list[str], tie: Column, rows_per_block: int = 1000
 ) -> DataFrame:
-    """Add ``next_<column>``: the values of the row that follows by descending ``order``.
-
-    After the last row comes the first; rows with equal order go by ``tie``, null order comes last. The
-    order is cut at quantiles into blocks of about ``rows_per_block`` rows (more rows, more blocks, up to
-    65,536; then they grow). The first row of each block is copied to the end of the block before it,
-    so that windows over single blocks suffice.
+    """Add ``next_<column>``: the values of the row that follows by descending ``order``, then ``tie``.
+
+    After the last row comes the first; null order comes last. The order is cut into blocks of about
+    ``rows_per_block`` rows (more rows, more blocks, up to ``MOST_BLOCKS``; beyond, a task sorts more rows a
+    block, and spills them). Blocks are cut between rows of one order too, by their tie, so an id that holds
+    a third of all rows is many blocks. Every cut is the least row of its block, and follows the last of the
+    block below: it stands there once more, so that windows over single blocks suffice. The least of all
+    follows the highest of all, in the last block.
     """
-    key = F.col(f"`{order}`")
-    n, highest = df.agg(F.count(F.lit(1)), F.max(key)).first()
+    keyed = df.withColumn("_key", F.struct(F.col(f"`{order}`").alias("k"), tie.alias("tie")))
+    keys = keyed.select(F.col("_key").alias("key"))
+    n, least = keyed.agg(F.count(F.lit(1)), F.to_json(F.min("_key"), EXACT)).first()
     blocks = min(MOST_BLOCKS, max(1, math.ceil(n / rows_per_block)))
-    bounds: list = []
-    if highest is not None:
-        shares = [i / blocks for i in range(1, blocks)]
-        cuts = []
-        if shares:
-            cuts = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * blocks))).first()[0]
-        bounds = sorted({*cuts, highest})
-    kind = df.schema[order].dataType.simpleString()
-    limits = F.array(*(F.lit(b) for b in bounds)).cast(f"array<{kind}>")
-    own = _block_of(key, limits, len(bounds))
+    above, cuts = cut_points(keys, blocks, 4) if blocks > 1 else (None, 0)
+    lowest = F.from_json(F.lit(least or "{}"), keys.schema["key"].dataType, EXACT)
+    own = place_among(F.col("_key"), above, cuts) if cuts else F.lit(0)
+    placed = keyed.withColumn("_own", own)
+    cut = F.when(F.col("_own") == 0, lowest)
+    if cuts:
+        cut = cut.otherwise(F.get(above, F.col("_own") - 1))
     here = F.struct(F.col("_own").alias("block"), F.lit(0).alias("copied"))
-    copy = F.struct(((F.col("_own") + 1) % max(1, len(bounds))).alias("block"), F.lit(1).alias("copied"))
-    places = (
-        df.withColumn("_own", own)
-        .withColumn("_tie", tie)
-        .withColumn(
-            "_place",
-            F.when(key.eqNullSafe(F.get(limits, F.col("_own"))), F.array(here, copy)).otherwise(
-                F.array(here)
-            ),
-        )
-        .withColumn("_place", F.explode("_place"))
-        .withColumns({"_block": F.col("_place.block"), "_copied": F.col("_place.copied")})
-        .drop("_own", "_place")
+    below = F.struct(F.pmod(F.col("_own") - 1, F.lit(cuts + 1)).alias("block"), F.lit(1).alias("copied"))
+    is_cut = F.col("_key") == cut
+    places = placed.withColumn("_is_cut", is_cut).withColumn(
+        "_place", F.explode(F.when(F.col("_is_cut"), F.array(here, below)).otherwise(F.array(here)))
     )
-    falling = Window.partitionBy("_block").orderBy("_copied", key.desc_nulls_last(), "_tie")
-    following = {f"next_{c}": F.lead(f"`{c}`").over(falling) for c in columns}
-    return places.withColumns(following).where("_copied = 0").drop("_block", "_copied", "_tie")
+    rising = Window.partitionBy("_place.block").orderBy("_place.copied", F.col("_key.k").asc_nulls_first(), "_key.tie")
+    following = {f"next_{c}": F.lag(f"`{c}`").over(rising) for c in columns}
+    found = places.withColumns(following).where((F.col("_place.copied") == 1) | ~F.col("_is_cut"))
+    return found.drop("_key", "_own", "_is_cut", "_place")
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -141,8 +125,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
 
     Columns ``doc_id, n_chars, edited, sketch, edited_sketch, near_edited, near_next``. A null text is
     empty; two empty texts are alike (1), an empty and another are not (0). Next is by descending
-    ``doc_id`` (null last), after the last the first; equal ids go by a hash of the text, repeated rows
-    follow each other. A single row follows itself. Other columns are ignored.
+    ``doc_id`` (null last), after the last the first; equal ids go by a hash of the text, falling, and rows
+    repeated follow each other. A single row follows itself. Other columns are ignored.
     """
     base = docs.select(
         "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")
