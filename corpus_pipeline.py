@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and calls one operator of
 ``tidemark.llm``. All but the last return the columns of ``documents``.
+
+Null texts are empty, null sources and languages are values of their own, a null id is an id like others.
+Rows repeated in all columns are documents of their own until near-duplicates go: a group keeps one row, of
+its smallest id. An empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
