@@ -122,6 +122,19 @@ branch AS (
 _line = "CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR)"
 
 ORACLE: dict[str, str] = {
+    # small features
+    "formats_detected": "SELECT c.*, f.format FROM customer c, (SELECT unnest(['parquet', 'json', 'orc', 'csv']) AS format) f",
+    "src_schema_file": "SELECT o.*, k.schema_kind FROM orders o, (SELECT unnest(['ddl', 'json']) AS schema_kind) k",
+    "gzip_files": "SELECT *, TRUE AS is_gzip FROM customer",
+    "strict_old_schema": f"""
+        WITH {CUSTOMERS.strip()}
+        SELECT id, name, country, segment, orders0 AS total_orders, CAST(spent0 AS {WIDE}) AS total_spent FROM final""",
+    "seeded_once": f"""
+        WITH {CUSTOMERS.strip()}
+        SELECT id, name, country, segment, orders0 AS total_orders, CAST(spent0 AS {WIDE}) AS total_spent FROM final""",
+    "branch_dropped": "SELECT *, 1 AS branches FROM part",
+    "names_stamped_now": f"""
+        SELECT p_partkey AS id, {_clean.format("p_name")} AS processed_full_name, TRUE AS is_now FROM part""",
     # one order over whole tables
     "order_numbers": """
         SELECT o_orderkey, o_orderdate, o_totalprice, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place,

@@ -550,6 +550,80 @@ def inventory(spark, sf):
     return reports.inventory(listing, "ASIA")
 
 
+# -- one green row each for small features -------------------------------------------------
+
+
+@query
+def formats_detected(spark, sf):
+    """customer from four files whose names alone say how to read them; an unknown name is read as CSV."""
+    found = []
+    for fmt, suffix in (("parquet", "PARQUET"), ("json", "json"), ("orc", "Orc"), ("csv", "data")):
+        path = f"{data.work_dir(spark, sf)}/detected.{suffix}"
+        rows = data.read(spark, sf, "customer")
+        data.once(spark, sf, path, lambda: rows.write.format(fmt).option("header", True).save(path))
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema]
+        found.append(load_file(spark, path).select(F.lit(fmt).alias("format"), *typed))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query
+def src_schema_file(spark, sf):
+    """orders as CSV under a schema that a file holds, in either notation."""
+    path = data.source_file(spark, sf, "csv", "orders", header=True)
+    found = []
+    for kind, text in (("ddl", ORDERS_SCHEMA), ("json", StructType.fromDDL(ORDERS_SCHEMA).json())):
+        schema = f"{data.work_dir(spark, sf)}/orders_schema.{kind}"
+        file = spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
+        data.once(spark, sf, schema, lambda: file.write.text(schema))
+        found.append(load_file(spark, path, schema=schema).withColumn("schema_kind", F.lit(kind)))
+    return found[0].unionByName(found[1])
+
+
+@query
+def gzip_files(spark, sf):
+    """customer in a versioned table written with gzip, with what the files' names say."""
+    customer = data.read(spark, sf, "customer")
+    path = data.fresh_dir(spark, sf, "gzip")
+    VersionedTable.create(spark, path, rows=customer, compression="gzip")
+    files = spark.read.option("recursiveFileLookup", True).schema(customer.schema).parquet(f"{path}/log")
+    return files.select("*", F.col("_metadata.file_name").endswith(".gz.parquet").alias("is_gzip"))
+
+
+@query
+def strict_old_schema(spark, sf):
+    """The customers before the tier column was there: read without it."""
+    return data.customer_story(spark, sf).as_of(version=3)
+
+
+@query
+def seeded_once(spark, sf):
+    """Customers seeded twice into a table that takes rows only while it is empty."""
+    rows = data.customers(spark, sf)
+    table = VersionedTable.create(spark, data.fresh_dir(spark, sf, "seeded"), schema=rows.schema)
+    for _ in range(2):
+        table.append_if_empty(rows)
+    return table.current()
+
+
+@query
+def branch_dropped(spark, sf):
+    """The main line after a branch with other parts was written and dropped."""
+    part = data.read(spark, sf, "part")
+    table = VersionedTable.create(spark, data.fresh_dir(spark, sf, "dropped"), rows=part)
+    table.create_branch("trial")
+    table.append(part.withColumn("p_partkey", -F.col("p_partkey") - 1), ref="trial")
+    table.drop_branch("trial")
+    return table.current().withColumn("branches", F.lit(table.refs().where("type = 'BRANCH'").count()))
+
+
+@query
+def names_stamped_now(spark, sf):
+    """Cleaned names of a run without a given time: every row bears one time, and it is now."""
+    found = pipelines.summarize_names(data.names(spark, sf))
+    age = F.unix_seconds(F.current_timestamp()) - F.unix_seconds("processing_timestamp")
+    return found.select("id", "processed_full_name", age.between(-5, 600).alias("is_now"))
+
+
 # -- one order over whole tables -----------------------------------------------------------
 
 

@@ -79,8 +79,9 @@ def register_file(
 ) -> DataFrame:
     """Load a file and make it the table ``database.table``, replacing any earlier one.
 
-    The rows are written under another name first: if that fails, the earlier table is still there. Returns the verification row. Counts come from the written table, so the file is not read
-    a second time for them.
+    The rows are written under another name first, and the earlier table is only dropped when the new one
+    has its name: if a step fails, the earlier table is there under its own. Returns the verification row.
+    Counts come from the written table, so the file is not read a second time for them.
     """
     df = load_file(spark, path, fmt, schema, mode)
     create_database(spark, database, location)
@@ -88,8 +89,18 @@ def register_file(
     fresh = f"`{database}`.`{table}__new`"
     drop_table(spark, fresh)
     df.write.format("parquet").saveAsTable(fresh)
-    drop_table(spark, name)
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    earlier = f"`{database}`.`{table}__earlier`"
+    replaces = spark.catalog.tableExists(name)
+    if replaces:
+        drop_table(spark, earlier)
+        spark.sql(f"ALTER TABLE {name} RENAME TO {earlier}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    except Exception:
+        if replaces:
+            spark.sql(f"ALTER TABLE {earlier} RENAME TO {name}")
+        raise
+    drop_table(spark, earlier)
     return verify(spark, [name])
 
 
