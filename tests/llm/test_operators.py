@@ -603,9 +603,12 @@ def test_event_table_finds_all_and_nothing_else(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 1 << 62, n))
     keys = np.random.default_rng(1).permutation(keys)
     table = ctw.EventTable(keys, keys.astype(float))
-    assert (table.find(keys) == np.arange(len(keys))).all()
-    assert (table.find(np.arange(1000) - (1 << 61)) == len(keys)).all()
-    assert (table.scores[table.find(np.append(keys, -5))] == np.append(keys.astype(float), 0.0)).all()
+    scores, missing = table.find(keys)
+    assert (scores == keys.astype(float)).all() and not len(missing)
+    scores, missing = table.find(np.arange(1000) - (1 << 61))
+    assert (scores == 0).all() and len(missing) == 1000
+    scores, missing = table.find(np.concatenate([[-5], keys, [-6]]))
+    assert scores[0] == 0 and missing.tolist() == [0, len(keys) + 1]
 
 
 def test_subtrees_come_in_whole_contexts(monkeypatch):
@@ -613,6 +616,9 @@ def test_subtrees_come_in_whole_contexts(monkeypatch):
     r = random.Random(3)
     contexts = sorted(r.choices(range(12), [1, 30, 2, 2, 2, 1, 1, 40, 1, 1, 1, 3], k=200))
     lists = [list(range(r.randrange(1, 4))) for _ in contexts]
+    keys = np.random.default_rng(5).integers(0, 1 << 56, 999)
+    packed = pa.table(list(map(ctw._array, ctw._by_context(keys, keys % 7))), ["context", "events", "n"])
+    assert sorted(zip(ctw._events(packed), ctw._flat(packed.column("n")))) == sorted(zip(keys, keys % 7))
     most = max(sum(len(x) for c, x in zip(contexts, lists) if c == d) for d in range(12))
     for size in (1, 3, 64, 500):
         batches = pa.table({"context": contexts, "events": lists}).to_batches(max_chunksize=size)

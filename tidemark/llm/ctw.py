@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Bytes of context; at most seven fit into an event.
+#: Bytes of context, from three to six: what an event has besides its shared context fits into 32 bits.
 DEPTH = 6
 SHARED = 3
 #: Words sent to tasks are no longer than this, in bytes.
@@ -95,20 +96,31 @@ def _context(events: np.ndarray) -> np.ndarray:
     return (events >> 8 & (1 << 8 * SHARED) - 1).astype(np.int32)
 
 
-def _by_context(events: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, pa.Array, list[pa.Array]]:
-    """Events and what goes with them as one list for each shared context: contexts, lists."""
+def _by_context(events: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Events and counts as one list for each shared context: contexts, the rest of the events, counts."""
     contexts = _context(events)
     order = np.argsort(contexts, kind="stable")
     contexts = contexts[order]
     first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
     offsets = pa.array(np.append(first, len(contexts)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (events, *columns)]
-    return contexts[first].astype(np.int64), lists[0], lists[1:]
+    rest = (events >> 8 * (SHARED + 1) << 8 | events & 255).astype(np.uint32).view(np.int32)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (rest, n.astype(np.int64))]
+    return contexts[first].astype(np.int64), *lists
+
+
+def _events(table: pa.Table) -> np.ndarray:
+    """The events of rows made by ``_by_context``."""
+    sizes = pc.list_value_length(table.column("events")).to_numpy()
+    contexts = np.repeat(table.column("context").to_numpy(), sizes)
+    rest = _flat(table.column("events")).view(np.uint32).astype(np.int64)
+    return rest >> 8 << 8 * (SHARED + 1) | contexts << 8 | rest & 255
 
 
 def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``context, events, n``: the events of ``docs`` (``text`` in bytes, ``train``) and how often training
     has them, lists by their shared context. Each task's own counts: a context has several rows."""
+    if not SHARED <= depth <= 6:
+        raise ValueError(f"a depth from {SHARED} to 6 is needed, not {depth}")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,8 +130,7 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
         def rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            contexts, events, (counts,) = _by_context(keys, n)
-            whole = pa.RecordBatch.from_arrays([pa.array(contexts), events, counts], ["context", "events", "n"])
+            whole = pa.RecordBatch.from_arrays(list(map(_array, _by_context(keys, n))), ["context", "events", "n"])
             for at in range(0, whole.num_rows, 4096):
                 yield whole.slice(at, 4096)
 
@@ -143,7 +154,7 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if held:
             yield from rows(*merged())
 
-    return docs.select("text", "train").mapInArrow(batches, "context long, events array<long>, n array<long>")
+    return docs.select("text", "train").mapInArrow(batches, "context long, events array<int>, n array<long>")
 
 
 def _log_gamma(x):
@@ -208,6 +219,10 @@ def _flat(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return pc.list_flatten(lists).to_numpy()
 
 
+def _array(values: np.ndarray | pa.Array) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values)
+
+
 def _whole_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows sorted by ``context``, in tables of whole contexts: as many as hold ``SUBTREE_EVENTS`` events, or
     one that holds more."""
@@ -240,8 +255,8 @@ def event_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def summaries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _whole_contexts(parts):
-            keys, n = _summed(_flat(own.column("events")), _flat(own.column("n")))
-            contexts, events, (counts,) = _by_context(keys, n)
+            keys, n = _summed(_events(own), _flat(own.column("n")))
+            contexts, events, counts = _by_context(keys, n)
             tops = [Subtrees(keys, n, bit, depth).levels[0][:4] for bit in range(8)]
             columns = [np.concatenate(c) for c in zip(*tops)]
             order = np.argsort(columns[0] >> 8, kind="stable")
@@ -257,7 +272,7 @@ def event_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
         .sortWithinPartitions("context")
         .mapInArrow(
             summaries,
-            "context long, events array<long>, n array<long>, node array<long>, n0 array<double>, n1 array<double>, "
+            "context long, events array<int>, n array<long>, node array<long>, n0 array<double>, n1 array<double>, "
             "weighted array<double>",
         ),
         "events",
@@ -308,7 +323,7 @@ def event_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def scores(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _whole_contexts(parts):
-            keys, n = _flat(own.column("events")), _flat(own.column("n"))
+            keys, n = _events(own), _flat(own.column("n"))
             top = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in map(pc.list_flatten, own.column("tops").chunks)])
             top = top.sort_by("node")
             nodes = top.column("node").to_numpy()
@@ -370,43 +385,47 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class EventTable:
-    """Scores of frequent events: two hash tables with one slot a key, the second for keys whose slot in the
-    first is another's, and binary search among the few left over."""
+    """Scores of frequent events: two hash tables with one place a key, the second for keys whose place in
+    the first is another's, and binary search among the few left over. Key and score lie side by side."""
+
+    NONE = -1  # of eight bytes, of which an event has seven
 
     def __init__(self, events: np.ndarray, scores: np.ndarray):
-        self.n = len(events)
-        self.events, self.scores = np.append(events, -1), np.append(scores, 0.0)
-        self.shift = np.uint64(64 - max(self.n, 1).bit_length() - 1)
+        bits = max(len(events), 1).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
         self.tables = []
-        left = np.arange(self.n, dtype=np.int32)
         for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # fixed values: odd numbers that mix well
-            slots = np.full(1 << (64 - int(self.shift)), self.n, dtype=np.int32)
-            own = self._slot(events[left], factor)
-            slots[own] = left
-            left = left[slots[own] != left]
-            self.tables.append((factor, slots))
-        self.others = left[np.argsort(events[left])]
-
-    def _slot(self, events: np.ndarray, factor: int) -> np.ndarray:
+            table = np.empty(1 << bits, dtype=[("event", np.int64), ("score", np.float64)])
+            table["event"], table["score"] = self.NONE, 0.0
+            at = self._place(events, factor)
+            table["event"][at] = events
+            own = table["event"][at] == events
+            table["score"][at[own]] = scores[own]
+            events, scores = events[~own], scores[~own]
+            self.tables.append((factor, table))
+        order = np.argsort(events)
+        self.others, self.other_scores = events[order], scores[order]
+
+    def _place(self, events: np.ndarray, factor: int) -> np.ndarray:
         return events.view(np.uint64) * np.uint64(factor) >> self.shift
 
-    def find(self, events: np.ndarray) -> np.ndarray:
-        """Where each event stands, or the number of events if it is none of them."""
-        factor, slots = self.tables[0]
-        at = slots[self._slot(events, factor)]
-        missed = np.flatnonzero(self.events[at] != events)
+    def find(self, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each event, zero if it is none of them; and where those are that are none."""
+        (factor, table), (factor2, table2) = self.tables
+        found = table[self._place(events, factor)]
+        scores = found["score"]
+        missed = np.flatnonzero(found["event"] != events)
         wanted = events[missed]
-        factor, slots = self.tables[1]
-        second = slots[self._slot(wanted, factor)]
-        wrong = self.events[second] != wanted
-        second[wrong] = self.n
+        found = table2[self._place(wanted, factor2)]
+        wrong = found["event"] != wanted
+        scores[missed] = np.where(wrong, 0.0, found["score"])
+        missed, wanted = missed[wrong], wanted[wrong]
         if len(self.others):
-            still = np.flatnonzero(wrong)
-            keys, sought = self.events[self.others], wanted[still]
-            there = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-            second[still] = np.where(keys[there] == sought, self.others[there], self.n)
-        at[missed] = second
-        return at
+            at = np.minimum(np.searchsorted(self.others, wanted), len(self.others) - 1)
+            there = self.others[at] == wanted
+            scores[missed[there]] = self.other_scores[at[there]]
+            missed = missed[~there]
+        return scores, missed
 
 
 def _by_row(
@@ -468,7 +487,7 @@ def score_documents(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(common_words)}
-        other, other_event = len(place), common.n
+        other = len(place)
         for part in (some for whole in parts for some in _slices(whole, 2)):
             texts = [tokens_of(t.as_py()) for t in part.column(2)]
             n = part.num_rows
@@ -476,7 +495,7 @@ def score_documents(
             rare: list[bytes] = []
             times: list[int] = []
             for tokens in texts:
-                at = np.array([place.get(w, other) for w in tokens])
+                at = np.fromiter(map(place.get, tokens, repeat(other)), np.int64, len(tokens))
                 away = np.flatnonzero(at == other).tolist()
                 rest = Counter([tokens[i] for i in away])
                 n_known.append(len(tokens) - len(away))
@@ -487,9 +506,8 @@ def score_documents(
             score = np.zeros(n)
             lost, lost_of = [], []
             for row, found in events_of(texts, depth) if texts else ():
-                at = common.find(found)
-                score += np.bincount(row, common.scores[at], n)
-                missing = at == other_event
+                own, missing = common.find(found)
+                score += np.bincount(row, own, n)
                 lost.append(found[missing])
                 lost_of.append(row[missing])
             row, rest, often = _by_row(lost_of, lost, n)
