@@ -131,7 +131,8 @@ def in_order(df: DataFrame, order_by: Sequence[str], ranges: int | None = None,
 
     Rows that tie go by a hash of the row, the same way on every run; rows alike in all columns are
     interchangeable. The driver gets ``SAMPLES`` keys and one row of sums for each range. An empty table
-    stays empty. Hidden columns never clash with those of ``df``.
+    stays empty. Hidden columns never clash with those of ``df``. The table is read four times (counted,
+    sampled, added up, numbered), so write what is dear to work out first; its rows must be the same each time.
     """
     spark = df.sparkSession
     at, tie = (_free(n, [*df.columns, *wanted]) for n in ("range_of_rows", "tie_of_rows"))
