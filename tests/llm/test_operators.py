@@ -586,15 +586,14 @@ def test_context_tree_weighting_equals_brute_force(spark, none, some_words, some
     assert ctw.score_documents(none, F.lit(False)).count() == 0
 
 
-def test_events_in_pieces(monkeypatch):
+def test_events_in_pieces():
     texts = [ctw.tokens_of(words(n, n).encode()) for n in (0, 1, 5, 90, 2, 300)] + [[b"\n"]] * 3
     whole = [np.concatenate(x) for x in zip(*ctw.events_of(texts, 6))]
     spelled = [b"\0" * 5 + b" " + b" ".join(t) for t in texts]
     want = [(i, int.from_bytes(x[p - 6 : p + 1], "big")) for i, x in enumerate(spelled) for p in range(6, len(x))]
     assert list(zip(*(x.tolist() for x in whole))) == want
     for chunk in (1, 5, 64):
-        monkeypatch.setattr(ctw, "CHUNK", chunk)
-        pieces = [np.concatenate(x) for x in zip(*ctw.events_of(texts, 6))]
+        pieces = [np.concatenate(x) for x in zip(*ctw.events_of(texts, 6, chunk))]
         assert all((a == b).all() for a, b in zip(whole, pieces))
 
 

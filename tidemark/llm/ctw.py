@@ -42,7 +42,8 @@ END = b"\n"
 WORDS_HELD = 200_000
 EVENTS_HELD = 1 << 21
 PIECE_BYTES = 1 << 20
-CHUNK = 1 << 18
+#: Places of a text worked on at a time: many where events are sorted, few where they are looked up.
+CHUNK, LOOKUP_CHUNK = 1 << 19, 1 << 16
 LOG_HALF = math.log(0.5)
 
 
@@ -63,8 +64,10 @@ def _slices(part: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def events_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text numbers, events) of lists of tokens, in pieces. An event has its byte lowest, then the
+def events_of(
+    texts: list[list[bytes]], depth: int, chunk: int = CHUNK
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers, events) of lists of tokens, in pieces of ``chunk`` places. An event has its byte lowest, then the
     context's bytes, nearest first."""
     before = b"\0" * (depth - 1) + b" "
     each = [before + b" ".join(tokens) for tokens in texts]
@@ -74,8 +77,8 @@ def events_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray
     # Eight bytes from every place on, the last of them lowest: the byte at the place, and what is before it.
     windows = np.ndarray(int(ends[-1]), dtype=">u8", buffer=data, strides=(1,))
     mask = np.uint64((1 << 8 * (depth + 1)) - 1)
-    for low in range(0, len(windows), CHUNK):
-        high = min(low + CHUNK, len(windows))
+    for low in range(0, len(windows), chunk):
+        high = min(low + chunk, len(windows))
         first, last = np.searchsorted(ends, (low, high - 1), side="right")
         stops = np.minimum(ends[first : last + 1], high)
         text = np.repeat(np.arange(first, last + 1), np.diff(stops, prepend=low))
@@ -104,7 +107,7 @@ def _by_context(events: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array
     first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
     offsets = pa.array(np.append(first, len(contexts)), pa.int32())
     rest = (events >> 8 * (SHARED + 1) << 8 | events & 255).astype(np.uint32).view(np.int32)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (rest, n.astype(np.int64))]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (rest, n)]
     return contexts[first].astype(np.int64), *lists
 
 
@@ -130,7 +133,9 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
         def rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            whole = pa.RecordBatch.from_arrays(list(map(_array, _by_context(keys, n))), ["context", "events", "n"])
+            # A task's counts between two outputs are below 2 ** 31, as its texts are.
+            lists = _by_context(keys, n.astype(np.int32))
+            whole = pa.RecordBatch.from_arrays(list(map(_array, lists)), ["context", "events", "n"])
             for at in range(0, whole.num_rows, 4096):
                 yield whole.slice(at, 4096)
 
@@ -148,13 +153,13 @@ def count_events(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     if size > EVENTS_HELD:
                         keys, n = merged()
                         held, size = [(keys, n)], len(keys)
-                        if size > EVENTS_HELD // 2:
+                        if size > EVENTS_HELD * 3 // 4:
                             yield from rows(keys, n)
                             held, size = [], 0
         if held:
             yield from rows(*merged())
 
-    return docs.select("text", "train").mapInArrow(batches, "context long, events array<int>, n array<long>")
+    return docs.select("text", "train").mapInArrow(batches, "context long, events array<int>, n array<int>")
 
 
 def _log_gamma(x):
@@ -255,7 +260,7 @@ def event_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def summaries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _whole_contexts(parts):
-            keys, n = _summed(_events(own), _flat(own.column("n")))
+            keys, n = _summed(_events(own), _flat(own.column("n")).astype(np.int64))
             contexts, events, counts = _by_context(keys, n)
             tops = [Subtrees(keys, n, bit, depth).levels[0][:4] for bit in range(8)]
             columns = [np.concatenate(c) for c in zip(*tops)]
@@ -505,7 +510,7 @@ def score_documents(
                 times.extend(rest.values())
             score = np.zeros(n)
             lost, lost_of = [], []
-            for row, found in events_of(texts, depth) if texts else ():
+            for row, found in events_of(texts, depth, LOOKUP_CHUNK) if texts else ():
                 own, missing = common.find(found)
                 score += np.bincount(row, own, n)
                 lost.append(found[missing])
