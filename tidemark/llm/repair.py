@@ -175,38 +175,40 @@ def _ends_open(text: Column) -> Column:
     return ~F.right(F.btrim(text, F.lit(BLANKS)), F.lit(1)).isin(".", "!", "?")
 
 
-def counted_rows(turns: DataFrame) -> DataFrame:
-    """Distinct rows with their number ``n`` and what their text alone tells, written to the shared folder.
-
-    Null roles and texts are one space. Equal rows are counted before they move.
-    """
+def spelled_rows(turns: DataFrame) -> DataFrame:
+    """Rows with a hash of role and text (``said``), and whether the text is ``blank`` or ends open
+    (``truncated``). Null roles and texts are one space."""
     rows = turns.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit(" ")).alias("role"),
         F.coalesce("text", F.lit(" ")).alias("text"),
     )
-    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     said = F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")
-    return staged(
-        counted.select(
-            "*",
-            F.unhex(F.sha2(said.cast("binary"), 256)).alias("said"),
-            _is_blank(F.col("text")).alias("blank"),
-            _ends_open(F.col("text")).alias("truncated"),
-        ),
-        "turns",
+    return rows.select(
+        "*",
+        F.unhex(F.sha2(said.cast("binary"), 256)).alias("said"),
+        _is_blank(F.col("text")).alias("blank"),
+        _ends_open(F.col("text")).alias("truncated"),
+    )
+
+
+def places_of(rows: DataFrame) -> DataFrame:
+    """Where what is said stands and how often (``n``), without the texts; written to the shared folder."""
+    found = rows.groupBy("conv_id", "turn", "said").agg(
+        F.count(F.lit(1)).alias("n"), F.first("blank").alias("blank"), F.first("truncated").alias("truncated")
     )
+    return staged(found, "places")
 
 
-def with_first(rows: DataFrame) -> DataFrame:
-    """Counted rows with ``first``: is it the earliest of its role and text in the conversation?
+def with_first(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with ``first``: is it the earliest of its role and text in the conversation?
 
-    Only the places of what occurs under several turn numbers are joined, each dealt with its rows to
-    as many tasks as there are salts.
+    Only what occurs under several turn numbers is joined, each dealt with its rows to as many tasks as
+    there are salts.
     """
     first = (
-        rows.groupBy("conv_id", "said")
+        places.groupBy("conv_id", "said")
         .agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("turn")).alias("first_place"))
         .where("places > 1")
         .select(
@@ -229,8 +231,8 @@ def with_first(rows: DataFrame) -> DataFrame:
 
 
 def fault_counts(rows: DataFrame) -> DataFrame:
-    """Per conversation: ``gaps`` in its turn numbers, and ``blank``, ``duplicate`` and ``truncated`` rows,
-    each row by its first fault."""
+    """Per conversation, from places with ``first``: ``gaps`` in its turn numbers, and ``blank``,
+    ``duplicate`` and ``truncated`` rows, each row by its first fault."""
     original = F.when(F.col("first"), 1).otherwise(0)
     turns = rows.groupBy("conv_id", "turn").agg(
         F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blank"),
@@ -443,7 +445,7 @@ _PARTS = ("n_rows", "whole", "first_role", "last_role", "illegal")
 
 
 def repaired_parts(rows: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """Repaired conversations from rows with faults (``with_first``), mostly one row each.
+    """Repaired conversations from different rows with their number ``n`` and ``first``, mostly one row each.
 
     Columns: ``conv_id``, ``part``, ``block`` (the order of a conversation's parts), ``whole`` (is it the only
     one?), ``n_rows``, ``first_role`` and ``last_role`` (initials before the repair), ``illegal``, ``cost`` (of
@@ -508,10 +510,15 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> tuple[DataFrame, DataFra
     turns, so that all but the first are duplicates. A null ``conv_id`` is a conversation of its own, null
     roles and texts are one space. A role is known by its first character; one with no known initial cannot
     be kept. Other columns are ignored, whatever their names. An empty table gives no rows.
+
+    Equal rows are counted before they move. Texts are moved twice, to be counted and into their ranges, and
+    written once, in blocks; faults are counted without them.
     """
-    rows = counted_rows(turns)
-    parts = staged(repaired_parts(with_first(rows), costs), "repaired")
+    rows = spelled_rows(turns)
+    places = places_of(rows)
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = repaired_parts(with_first(counted, places), costs)
     found = summaries(parts).withColumnRenamed("conv_id", "of_conv")
-    counts = fault_counts(with_first(rows))
+    counts = fault_counts(with_first(places, places))
     both = counts.join(found, F.col("conv_id").eqNullSafe(F.col("of_conv")))
     return parts, both.drop("of_conv")
