@@ -42,14 +42,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidemark-llm-{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read and not the whole job, and tells
     Spark the true size: a small table is then broadcast by Spark's own threshold, a large one is not.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -279,6 +279,7 @@ def event_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
             "weighted array<double>",
         ),
         "events",
+        "zstd",
     )
     subtrees = summed.select(F.inline(F.arrays_zip(*_NODE)))
     levels = [subtrees]
@@ -394,32 +395,33 @@ class EventTable:
     NONE = -1  # of eight bytes, of which an event has seven
 
     def __init__(self, events: np.ndarray, scores: np.ndarray):
-        bits = max(len(events), 1).bit_length() + 1
-        self.shift = np.uint64(64 - bits)
         self.tables = []
         for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # fixed values: odd numbers that mix well
+            bits = len(events).bit_length() + 1 if self.tables else max(len(events), 1).bit_length()
             table = np.empty(1 << bits, dtype=[("event", np.int64), ("score", np.float64)])
             table["event"], table["score"] = self.NONE, 0.0
-            at = self._place(events, factor)
+            shift = np.uint64(64 - bits)
+            at = self._place(events, factor, shift)
             table["event"][at] = events
             own = table["event"][at] == events
             table["score"][at[own]] = scores[own]
             events, scores = events[~own], scores[~own]
-            self.tables.append((factor, table))
+            self.tables.append((factor, shift, table))
         order = np.argsort(events)
         self.others, self.other_scores = events[order], scores[order]
 
-    def _place(self, events: np.ndarray, factor: int) -> np.ndarray:
-        return events.view(np.uint64) * np.uint64(factor) >> self.shift
+    @staticmethod
+    def _place(events: np.ndarray, factor: int, shift: np.uint64) -> np.ndarray:
+        return events.view(np.uint64) * np.uint64(factor) >> shift
 
     def find(self, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The score of each event, zero if it is none of them; and where those are that are none."""
-        (factor, table), (factor2, table2) = self.tables
-        found = table[self._place(events, factor)]
+        (factor, shift, table), (factor2, shift2, table2) = self.tables
+        found = table[self._place(events, factor, shift)]
         scores = found["score"]
         missed = np.flatnonzero(found["event"] != events)
         wanted = events[missed]
-        found = table2[self._place(wanted, factor2)]
+        found = table2[self._place(wanted, factor2, shift2)]
         wrong = found["event"] != wanted
         scores[missed] = np.where(wrong, 0.0, found["score"])
         missed, wanted = missed[wrong], wanted[wrong]
@@ -480,7 +482,7 @@ def score_documents(
     ).first()
     base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     known = words.withColumn("base", base)
-    scored = staged(event_scores(count_events(counted, depth), depth), "event-scores")
+    scored = staged(event_scores(count_events(counted, depth), depth), "event-scores", "zstd")
     short = known.where(F.octet_length("word") <= WORD_BYTES)
     word_table = frequent(short, "n", frequent_words).select("word", "base").toArrow()
     event_table = frequent(scored, "n", frequent_events).select("event", "score").toArrow()
@@ -538,6 +540,7 @@ def score_documents(
             "rare array<binary>, times array<long>, events array<long>, often array<long>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "started-documents",
+        "zstd",
     )
     rare = started.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
