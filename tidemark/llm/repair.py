@@ -201,23 +201,25 @@ def places_of(rows: DataFrame) -> DataFrame:
     return staged(found, "places")
 
 
-def with_first(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows with ``first``: is it the earliest of its role and text in the conversation?
-
-    Only what occurs under several turn numbers is joined, each dealt with its rows to as many tasks as
-    there are salts.
-    """
-    first = (
+def first_places(places: DataFrame) -> DataFrame:
+    """The earliest turn of what stands under several turn numbers, once for each salt; written to the shared
+    folder, so that Spark knows its size before it plans to move texts for it."""
+    several = (
         places.groupBy("conv_id", "said")
         .agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("turn")).alias("first_place"))
         .where("places > 1")
-        .select(
-            F.col("conv_id").alias("of_conv"),
-            F.col("said").alias("of_said"),
-            "first_place",
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"),
-        )
     )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt")
+    return staged(
+        several.select(F.col("conv_id").alias("of_conv"), F.col("said").alias("of_said"), "first_place", salts), "first"
+    )
+
+
+def with_first(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows with ``first``: is it the earliest of its role and text in the conversation?
+
+    The rows of one conversation and text are dealt to as many tasks as there are salts.
+    """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)).cast("int"))
     found = salted.join(
         first,
@@ -517,8 +519,9 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> tuple[DataFrame, DataFra
     rows = spelled_rows(turns)
     places = places_of(rows)
     counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
-    parts = repaired_parts(with_first(counted, places), costs)
+    first = first_places(places)
+    parts = repaired_parts(with_first(counted, first), costs)
     found = summaries(parts).withColumnRenamed("conv_id", "of_conv")
-    counts = fault_counts(with_first(places, places))
+    counts = fault_counts(with_first(places, first))
     both = counts.join(found, F.col("conv_id").eqNullSafe(F.col("of_conv")))
     return parts, both.drop("of_conv")
