@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import new_work_dir
 from .ordered import in_order, running_sum
 
 ADDED, REMOVED, CHANGED, SAME = "added", "removed", "changed", "same"
@@ -83,8 +84,8 @@ class RowLog:
     def totals(self, measures: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
         """Per commit: its rows and the sum of each measure in the state it left, from one pass.
 
-        Each version counts as what it adds less what it takes away; these changes are summed by commit
-        and then run up over the commits.
+        Each version counts as what it adds less what it takes away; these changes are summed by commit,
+        written to the work folder, a row a commit, and then run up over the commits.
         """
         versions = self.versions(measures)
 
@@ -98,7 +99,11 @@ class RowLog:
 
         names = {"rows": "", **{m: m for m in measures}}
         changes = versions.groupBy(self.commit).agg(*(change(c).alias(n) for n, c in names.items()))
-        totals = in_order(changes, [self.commit], ranges, **{f"total_{n}": running_sum(n) for n in names})
+        spark = self.rows.sparkSession
+        path = f"{new_work_dir(spark, 'totals')}/changes"
+        changes.write.parquet(path)
+        known = spark.read.schema(changes.schema).parquet(path)
+        totals = in_order(known, [self.commit], ranges, **{f"total_{n}": running_sum(n) for n in names})
         return totals.select(self.commit, *(f"total_{n}" for n in names))
 
     def _gone(self) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Iterator
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -72,21 +73,34 @@ def conform(
         failed = {n: F.col(f"`{n}`").isNotNull() & targets[n].isNull() for n in targets if n in present}
         counts = [F.count_if(value).alias(name) for name, value in failed.items()]
         df = df.observe(lost, F.count(F.lit(1)).alias(ROWS), *counts)
-    rescued = [] if rescue is None else [_rescued(df.schema, targets).alias(rescue)]
-    return df.select(*(value.alias(name) for name, value in targets.items()), *rescued)
+    if rescue is None:
+        return df.select(*(value.alias(name) for name, value in targets.items()))
+    # Worked out once, in a projection of their own, for the result and for what it lacks.
+    taken = {name.lower() for name in df.columns}
+    own = {name: next(n for n in _names(f"conformed_{i}") if n not in taken) for i, name in enumerate(targets)}
+    both = df.select("*", *(value.alias(own[name]) for name, value in targets.items()))
+    kept = {name: F.col(hidden) for name, hidden in own.items()}
+    return both.select(*(value.alias(name) for name, value in kept.items()), _rescued(df.schema, kept).alias(rescue))
+
+
+def _names(name: str) -> Iterator[str]:
+    while True:
+        yield name
+        name += "_"
 
 
 def _rescued(given: StructType, targets: dict[str, Column]) -> Column:
     """The texts of the values that have no place in the target, by the name of their column."""
-    entries = []
+    entries, any_lost = [], F.lit(False)
     for field in given:
         value = F.col(f"`{field.name}`")
         nested = isinstance(field.dataType, NESTED)
         entry = F.struct(F.lit(field.name).alias("key"), (F.to_json(value) if nested else value.cast("string")).alias("value"))
-        gone = targets[field.name].isNull() if field.name in targets else F.lit(True)
-        entries.append(F.when(value.isNotNull() & gone, entry))
+        gone = value.isNotNull() & targets[field.name].isNull() if field.name in targets else value.isNotNull()
+        entries.append(F.when(gone, entry))
+        any_lost = any_lost | gone
     lost = F.filter(F.array(*entries), lambda entry: entry.isNotNull())
-    return F.when(F.size(lost) > 0, F.map_from_entries(lost))
+    return F.when(any_lost, F.map_from_entries(lost))
 
 
 def quarantine(df: DataFrame, rescue: str) -> tuple[DataFrame, DataFrame]:
