@@ -121,3 +121,14 @@ def test_packed_orders_need_no_sort(spark, capsys):
     assert found.collect() == [(1, -(2**63), START, -(2**63), START + timedelta(microseconds=1))]
     found.explain()
     assert "Sort" not in capsys.readouterr().out
+
+
+def test_names_never_clash(spark):
+    names = ["n", "range", "of_range", "rows_before", "before_0", "within_0", "tie_of_rows", "group", "items", "pieces"]
+    df = spark.createDataFrame([tuple(range(i, i + 10)) for i in range(30)], ", ".join(f"`{c}` int" for c in names))
+    found = in_order(df, ["n"], 4, total=running_sum("range"), key=previous("of_range"), place=number(), last=running_sum("n"))
+    got = sorted(found.collect(), key=lambda r: r.place)
+    assert found.columns[:10] == names and [r.total for r in got] == list(accumulate(range(1, 31)))
+    assert [r.key for r in got] == [None, *range(2, 31)]
+    text = joined_text(df.withColumn("v", F.col("n").cast("string")), ["group", "items", "pieces"], "v", ["range"], ranges=3)
+    assert text.columns == ["group", "items", "pieces", "joined"] and text.count() == 30

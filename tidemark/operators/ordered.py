@@ -138,21 +138,20 @@ def in_order(df: DataFrame, order_by: Sequence[str], ranges: int | None = None,
     at, tie = (_free(n, [*df.columns, *wanted]) for n in ("range_of_rows", "tie_of_rows"))
     ranged = df.withColumn(at, range_of(df, order_by, ranges)).withColumn(tie, row_hash(df))
     key = F.struct(*(_quoted(c) for c in order_by), F.col(tie))
+    names = {name: f"before_{i}" for i, name in enumerate(wanted)}
     sums = [F.count(F.lit(1)).alias("n")]
     for name, item in wanted.items():
         if item.kind == "running":
-            sums.append(F.sum(_quoted(item.column)).alias(name))
+            sums.append(F.sum(_quoted(item.column)).alias(names[name]))
         elif item.kind == "previous":
-            sums.append(F.max_by(F.struct(_quoted(item.column).alias("value")), key).alias(name))
-    per_range = ranged.groupBy(at).agg(*sums)
-    carried, total = _carried(sorted(per_range.collect(), key=lambda r: r[0]), wanted)
-    names = {name: f"before_{i}" for i, name in enumerate(wanted)}
-    types = {f.name: f.dataType for f in per_range.schema}
-    offset = _free("rows_before", df.columns)
-    columns = [StructField("of_range", per_range.schema[at].dataType), StructField(offset, types["n"])]
-    for name, item in wanted.items():
-        if item.kind in ("running", "previous"):
-            columns.append(StructField(_free(names[name], df.columns), types[name]))
+            sums.append(F.max_by(F.struct(_quoted(item.column).alias("value")), key).alias(names[name]))
+    per_range = ranged.groupBy(F.col(at).alias("range")).agg(*sums)
+    sorts = {names[name]: item.kind for name, item in wanted.items() if item.kind in ("running", "previous")}
+    carried, total = _carried(sorted(per_range.collect(), key=lambda r: r["range"]), sorts)
+    types = {name: per_range.schema[names[name]].dataType for name in wanted if names[name] in sorts}
+    of_range, offset = _free("of_range", df.columns), _free("rows_before", df.columns)
+    columns = [StructField(of_range, per_range.schema["range"].dataType), StructField(offset, LongType())]
+    columns += [StructField(_free(names[name], df.columns), kind) for name, kind in types.items()]
     edges = spark.createDataFrame(carried, StructType(columns))
     window = Window.partitionBy(at).orderBy(*(_quoted(c) for c in order_by), tie)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -175,19 +174,19 @@ def in_order(df: DataFrame, order_by: Sequence[str], ranges: int | None = None,
             both = F.when(before.isNull(), F.col(own)).when(F.col(own).isNull(), before).otherwise(before + F.col(own))
             found[name] = both.cast(types[name])
     # A left join, though every range has its row: an inner one would work out each row's range once more.
-    joined = ranged.withColumns(within).join(F.broadcast(edges), _quoted(at) == F.col("of_range"), "left")
+    joined = ranged.withColumns(within).join(F.broadcast(edges), _quoted(at) == F.col(of_range), "left")
     return joined.select(*(_quoted(c) for c in df.columns), *(c.alias(n) for n, c in found.items()))
 
 
-def _carried(rows: list, wanted: dict[str, Item]) -> tuple[list[tuple], int]:
+def _carried(rows: list, sorts: dict[str, str]) -> tuple[list[tuple], int]:
     """For each range what lies before it: number of rows, sums and last values; and the number of all."""
     carried, n = [], 0
-    state: dict[str, object] = {name: None for name, item in wanted.items() if item.kind in ("running", "previous")}
+    state: dict[str, object] = dict.fromkeys(sorts)
     for row in rows:
-        carried.append((row[0], n, *state.values()))
+        carried.append((row["range"], n, *state.values()))
         n += row["n"]
-        for name in state:
-            if wanted[name].kind == "previous":
+        for name, kind in sorts.items():
+            if kind == "previous":
                 state[name] = row[name]
             elif row[name] is not None:
                 state[name] = row[name] if state[name] is None else state[name] + row[name]
@@ -211,15 +210,16 @@ def joined_text(
     at = _free("range_of_rows", df.columns)
     ranged = df.withColumn(at, range_of(df, [*by, *order_by], ranges))
     item = F.struct(*(_quoted(c).alias(f"k{i}") for i, c in enumerate(order_by)), _quoted(value).alias("v"))
-    pieces = ranged.groupBy(*(_quoted(c) for c in by), at).agg(
+    group = F.struct(*(_quoted(c).alias(c) for c in by)).alias("group")
+    pieces = ranged.groupBy(group, _quoted(at).alias("range")).agg(
         F.sort_array(F.collect_list(F.when(_quoted(value).isNotNull(), item))).alias("items")
     )
     spelled = F.when(F.size("items") > 0, F.array_join(F.transform("items", lambda x: x["v"]), separator))
-    chunks = pieces.select(*(_quoted(c) for c in by), F.struct(F.col(at), spelled.alias("chunk")).alias("piece"))
+    chunks = pieces.select("group", F.struct("range", spelled.alias("chunk")).alias("piece"))
     ordered = F.sort_array(F.collect_list(F.when(F.col("piece.chunk").isNotNull(), F.col("piece"))))
-    whole = chunks.groupBy(*(_quoted(c) for c in by)).agg(ordered.alias("pieces"))
+    whole = chunks.groupBy("group").agg(ordered.alias("pieces"))
     text = F.when(F.size("pieces") > 0, F.array_join(F.transform("pieces", lambda p: p["chunk"]), separator))
-    return whole.select(*(_quoted(c) for c in by), text.alias(name))
+    return whole.select("group.*", text.alias(name))
 
 
 def first_and_last(
