@@ -9,6 +9,7 @@ cutoffs come from quantiles of the sketches and are joined back to the rows they
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,11 +58,12 @@ def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more in the same text."""
 
     def in_windows(w: Column) -> Column:
-        spelled = F.transform(
-            F.sequence(F.lit(1), F.size(w) - 2),
-            lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)),
-        )
-        return let(spelled, lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), 0).otherwise(covered(s)))
+        starts = F.sequence(F.lit(1), F.size(w) - 2)
+        three = lambda i: (F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))
+        # As many hashes as windows: no two windows are alike. Otherwise the words themselves are compared.
+        hashes = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*three(i))))
+        spelled = F.transform(starts, lambda i: F.concat_ws(" ", *three(i)))
+        return F.when(F.size(hashes) == F.size(w) - 2, 0).otherwise(let(spelled, covered))
 
     def covered(windows: Column) -> Column:
         places = F.sort_array(F.transform(windows, lambda s, i: F.struct(s.alias("s"), i.alias("i"))))
@@ -100,10 +102,15 @@ def measured(docs: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
         *carry,
         let(
             blank_words(text),
-            lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                repeated_words(w).alias("n_repeat_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            ),
         ).alias("w"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, text)))
+        .cast("long")
+        .alias("n_symbols"),
         let(
             lines,
             lambda x: F.struct(
