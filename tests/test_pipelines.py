@@ -1,11 +1,14 @@
 import datetime
+import time
 import warnings
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaned_name, filled_score, part_count
 from tidemark.plans import pipelines, story
+from tidemark.sources import tables
 
 RUN = "2024-02-01 10:00:00"
 
@@ -225,3 +228,96 @@ def test_pipeline_between_catalog_tables(spark):
         run(spark, "names_given", "names_done")
     spark.sql("DROP TABLE names_done")
     spark.sql("DROP TABLE names_given")
+
+
+def test_cleaning_keeps_ascii_letters_and_white_space_of_all_characters(spark):
+    every = [chr(c) for c in (*range(0x1, 0xD800), *range(0xE000, 0x11000), 0x1F600, 0x10FFFF)]
+    df = spark.createDataFrame([("".join(every), every)], "n STRING, each ARRAY<STRING>")
+    plain = F.regexp_replace("n", r"[^a-zA-Z\s]", "")
+    found, told, parted = df.select(
+        cleaned_name(F.col("n")), plain, F.transform("each", lambda c: cleaned_name(c))
+    ).first()
+    assert found == told == "".join(parted)
+    assert sorted(found) == sorted("\t\n\x0b\f\r abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def test_cleaning_long_texts_takes_less_time_than_with_ranges(spark):
+    text = F.concat(F.lit("Some Words, of a text - with 12 marks. "), F.col("id").cast("string"))
+    df = spark.range(0, 4000, 1, 1).select(F.repeat(text, 200).alias("n")).cache()
+    df.count()
+
+    def seconds(column):
+        taken = []
+        for _ in range(4):
+            start = time.perf_counter()
+            df.select(column).write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    name = F.col("n")
+    assert seconds(cleaned_name(name)) < 0.7 * seconds(F.regexp_replace(name, r"[^a-zA-Z\s]", ""))
+    df.unpersist()
+
+
+def _chunk_bytes(folder):
+    files = [p for p in folder.rglob("*.parquet") if not any(x.startswith(("_", ".")) for x in p.parts)]
+    groups = [pq.ParquetFile(p).metadata.row_group(0) for p in files]
+    assert groups and {g.column(1).compression for g in groups} == {"GZIP"}
+    return sum(g.column(1).total_compressed_size for g in groups)
+
+
+@pytest.mark.parametrize("catalog", [True, False])
+def test_names_are_written_with_the_quick_level_of_gzip(spark, tmp_path, catalog):
+    words = F.expr("aggregate(sequence(1, 400), '', (t, k) -> concat(t, ' ', hex(pmod(xxhash64(id, k), 5000))))")
+    names = spark.range(0, 500, 1, 1).select("id", words.alias("full_name"))
+    sizes = {}
+    for level in ("THREE", "DEFAULT_COMPRESSION"):
+        at = tmp_path / level
+        names.write.options(**{"compression": "gzip", "zlib.compress.level": level}).parquet(str(at))
+        sizes[level] = _chunk_bytes(at)
+    if catalog:
+        names.write.mode("overwrite").saveAsTable("level_given")
+        spark.sql("DROP TABLE IF EXISTS level_done")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS levels LOCATION '{tmp_path}/levels'")
+        pipelines.create_output_table(spark, "levels.done")
+        pipelines.run_names_table(spark, "level_given", "levels.done", run_ts=RUN)
+        found = _chunk_bytes(tmp_path / "levels")
+        spark.sql("DROP DATABASE levels CASCADE")
+        spark.sql("DROP TABLE level_given")
+    else:
+        target = pipelines.create_output(spark, str(tmp_path / "own"), pipelines.NAME_OUTPUT)
+        pipelines.run_names(names, target, run_ts=RUN)
+        found = _chunk_bytes(tmp_path / "own" / "log")
+    assert sizes["DEFAULT_COMPRESSION"] < 0.99 * sizes["THREE"]
+    assert abs(found - sizes["THREE"]) < 0.002 * sizes["THREE"]
+
+
+def test_inserts_do_not_sort_whole_texts_by_day(spark, monkeypatch):
+    plans, by_name = [], tables._by_name
+
+    def noted(df, table):
+        df.createOrReplaceTempView("to_insert")
+        plans.append(spark.sql(f"EXPLAIN INSERT INTO {table} SELECT * FROM to_insert").first()[0])
+        return by_name(df, table)
+
+    spark.createDataFrame(story.NAMES, pipelines.NAME_INPUT).write.mode("overwrite").saveAsTable("unsorted_given")
+    spark.sql("DROP TABLE IF EXISTS unsorted_done")
+    pipelines.create_output_table(spark, "unsorted_done")
+    monkeypatch.setattr(tables, "_by_name", noted)
+    keys = ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.sources.partitionOverwriteMode")
+    before = [spark.conf.get(k) for k in keys]
+    for overwrite in (False, True):
+        pipelines.run_names_table(spark, "unsorted_given", "unsorted_done", run_ts=RUN, overwrite=overwrite)
+
+    def by_id(df, run_ts):
+        """Days that change from row to row."""
+        at = F.timestamp_add("DAY", F.col("id") % 3, F.lit(run_ts).cast("timestamp"))
+        return pipelines.summarize_names(df, run_ts).withColumn("processing_timestamp", at)
+
+    pipelines.run_names_table(spark, "unsorted_given", "unsorted_done", by_id, RUN, overwrite=True)
+    assert len(plans) == 3 and all("CollectMetrics" in p and "Sort" not in p for p in plans)
+    found = spark.table("unsorted_done").select("id", F.col("processing_timestamp_day").cast("string")).collect()
+    assert sorted(map(tuple, found)) == [(k, f"2024-02-0{1 + k % 3}") for k in range(1, 11)]
+    assert [spark.conf.get(k) for k in keys] == before
+    spark.sql("DROP TABLE unsorted_done")
+    spark.sql("DROP TABLE unsorted_given")

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
+from ..codecs import codec_options
 from .partitioning import Transform
 
 MAIN = "main"
@@ -718,8 +719,8 @@ class VersionedTable:
     def _write(self, rows: DataFrame, seq: int) -> None:
         transforms = self.partition_by
         self._attempts[seq] = uuid.uuid4().hex
-        writer = rows.withColumns({t.name: t.derived(self.schema) for t in transforms}).write.option(
-            "compression", self._state.compression
+        writer = rows.withColumns({t.name: t.derived(self.schema) for t in transforms}).write.options(
+            **codec_options(self._state.compression)
         )
         if transforms:
             writer = writer.partitionBy(*(t.name for t in transforms))

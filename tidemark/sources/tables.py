@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..codecs import codec_options
 from .files import load_file
 
 PREVIEW_COLUMNS = 5
 PREVIEW_ROWS = 5
 OVERVIEW_COLUMNS = 10
+# A task sorts what it inserts by partition, unless so many partitions can be open: rows of one day are then
+# written as they come, and rows of further ones are sorted as before.
+UNSORTED = {"spark.sql.maxConcurrentOutputFileWriters": "1"}
+DYNAMIC = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
 
 
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -31,15 +37,17 @@ def create_table(
 ) -> None:
     """An empty Parquet table of the catalog, unless it is there already."""
     names = ", ".join(f"`{name}`" for name in partitioned_by)
+    options = ", ".join(f"'{key}' = '{value}'" for key, value in codec_options(compression).items())
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet "
-        f"OPTIONS (compression = '{compression}')" + (f" PARTITIONED BY ({names})" if names else "")
+        f"OPTIONS ({options})" + (f" PARTITIONED BY ({names})" if names else "")
     )
 
 
 def append_table(df: DataFrame, table: str) -> None:
     """Add rows to a table of the catalog, by column name; the columns must be the table's."""
-    _by_name(df, table).write.mode("append").insertInto(table)
+    with _set_for_a_while(df.sparkSession, UNSORTED):
+        _by_name(df, table).write.mode("append").insertInto(table)
 
 
 def overwrite_table_partitions(df: DataFrame, table: str) -> None:
@@ -47,13 +55,20 @@ def overwrite_table_partitions(df: DataFrame, table: str) -> None:
 
     Inserts into catalog tables take this mode from the session alone; it is set back afterwards.
     """
-    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    rows, before = _by_name(df, table), conf.get(mode)
-    conf.set(mode, "dynamic")
+    with _set_for_a_while(df.sparkSession, UNSORTED | DYNAMIC):
+        _by_name(df, table).write.mode("overwrite").insertInto(table)
+
+
+@contextmanager
+def _set_for_a_while(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key) for key in settings}
     try:
-        rows.write.mode("overwrite").insertInto(table)
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
     finally:
-        conf.set(mode, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _by_name(df: DataFrame, table: str) -> DataFrame:
