@@ -277,7 +277,6 @@ def test_names_are_written_with_the_quick_level_of_gzip(spark, tmp_path, catalog
         sizes[level] = _chunk_bytes(at)
     if catalog:
         names.write.mode("overwrite").saveAsTable("level_given")
-        spark.sql("DROP TABLE IF EXISTS level_done")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS levels LOCATION '{tmp_path}/levels'")
         pipelines.create_output_table(spark, "levels.done")
         pipelines.run_names_table(spark, "level_given", "levels.done", run_ts=RUN)
@@ -298,6 +297,7 @@ def test_inserts_do_not_sort_whole_texts_by_day(spark, monkeypatch):
     def noted(df, table):
         df.createOrReplaceTempView("to_insert")
         plans.append(spark.sql(f"EXPLAIN INSERT INTO {table} SELECT * FROM to_insert").first()[0])
+        spark.catalog.dropTempView("to_insert")
         return by_name(df, table)
 
     spark.createDataFrame(story.NAMES, pipelines.NAME_INPUT).write.mode("overwrite").saveAsTable("unsorted_given")
